@@ -1,0 +1,17 @@
+"""Join helpers: broadcast only behind a measured size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
+
+    The check is one bounded job (``limit(max_rows + 1).count()`` stops
+    reading after ``max_rows + 1`` rows). Beyond the bound the frame is
+    returned unchanged and the planner keeps a shuffle join (AQE may still
+    broadcast it later from measured runtime sizes)."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
