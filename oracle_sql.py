@@ -4,7 +4,7 @@ Written from the dataset definitions, not from the Spark code: the fact is
 rebuilt with plain joins, buckets with DuckDB's own date functions, the
 calendar with ``generate_series``, quantiles with ``quantile_cont``.
 Double outputs are rounded half-up exactly as the Spark side does for the
-comparison (cents for money sums, 4 decimals otherwise).
+comparison (4 decimals).
 """
 
 from __future__ import annotations
@@ -62,10 +62,6 @@ def r4(x: str) -> str:
     return f"floor(({x}) * 10000 + 0.5) / 10000"
 
 
-def r2(x: str) -> str:
-    return f"floor(({x}) * 100 + 0.5) / 100"
-
-
 # Filter conditions (same settings as the Spark catalogue's FilterSpecs).
 W_DATES_PLATFORM_SCORE = (
     "dt >= TIMESTAMP '1996-01-01' AND dt <= TIMESTAMP '1999-12-31' "
@@ -95,7 +91,7 @@ def _series(fact: str, where: str, freq: str, measures: list[tuple[str, str, str
     outs = []
     for name, _, fill, rnd in measures:
         v = f"b.{name}" if fill is None else f"coalesce(b.{name}, {fill})"
-        v = {"r2": r2, "r4": r4}.get(rnd, lambda e: e)(v)
+        v = r4(v) if rnd == "r4" else v
         outs.append(f"{v} AS {name}")
     return f"""{fact},
 b AS (SELECT {start} AS s, {aggs} FROM fact WHERE dt IS NOT NULL AND {where} GROUP BY 1),
@@ -160,7 +156,7 @@ FROM fact WHERE dt IS NOT NULL AND ({value}) IS NOT NULL GROUP BY 1, 2"""
 def _gross_net(fact: str, key: str, where: str = "TRUE", limit: int | None = None) -> str:
     tail = f" ORDER BY sum(total) DESC NULLS LAST, {key} LIMIT {limit}" if limit else ""
     return f"""{fact}
-SELECT {key}, {r2('coalesce(sum(total), 0)')} AS receita_bruta, {r2('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida
+SELECT {key}, {r4('coalesce(sum(total), 0)')} AS receita_bruta, {r4('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida
 FROM fact WHERE {key} IS NOT NULL AND {where} GROUP BY 1{tail}"""
 
 
@@ -173,14 +169,14 @@ _TEXT_COLS = ["platform", "order_mode", "status", "macro_bairro"]
 SQL: dict[str, str] = {
     # ------------------------------------------------------------ overview
     "overview_kpis": f"""{STAR}
-SELECT count(*) AS total_pedidos, {r2('coalesce(sum(total), 0)')} AS receita_total,
+SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
        {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
        {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
        {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
        min(dt) AS periodo_min, max(dt) AS periodo_max
 FROM fact""",
     "overview_kpis_filtered": f"""{STAR}
-SELECT count(*) AS total_pedidos, {r2('coalesce(sum(total), 0)')} AS receita_total,
+SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
        {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
        {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
        {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
@@ -190,10 +186,10 @@ FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
     "overview_timeseries_orders_weekly": _series(STAR, "TRUE", "W", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_orders_monthly": _series(STAR, "TRUE", "M", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_revenue_with_orders": _series(
-        STAR, "TRUE", "M", [("receita_total", "sum(total)", "0", "r2"), ("orders", "count(*)", "0", "")]
+        STAR, "TRUE", "M", [("receita_total", "sum(total)", "0", "r4"), ("orders", "count(*)", "0", "")]
     ),
     "overview_timeseries_revenue_with_orders_weekly_filtered": _series(
-        STAR, W_DATES_PLATFORM_SCORE, "W", [("receita_total", "sum(total)", "0", "r2"), ("orders", "count(*)", "0", "")]
+        STAR, W_DATES_PLATFORM_SCORE, "W", [("receita_total", "sum(total)", "0", "r4"), ("orders", "count(*)", "0", "")]
     ),
     "overview_by_platform": f"""{STAR}
 SELECT platform, count(*) AS orders FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
@@ -211,11 +207,11 @@ SELECT coalesce(status, 'nan') AS status, count(*) AS count FROM fact WHERE {W_N
     "overview_macro_avg_revenue": f"""{STAR}
 SELECT macro_bairro, {r4('avg(total)')} AS avg_receita FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth": f"""{STAR}
-SELECT macro_bairro, {r2('avg(total)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {r4('avg(total)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth_orders": f"""{STAR}
 SELECT macro_bairro, count(*) AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth_total": f"""{STAR}
-SELECT macro_bairro, {r2('coalesce(sum(total), 0)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {r4('coalesce(sum(total), 0)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_timeseries_orders_events": _series(_EVENTS, "TRUE", "D", [("orders", "count(*)", "0", "")]),
     # ------------------------------------------------------------ ops
     "ops_kpis": f"""{STAR}
@@ -261,7 +257,7 @@ FROM fact WHERE dt IS NOT NULL AND delivery IS NOT NULL GROUP BY 1""",
     "ops_late_rate_by_platform": _late(STAR, "platform", 0),
     # ------------------------------------------------------------ finance
     "finance_kpis": f"""{STAR}
-SELECT {r2('coalesce(sum(total), 0)')} AS receita_total, {r2('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida,
+SELECT {r4('coalesce(sum(total), 0)')} AS receita_total, {r4('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida,
        {r4('CASE WHEN coalesce(sum(items), 0) > 0 THEN coalesce(sum(total), 0) / sum(items) ELSE 0 END')} AS ticket_medio,
        count(*) AS total_pedidos
 FROM fact""",
@@ -271,27 +267,27 @@ SELECT count(*) AS total_pedidos FROM fact""",
 SELECT count(*) AS total_pedidos FROM fact WHERE {W_CLASS_AREA}""",
     "finance_timeseries_revenue": _series(
         STAR, "total IS NOT NULL", "D",
-        [("gross", "sum(total)", "0", "r2"), ("net", "sum(total * (1 - pct))", "0", "r2")],
+        [("gross", "sum(total)", "0", "r4"), ("net", "sum(total * (1 - pct))", "0", "r4")],
     ),
     "finance_timeseries_revenue_monthly": _series(
         STAR, "total IS NOT NULL", "M",
-        [("gross", "sum(total)", "0", "r2"), ("net", "sum(total * (1 - pct))", "0", "r2")],
+        [("gross", "sum(total)", "0", "r4"), ("net", "sum(total * (1 - pct))", "0", "r4")],
     ),
     "finance_margin_by_platform": f"""{STAR}
-SELECT platform, {r2('avg(total)')} AS gross, {r2('avg(total * (1 - pct))')} AS net,
+SELECT platform, {r4('avg(total)')} AS gross, {r4('avg(total * (1 - pct))')} AS net,
        {r4('coalesce(avg(total * (1 - pct)) / nullif(avg(total), 0), 0)')} AS margin_pct
 FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
     "finance_revenue_by_class": f"""{STAR}
-SELECT order_mode AS class, {r2('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
+SELECT order_mode AS class, {r4('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
     "finance_top_clients": f"""{STAR}
-SELECT cliente_id, {r2('coalesce(sum(total), 0)')} AS spent FROM fact WHERE cliente_id IS NOT NULL
+SELECT cliente_id, {r4('coalesce(sum(total), 0)')} AS spent FROM fact WHERE cliente_id IS NOT NULL
 GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
     "finance_revenue_by_platform": _gross_net(STAR, "platform"),
     "finance_revenue_by_macro": _gross_net(STAR, "macro_bairro"),
     "finance_revenue_by_macro_top5_filtered": _gross_net(STAR, "macro_bairro", W_CLASS_AREA, limit=5),
     "finance_revenue_by_item_class": f"""{STAR}
 SELECT CASE WHEN coalesce(items, 0) <= 1 THEN 'individual' WHEN coalesce(items, 0) <= 3 THEN 'combo' ELSE 'família' END AS classe,
-       {r2('coalesce(sum(total), 0)')} AS revenue
+       {r4('coalesce(sum(total), 0)')} AS revenue
 FROM fact GROUP BY 1""",
     # ------------------------------------------------------------ satisfaction
     "satisfaction_kpis": f"""{STAR}

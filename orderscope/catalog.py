@@ -145,28 +145,17 @@ QUERIES: dict[str, Query] = {
 # name is not a Spark type name).
 NO_ORACLE = {"explore_columns"}
 
-# Output columns holding sums of money, compared at cents.
-MONEY_COLUMNS = {
-    "receita_total",
-    "receita_liquida",
-    "receita_bruta",
-    "gross",
-    "net",
-    "revenue",
-    "spent",
-}
-
-
-def check_round(df: DataFrame) -> DataFrame:
-    """Round double columns half-up (cents for money sums, 4 decimals
-    otherwise) so results from engines with a different summation order
-    compare equal. ``floor(x·10^d + 0.5) / 10^d`` is evaluated identically
-    by any IEEE engine."""
+def check_round(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Round double columns half-up to ``digits`` decimals so results from
+    engines with a different summation order compare equal. Money in the
+    driver data has 2 decimals and net revenue exactly 4, so 4 decimals
+    never cuts at an exact half. ``floor(x·10^d + 0.5) / 10^d`` is evaluated
+    identically by any IEEE engine."""
+    scale = float(10**digits)
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            scale = 100.0 if f.name in MONEY_COLUMNS or f.name == "value" else 10000.0
             c = (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).alias(f.name)
         out.append(c)
     return df.select(*out)

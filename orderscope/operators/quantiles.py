@@ -85,24 +85,26 @@ def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices:
     ranged = ranged.withColumn(
         "_before", F.coalesce(F.sum("_c").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
+    # Slice totals carry renamed keys so the self-join below is unambiguous.
+    tk = {k: f"_t_{i}" for i, k in enumerate(keys)}
     slice_tot = ranged.groupBy("_s", *keys).agg(F.sum("_c").alias("_sc"))
     by_key = Window.partitionBy(*keys)
     slice_tot = slice_tot.select(
-        "_s",
-        *keys,
+        F.col("_s").alias("_ts"),
+        *[F.col(k).alias(tk[k]) for k in keys],
         F.coalesce(
             F.sum("_sc").over(by_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_off"),
         F.sum("_sc").over(by_key).alias("_n"),
     )
-    # Null-safe join on the key columns (a NULL key is a group of its own).
-    cond = [ranged["_s"] == slice_tot["_s"]] + [ranged[k].eqNullSafe(slice_tot[k]) for k in keys]
+    # Null-safe on the keys: a NULL key is a group of its own.
+    cond = [F.col("_s") == F.col("_ts")] + [F.col(k).eqNullSafe(F.col(tk[k])) for k in keys]
     placed = ranged.join(slice_tot, cond, "inner").select(
-        *[ranged[k] for k in keys],
-        ranged["_v"],
-        (slice_tot["_off"] + ranged["_before"]).alias("_lo"),
-        (slice_tot["_off"] + ranged["_before"] + ranged["_c"]).alias("_hi"),
-        slice_tot["_n"],
+        *keys,
+        "_v",
+        (F.col("_off") + F.col("_before")).alias("_lo"),
+        (F.col("_off") + F.col("_before") + F.col("_c")).alias("_hi"),
+        "_n",
     )
     n = F.col("_n")
     wanted = []
