@@ -181,6 +181,13 @@ SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_tot
        {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
        {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
        min(dt) AS periodo_min, max(dt) AS periodo_max
+FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
+    "overview_kpis_filtered_direct": f"""{STAR}
+SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
+       {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
+       {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
+       {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
+       min(dt) AS periodo_min, max(dt) AS periodo_max
 FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
     "overview_timeseries_orders": _series(STAR, "TRUE", "D", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_orders_weekly": _series(STAR, "TRUE", "W", [("orders", "count(*)", "0", "")]),
@@ -285,6 +292,7 @@ GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
     "finance_revenue_by_platform": _gross_net(STAR, "platform"),
     "finance_revenue_by_macro": _gross_net(STAR, "macro_bairro"),
     "finance_revenue_by_macro_top5_filtered": _gross_net(STAR, "macro_bairro", W_CLASS_AREA, limit=5),
+    "finance_revenue_by_macro_direct": _gross_net(STAR, "macro_bairro"),
     "finance_revenue_by_item_class": f"""{STAR}
 SELECT CASE WHEN coalesce(items, 0) <= 1 THEN 'individual' WHEN coalesce(items, 0) <= 3 THEN 'combo' ELSE 'família' END AS classe,
        {r4('coalesce(sum(total), 0)')} AS revenue

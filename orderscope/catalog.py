@@ -1,10 +1,12 @@
 """Named dataset queries over the driver tables.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame: the
-canonical fact is built from the given tables (mapping ``star``, its
-``star_nulls`` variant, or ``events``) and one dashboard dataset is planned
-on top. Filtered variants exercise the shared filters; the date bounds of a
-filter are also handed to the fact builder so they reach the Parquet scan.
+Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame. The
+canonical fact is derived from the given tables (mapping ``star``, its
+``star_nulls`` variant, or ``events``) and materialised once per session
+folder (``orderscope.sources.store``); one dashboard dataset is planned on
+top. The ``*_direct`` entries build the fact from the raw tables inside the
+query instead (the date bounds of their filter are pushed onto the raw
+``o_orderdate`` scan). Filtered variants exercise the shared filters.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import types as T
 
 from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
-from orderscope.sources.mapping import events_fact, star_fact
+from orderscope.sources.mapping import star_fact
+from orderscope.sources.store import materialised_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,28 +39,25 @@ SPEC_THRESHOLD = FilterSpec(threshold_min=10.0)
 EXPLORE_COLUMNS = ["order_id", "platform", "macro_bairro", "total_brl", "status"]
 
 
-def _star(spec: FilterSpec | None = None, nulls: bool = False):
-    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return star_fact(spark, sf_dir, spec, with_nulls=nulls)
-
-    return build
+def _on_star(fn, spec: FilterSpec | None = None, nulls: bool = False, **kw) -> Query:
+    mapping = "star_nulls" if nulls else "star"
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, mapping), spec, **kw)
 
 
-def _on_star(fn, spec: FilterSpec | None = None, nulls: bool = False, **kw) -> Query:
-    fact = _star(spec, nulls)
-    return lambda spark, sf_dir: fn(fact(spark, sf_dir), spec, **kw)
+def _on_star_direct(fn, spec: FilterSpec | None = None, **kw) -> Query:
+    return lambda spark, sf_dir: fn(star_fact(spark, sf_dir, spec), spec, **kw)
 
 
 def _on_events(fn, spec: FilterSpec | None = None, **kw) -> Query:
-    return lambda spark, sf_dir: fn(events_fact(spark, sf_dir, spec), spec, **kw)
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "events"), spec, **kw)
 
 
 def _meta(fn) -> Query:
-    return lambda spark, sf_dir: fn(star_fact(spark, sf_dir))
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star"))
 
 
 def _explore(fn, **kw) -> Query:
-    return lambda spark, sf_dir: fn(star_fact(spark, sf_dir), **kw)
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star"), **kw)
 
 
 QUERIES: dict[str, Query] = {
@@ -118,6 +118,8 @@ QUERIES: dict[str, Query] = {
     "finance_revenue_by_macro": _on_star(finance.revenue_by_macro),
     "finance_revenue_by_macro_top5_filtered": _on_star(finance.revenue_by_macro, SPEC_CLASS_AREA, n=5),
     "finance_revenue_by_item_class": _on_star(finance.revenue_by_item_class),
+    "finance_revenue_by_macro_direct": _on_star_direct(finance.revenue_by_macro),
+    "overview_kpis_filtered_direct": _on_star_direct(overview.kpis, SPEC_DATES_PLATFORM_SCORE, cancel_match="p"),
     # satisfaction
     "satisfaction_kpis": _on_star(satisfaction.kpis),
     "satisfaction_by_macro": _on_star(satisfaction.by_macro),

@@ -103,6 +103,14 @@ def filter_predicates(df: DataFrame, spec: FilterSpec, variant: str) -> list[Col
             preds.append(dt >= ts_literal(lo))
         if hi is not None:
             preds.append(dt < ts_literal(hi) if hi_exclusive else dt <= ts_literal(hi))
+        if has(df, "order_month"):
+            # Fact stored under order_month= directories: the implied bounds
+            # on the partition column let the scan skip whole months.
+            month = F.col("order_month")
+            if lo is not None:
+                preds.append(month >= F.trunc(F.to_date(ts_literal(lo)), "month"))
+            if hi is not None:
+                preds.append(month <= F.trunc(F.to_date(ts_literal(hi)), "month"))
 
     for role, values in (("platform", spec.platform), ("macro_bairro", spec.macro_bairro)):
         if values:

@@ -12,11 +12,11 @@ Mapping ``star`` (one row per order):
 
 Scale notes. The lineitem aggregate is hash-partitioned on the order key and
 its output partitioning is reused by the order join (only ``orders`` is
-shuffled for it). Customer ⋈ nation is joined before orders: nation is a
-fixed-size dimension, broadcast behind an explicit row-count check; customer
-grows with the data and is left to the planner (sort-merge join, or a
-broadcast when AQE measures it small). Skewed customer keys are split by AQE
-skew-join handling. For a date-filtered query the bounds are pushed onto the
+shuffled for it). Customer ⋈ nation is joined before orders. No join is
+hinted: the planner broadcasts a side only when its measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` (nation always; the lineitem
+aggregate and customer only at small scale), otherwise it plans a
+sort-merge join, and AQE splits skewed customer keys. For a date-filtered query the bounds are pushed onto the
 raw ``o_orderdate`` column (the derived timestamp lies in
 ``[o_orderdate, o_orderdate + 1 day)``), which prunes Parquet row groups.
 """
@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderscope.operators.filters import FilterSpec, ts_literal
-from orderscope.operators.joins import broadcast_if_small
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -75,7 +74,7 @@ def star_fact(
             F.max("l_discount").cast("double").alias("platform_commision_pct"),
         )
     )
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), max_rows=10_000)
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = (
         table(spark, sf_dir, "customer")
         .select("c_custkey", "c_mktsegment", "c_nationkey")
