@@ -4,7 +4,7 @@ Written from the dataset definitions, not from the Spark code: the fact is
 rebuilt with plain joins, buckets with DuckDB's own date functions, the
 calendar with ``generate_series``, quantiles with ``quantile_cont``.
 Double outputs are rounded half-up exactly as the Spark side does for the
-comparison (4 decimals).
+comparison: money sums on a 4-decimal grid, everything else on a 2^-12 grid.
 """
 
 from __future__ import annotations
@@ -58,10 +58,17 @@ STAR = _star()
 STAR_NULLS = _star(nulls=True)
 
 
-def r4(x: str) -> str:
+def rs(x: str) -> str:
+    """Sums of money (exact values have at most 4 decimals): 4-decimal grid."""
     return f"floor(({x}) * 10000 + 0.5) / 10000"
 
 
+def rb(x: str) -> str:
+    """Means, ratios, quantiles: binary grid of 2^-12, on which decimal data
+    never falls exactly half-way."""
+    return f"floor(({x}) * 4096 + 0.5) / 4096"
+
+
 # Filter conditions (same settings as the Spark catalogue's FilterSpecs).
 W_DATES_PLATFORM_SCORE = (
     "dt >= TIMESTAMP '1996-01-01' AND dt <= TIMESTAMP '1999-12-31' "
@@ -91,7 +98,7 @@ def _series(fact: str, where: str, freq: str, measures: list[tuple[str, str, str
     outs = []
     for name, _, fill, rnd in measures:
         v = f"b.{name}" if fill is None else f"coalesce(b.{name}, {fill})"
-        v = r4(v) if rnd == "r4" else v
+        v = {"rs": rs, "rb": rb}[rnd](v) if rnd else v
         outs.append(f"{v} AS {name}")
     return f"""{fact},
 b AS (SELECT {start} AS s, {aggs} FROM fact WHERE dt IS NOT NULL AND {where} GROUP BY 1),
@@ -112,23 +119,23 @@ k1 AS (SELECT k0.x, CASE WHEN k0.x < e.edge THEN k0.k - 1 ELSE k0.k END AS k FRO
 k2 AS (SELECT k1.x, CASE WHEN k1.x >= e.edge AND k1.k <> {bins - 1} THEN k1.k + 1 ELSE k1.k END AS k
        FROM k1 JOIN e ON e.i = k1.k + 1),
 cnt AS (SELECT k, count(*) AS c FROM k2 GROUP BY k)
-SELECT {r4('a.edge')} AS bin_start, {r4('z.edge')} AS bin_end, CAST(coalesce(cnt.c, 0) AS BIGINT) AS count
+SELECT {rb('a.edge')} AS bin_start, {rb('z.edge')} AS bin_end, CAST(coalesce(cnt.c, 0) AS BIGINT) AS count
 FROM e a JOIN e z ON z.i = a.i + 1 LEFT JOIN cnt ON cnt.k = a.i
 WHERE a.i < {bins}"""
 
 
 def _box(fact: str, key_expr: str, key: str, where: str) -> str:
     return f"""{fact}
-SELECT {key_expr} AS {key}, count(*) AS count, {r4('min(delivery)')} AS min,
-       {r4('quantile_cont(delivery, 0.25)')} AS q1, {r4('quantile_cont(delivery, 0.5)')} AS median,
-       {r4('quantile_cont(delivery, 0.75)')} AS q3, {r4('max(delivery)')} AS max
+SELECT {key_expr} AS {key}, count(*) AS count, {rb('min(delivery)')} AS min,
+       {rb('quantile_cont(delivery, 0.25)')} AS q1, {rb('quantile_cont(delivery, 0.5)')} AS median,
+       {rb('quantile_cont(delivery, 0.75)')} AS q3, {rb('max(delivery)')} AS max
 FROM fact WHERE delivery IS NOT NULL AND {where} GROUP BY 1"""
 
 
 def _percentiles(fact: str) -> str:
     return f"""{fact}
-SELECT macro_bairro, {r4('avg(delivery)')} AS mean, {r4('quantile_cont(delivery, 0.5)')} AS p50,
-       {r4('quantile_cont(delivery, 0.75)')} AS p75, {r4('quantile_cont(delivery, 0.9)')} AS p90, count(*) AS count
+SELECT macro_bairro, {rb('avg(delivery)')} AS mean, {rb('quantile_cont(delivery, 0.5)')} AS p50,
+       {rb('quantile_cont(delivery, 0.75)')} AS p75, {rb('quantile_cont(delivery, 0.9)')} AS p90, count(*) AS count
 FROM fact WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL GROUP BY 1"""
 
 
@@ -137,26 +144,26 @@ def _late(fact: str, key: str, thr: float) -> str:
 SELECT coalesce({key}, 'nan') AS {key},
        CAST(count_if(delivery - eta > {thr}) AS BIGINT) AS late_count,
        CAST(count(*) - count_if(delivery - eta > {thr}) AS BIGINT) AS on_time_count,
-       {r4(f'count_if(delivery - eta > {thr}) / count(*)')} AS late_rate
+       {rb(f'count_if(delivery - eta > {thr}) / count(*)')} AS late_rate
 FROM fact GROUP BY 1"""
 
 
 def _hour_orders(fact: str) -> str:
     return f"""{fact},
 h AS (SELECT CAST(hour(dt) AS INTEGER) AS hour, count(*) AS orders FROM fact WHERE dt IS NOT NULL GROUP BY 1)
-SELECT hour, orders, {r4('orders / (SELECT sum(orders) FROM h)')} AS share FROM h"""
+SELECT hour, orders, {rb('orders / (SELECT sum(orders) FROM h)')} AS share FROM h"""
 
 
 def _heat(fact: str, value: str) -> str:
     return f"""{fact}
-SELECT CAST(hour(dt) AS INTEGER) AS hour, CAST(isodow(dt) - 1 AS INTEGER) AS weekday, {r4(f'avg({value})')} AS value
+SELECT CAST(hour(dt) AS INTEGER) AS hour, CAST(isodow(dt) - 1 AS INTEGER) AS weekday, {rb(f'avg({value})')} AS value
 FROM fact WHERE dt IS NOT NULL AND ({value}) IS NOT NULL GROUP BY 1, 2"""
 
 
 def _gross_net(fact: str, key: str, where: str = "TRUE", limit: int | None = None) -> str:
     tail = f" ORDER BY sum(total) DESC NULLS LAST, {key} LIMIT {limit}" if limit else ""
     return f"""{fact}
-SELECT {key}, {r4('coalesce(sum(total), 0)')} AS receita_bruta, {r4('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida
+SELECT {key}, {rs('coalesce(sum(total), 0)')} AS receita_bruta, {rs('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida
 FROM fact WHERE {key} IS NOT NULL AND {where} GROUP BY 1{tail}"""
 
 
@@ -169,34 +176,34 @@ _TEXT_COLS = ["platform", "order_mode", "status", "macro_bairro"]
 SQL: dict[str, str] = {
     # ------------------------------------------------------------ overview
     "overview_kpis": f"""{STAR}
-SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
-       {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
-       {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
-       {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
+SELECT count(*) AS total_pedidos, {rs('coalesce(sum(total), 0)')} AS receita_total,
+       {rb('avg(total / nullif(items, 0))')} AS ticket_medio,
+       {rb("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
+       {rb('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
        min(dt) AS periodo_min, max(dt) AS periodo_max
 FROM fact""",
     "overview_kpis_filtered": f"""{STAR}
-SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
-       {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
-       {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
-       {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
+SELECT count(*) AS total_pedidos, {rs('coalesce(sum(total), 0)')} AS receita_total,
+       {rb('avg(total / nullif(items, 0))')} AS ticket_medio,
+       {rb("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
+       {rb('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
        min(dt) AS periodo_min, max(dt) AS periodo_max
 FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
     "overview_kpis_filtered_direct": f"""{STAR}
-SELECT count(*) AS total_pedidos, {r4('coalesce(sum(total), 0)')} AS receita_total,
-       {r4('avg(total / nullif(items, 0))')} AS ticket_medio,
-       {r4("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
-       {r4('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
+SELECT count(*) AS total_pedidos, {rs('coalesce(sum(total), 0)')} AS receita_total,
+       {rb('avg(total / nullif(items, 0))')} AS ticket_medio,
+       {rb("CASE WHEN count(*) > 0 THEN count_if(regexp_matches(coalesce(status, 'nan'), 'p', 'i')) * 100.0 / count(*) ELSE 0 END")} AS cancelados_pct,
+       {rb('count(*) / greatest((epoch_ms(max(dt)) - epoch_ms(min(dt))) // 86400000 + 1, 1)')} AS pedidos_por_dia,
        min(dt) AS periodo_min, max(dt) AS periodo_max
 FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
     "overview_timeseries_orders": _series(STAR, "TRUE", "D", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_orders_weekly": _series(STAR, "TRUE", "W", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_orders_monthly": _series(STAR, "TRUE", "M", [("orders", "count(*)", "0", "")]),
     "overview_timeseries_revenue_with_orders": _series(
-        STAR, "TRUE", "M", [("receita_total", "sum(total)", "0", "r4"), ("orders", "count(*)", "0", "")]
+        STAR, "TRUE", "M", [("receita_total", "sum(total)", "0", "rs"), ("orders", "count(*)", "0", "")]
     ),
     "overview_timeseries_revenue_with_orders_weekly_filtered": _series(
-        STAR, W_DATES_PLATFORM_SCORE, "W", [("receita_total", "sum(total)", "0", "r4"), ("orders", "count(*)", "0", "")]
+        STAR, W_DATES_PLATFORM_SCORE, "W", [("receita_total", "sum(total)", "0", "rs"), ("orders", "count(*)", "0", "")]
     ),
     "overview_by_platform": f"""{STAR}
 SELECT platform, count(*) AS orders FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
@@ -212,38 +219,38 @@ SELECT coalesce(status, 'nan') AS status, count(*) AS count FROM fact WHERE {W_N
     "overview_ticket_histogram": _hist(STAR, "TRUE", 15),
     "overview_ticket_histogram_filtered": _hist(STAR, W_CLASS_AREA, 40),
     "overview_macro_avg_revenue": f"""{STAR}
-SELECT macro_bairro, {r4('avg(total)')} AS avg_receita FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {rb('avg(total)')} AS avg_receita FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth": f"""{STAR}
-SELECT macro_bairro, {r4('avg(total)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {rb('avg(total)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth_orders": f"""{STAR}
 SELECT macro_bairro, count(*) AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth_total": f"""{STAR}
-SELECT macro_bairro, {r4('coalesce(sum(total), 0)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {rs('coalesce(sum(total), 0)')} AS value FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_timeseries_orders_events": _series(_EVENTS, "TRUE", "D", [("orders", "count(*)", "0", "")]),
     # ------------------------------------------------------------ ops
     "ops_kpis": f"""{STAR}
-SELECT {r4('avg(prep)')} AS tempo_medio_preparo, {r4('avg(delivery)')} AS tempo_medio_entrega,
-       {r4('avg(delivery - eta)')} AS atraso_medio, {r4('avg(distance_km)')} AS distancia_media,
-       {r4('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 0 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
+SELECT {rb('avg(prep)')} AS tempo_medio_preparo, {rb('avg(delivery)')} AS tempo_medio_entrega,
+       {rb('avg(delivery - eta)')} AS atraso_medio, {rb('avg(distance_km)')} AS distancia_media,
+       {rb('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 0 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
 FROM fact""",
     "ops_kpis_late": f"""{STAR}
-SELECT {r4('avg(prep)')} AS tempo_medio_preparo, {r4('avg(delivery)')} AS tempo_medio_entrega,
-       {r4('avg(delivery - eta)')} AS atraso_medio, {r4('avg(distance_km)')} AS distancia_media,
-       {r4('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 2 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
+SELECT {rb('avg(prep)')} AS tempo_medio_preparo, {rb('avg(delivery)')} AS tempo_medio_entrega,
+       {rb('avg(delivery - eta)')} AS atraso_medio, {rb('avg(distance_km)')} AS distancia_media,
+       {rb('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 2 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
 FROM fact WHERE {W_LATE}""",
     "ops_timeseries_delivery": _series(
-        STAR, "delivery IS NOT NULL", "D", [("avg_delivery_minutes", "avg(delivery)", None, "r4")]
+        STAR, "delivery IS NOT NULL", "D", [("avg_delivery_minutes", "avg(delivery)", None, "rb")]
     ),
     "ops_timeseries_delivery_weekly": _series(
-        STAR, "delivery IS NOT NULL", "W", [("avg_delivery_minutes", "avg(delivery)", None, "r4")]
+        STAR, "delivery IS NOT NULL", "W", [("avg_delivery_minutes", "avg(delivery)", None, "rb")]
     ),
     "ops_boxplot_delivery_by_macro": _box(STAR, "macro_bairro", "macro_bairro", "macro_bairro IS NOT NULL"),
     "ops_boxplot_values_by_macro": f"""{STAR}
-SELECT macro_bairro, {r4('delivery')} AS delivery_minutes FROM fact WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL""",
+SELECT macro_bairro, {rb('delivery')} AS delivery_minutes FROM fact WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL""",
     "ops_delay_heatmap_by_macro": f"""{STAR}
-SELECT macro_bairro, {r4('avg(delivery - eta)')} AS avg_delay FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
+SELECT macro_bairro, {rb('avg(delivery - eta)')} AS avg_delay FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "ops_scatter_distance_delivery": f"""{STAR}
-SELECT {r4('distance_km')} AS distance_km, {r4('delivery')} AS delivery_minutes
+SELECT {rb('distance_km')} AS distance_km, {rb('delivery')} AS delivery_minutes
 FROM fact WHERE distance_km IS NOT NULL AND delivery IS NOT NULL""",
     "ops_orders_by_hour": _hour_orders(STAR),
     "ops_orders_by_hour_events": _hour_orders(_EVENTS),
@@ -253,10 +260,10 @@ FROM fact WHERE distance_km IS NOT NULL AND delivery IS NOT NULL""",
     "ops_percentiles_by_macro_events": _percentiles(_EVENTS),
     "ops_delivery_by_weekday": _box(STAR, "CAST(isodow(dt) - 1 AS INTEGER)", "weekday", "dt IS NOT NULL"),
     "ops_delivery_values_by_weekday": f"""{STAR}
-SELECT CAST(isodow(dt) - 1 AS INTEGER) AS weekday, {r4('delivery')} AS delivery_minutes
+SELECT CAST(isodow(dt) - 1 AS INTEGER) AS weekday, {rb('delivery')} AS delivery_minutes
 FROM fact WHERE dt IS NOT NULL AND delivery IS NOT NULL""",
     "ops_avg_delivery_by_hour": f"""{STAR}
-SELECT CAST(hour(dt) AS INTEGER) AS hour, {r4('avg(delivery)')} AS avg_delivery_minutes
+SELECT CAST(hour(dt) AS INTEGER) AS hour, {rb('avg(delivery)')} AS avg_delivery_minutes
 FROM fact WHERE dt IS NOT NULL AND delivery IS NOT NULL GROUP BY 1""",
     "ops_heatmap_hour_weekday": _heat(STAR, "delivery"),
     "ops_heatmap_hour_weekday_delay": _heat(STAR, "delivery - eta"),
@@ -264,8 +271,8 @@ FROM fact WHERE dt IS NOT NULL AND delivery IS NOT NULL GROUP BY 1""",
     "ops_late_rate_by_platform": _late(STAR, "platform", 0),
     # ------------------------------------------------------------ finance
     "finance_kpis": f"""{STAR}
-SELECT {r4('coalesce(sum(total), 0)')} AS receita_total, {r4('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida,
-       {r4('CASE WHEN coalesce(sum(items), 0) > 0 THEN coalesce(sum(total), 0) / sum(items) ELSE 0 END')} AS ticket_medio,
+SELECT {rs('coalesce(sum(total), 0)')} AS receita_total, {rs('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida,
+       {rb('CASE WHEN coalesce(sum(items), 0) > 0 THEN coalesce(sum(total), 0) / sum(items) ELSE 0 END')} AS ticket_medio,
        count(*) AS total_pedidos
 FROM fact""",
     "finance_orders_count": f"""{STAR}
@@ -274,20 +281,20 @@ SELECT count(*) AS total_pedidos FROM fact""",
 SELECT count(*) AS total_pedidos FROM fact WHERE {W_CLASS_AREA}""",
     "finance_timeseries_revenue": _series(
         STAR, "total IS NOT NULL", "D",
-        [("gross", "sum(total)", "0", "r4"), ("net", "sum(total * (1 - pct))", "0", "r4")],
+        [("gross", "sum(total)", "0", "rs"), ("net", "sum(total * (1 - pct))", "0", "rs")],
     ),
     "finance_timeseries_revenue_monthly": _series(
         STAR, "total IS NOT NULL", "M",
-        [("gross", "sum(total)", "0", "r4"), ("net", "sum(total * (1 - pct))", "0", "r4")],
+        [("gross", "sum(total)", "0", "rs"), ("net", "sum(total * (1 - pct))", "0", "rs")],
     ),
     "finance_margin_by_platform": f"""{STAR}
-SELECT platform, {r4('avg(total)')} AS gross, {r4('avg(total * (1 - pct))')} AS net,
-       {r4('coalesce(avg(total * (1 - pct)) / nullif(avg(total), 0), 0)')} AS margin_pct
+SELECT platform, {rb('avg(total)')} AS gross, {rb('avg(total * (1 - pct))')} AS net,
+       {rb('coalesce(avg(total * (1 - pct)) / nullif(avg(total), 0), 0)')} AS margin_pct
 FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
     "finance_revenue_by_class": f"""{STAR}
-SELECT order_mode AS class, {r4('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
+SELECT order_mode AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
     "finance_top_clients": f"""{STAR}
-SELECT cliente_id, {r4('coalesce(sum(total), 0)')} AS spent FROM fact WHERE cliente_id IS NOT NULL
+SELECT cliente_id, {rs('coalesce(sum(total), 0)')} AS spent FROM fact WHERE cliente_id IS NOT NULL
 GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
     "finance_revenue_by_platform": _gross_net(STAR, "platform"),
     "finance_revenue_by_macro": _gross_net(STAR, "macro_bairro"),
@@ -295,34 +302,34 @@ GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
     "finance_revenue_by_macro_direct": _gross_net(STAR, "macro_bairro"),
     "finance_revenue_by_item_class": f"""{STAR}
 SELECT CASE WHEN coalesce(items, 0) <= 1 THEN 'individual' WHEN coalesce(items, 0) <= 3 THEN 'combo' ELSE 'família' END AS classe,
-       {r4('coalesce(sum(total), 0)')} AS revenue
+       {rs('coalesce(sum(total), 0)')} AS revenue
 FROM fact GROUP BY 1""",
     # ------------------------------------------------------------ satisfaction
     "satisfaction_kpis": f"""{STAR}
-SELECT {r4('CASE WHEN count(*) > 0 THEN avg(score) ELSE 0 END')} AS nivel_medio,
-       {r4('CASE WHEN count(*) > 0 THEN avg(CASE WHEN score >= 4.5 THEN 1 ELSE 0 END) * 100 ELSE 0 END')} AS pct_muito_satisfeitos,
+SELECT {rb('CASE WHEN count(*) > 0 THEN avg(score) ELSE 0 END')} AS nivel_medio,
+       {rb('CASE WHEN count(*) > 0 THEN avg(CASE WHEN score >= 4.5 THEN 1 ELSE 0 END) * 100 ELSE 0 END')} AS pct_muito_satisfeitos,
        count(score) AS total_avaliacoes,
        strftime(min(dt), '%Y-%m-%d %H:%M:%S') AS periodo_min, strftime(max(dt), '%Y-%m-%d %H:%M:%S') AS periodo_max
 FROM fact WHERE {W_SAT}""",
     "satisfaction_by_macro": f"""{STAR}
-SELECT macro_bairro, {r4('avg(score)')} AS avg_satisfacao, count(score) AS count
+SELECT macro_bairro, {rb('avg(score)')} AS avg_satisfacao, count(score) AS count
 FROM fact WHERE {W_SAT} AND macro_bairro IS NOT NULL GROUP BY 1""",
     "satisfaction_scatter_time_score": f"""{STAR}
 SELECT order_id, strftime(dt, '%Y-%m-%d %H:%M:%S') AS date, coalesce(platform, 'nan') AS platform,
-       coalesce(macro_bairro, 'nan') AS macro_bairro, {r4('delivery')} AS delivery_minutes, {r4('score')} AS satisfacao,
-       {r4('eta')} AS eta_minutes
+       coalesce(macro_bairro, 'nan') AS macro_bairro, {rb('delivery')} AS delivery_minutes, {rb('score')} AS satisfacao,
+       {rb('eta')} AS eta_minutes
 FROM fact WHERE {W_SAT} AND delivery IS NOT NULL""",
     "satisfaction_timeseries": _series(
-        STAR, W_SAT, "M", [("avg_satisfacao", "avg(score)", "0", "r4"), ("count", "count(score)", "0", "")]
+        STAR, W_SAT, "M", [("avg_satisfacao", "avg(score)", "0", "rb"), ("count", "count(score)", "0", "")]
     ),
     "satisfaction_timeseries_weekly": _series(
-        STAR, W_SAT, "W", [("avg_satisfacao", "avg(score)", "0", "r4"), ("count", "count(score)", "0", "")]
+        STAR, W_SAT, "W", [("avg_satisfacao", "avg(score)", "0", "rb"), ("count", "count(score)", "0", "")]
     ),
     "satisfaction_by_platform": f"""{STAR}
-SELECT platform, {r4('avg(score)')} AS avg_satisfacao, count(score) AS count
+SELECT platform, {rb('avg(score)')} AS avg_satisfacao, count(score) AS count
 FROM fact WHERE {W_SAT} AND platform IS NOT NULL GROUP BY 1""",
     "satisfaction_by_platform_on_time": f"""{STAR}
-SELECT platform, {r4('avg(score)')} AS avg_satisfacao, count(score) AS count
+SELECT platform, {rb('avg(score)')} AS avg_satisfacao, count(score) AS count
 FROM fact WHERE {W_ON_TIME_SCORE} AND platform IS NOT NULL GROUP BY 1""",
     # ------------------------------------------------------------ meta
     "meta_platforms": f"""{STAR}
@@ -335,16 +342,16 @@ SELECT strftime(min(dt), '%Y-%m-%d %H:%M:%S') AS periodo_min, strftime(max(dt),
     "explore_count": f"""{STAR}
 SELECT count(*) AS count FROM fact WHERE {_search(_TEXT_COLS, 'build|^f$')}""",
     "explore_page": f"""{STAR}
-SELECT order_id, platform, macro_bairro, {r4('total')} AS total_brl, status FROM fact
+SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}
 ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "explore_page_asc": f"""{STAR}
-SELECT order_id, platform, macro_bairro, {r4('total')} AS total_brl, status FROM fact
+SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
 ORDER BY status ASC NULLS LAST, order_id LIMIT 500 OFFSET 0""",
     "explore_numeric_summary": f"""{STAR}
-SELECT {r4('CAST(count(total) AS DOUBLE)')} AS count, {r4('avg(total)')} AS mean, {r4('stddev_samp(total)')} AS std,
-       {r4('min(total)')} AS min, {r4('quantile_cont(total, 0.25)')} AS p25, {r4('quantile_cont(total, 0.5)')} AS p50,
-       {r4('quantile_cont(total, 0.75)')} AS p75, {r4('max(total)')} AS max
+SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean, {rb('stddev_samp(total)')} AS std,
+       {rb('min(total)')} AS min, {rb('quantile_cont(total, 0.25)')} AS p25, {rb('quantile_cont(total, 0.5)')} AS p50,
+       {rb('quantile_cont(total, 0.75)')} AS p75, {rb('max(total)')} AS max
 FROM fact""",
     "explore_top_values": f"""{STAR}
 SELECT coalesce(macro_bairro, 'nan') AS value, count(*) AS count FROM fact GROUP BY 1 ORDER BY count DESC, value LIMIT 20""",

@@ -147,17 +147,32 @@ QUERIES: dict[str, Query] = {
 # name is not a Spark type name).
 NO_ORACLE = {"explore_columns"}
 
-def check_round(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round double columns half-up to ``digits`` decimals so results from
-    engines with a different summation order compare equal. Money in the
-    driver data has 2 decimals and net revenue exactly 4, so 4 decimals
-    never cuts at an exact half. ``floor(x·10^d + 0.5) / 10^d`` is evaluated
+# Output columns that are sums of money; their exact values
+# have at most 4 decimals. In "margin" queries gross/net are means instead.
+SUM_COLUMNS = {"receita_total", "receita_liquida", "receita_bruta", "gross", "net", "revenue", "spent"}
+SUM_COLUMNS_BY_QUERY = {
+    "overview_macro_choropleth_total": {"value"},
+    "finance_margin_by_platform": set(),
+}
+
+
+def sum_columns(name: str) -> set[str]:
+    return SUM_COLUMNS_BY_QUERY.get(name, SUM_COLUMNS)
+
+
+def check_round(df: DataFrame, sums: set[str] | None = None) -> DataFrame:
+    """Round double columns half-up so results from engines with a different
+    summation order compare equal: money sums on the 4-decimal grid (their
+    exact values lie on it, so order noise never moves them), all other
+    doubles (means, ratios, quantiles) on a 2^-12 grid, where decimal data
+    never lands exactly half-way. ``floor(x·s + 0.5) / s`` is evaluated
     identically by any IEEE engine."""
-    scale = float(10**digits)
+    sums = SUM_COLUMNS if sums is None else sums
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
+            scale = 10000.0 if f.name in sums else 4096.0
             c = (F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).alias(f.name)
         out.append(c)
     return df.select(*out)
