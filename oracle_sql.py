@@ -355,4 +355,13 @@ SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean
 FROM fact""",
     "explore_top_values": f"""{STAR}
 SELECT coalesce(macro_bairro, 'nan') AS value, count(*) AS count FROM fact GROUP BY 1 ORDER BY count DESC, value LIMIT 20""",
+    # ------------------------------------------------------------ streaming
+    # a daily window is emitted once the watermark (max event time - 1 hour)
+    # reaches its end; the still-open windows are not in the result
+    "stream_events_daily_windows": f"""WITH d AS (
+  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, count(*) AS orders, avg(value) AS a
+  FROM events WHERE ts IS NOT NULL GROUP BY 1
+)
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, orders, {rb('a')} AS avg_delivery_minutes
+FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 }

@@ -21,6 +21,7 @@ from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
 from orderscope.sources.mapping import star_fact
 from orderscope.sources.store import materialised_fact
+from orderscope.streaming.windows import streamed_daily_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +142,9 @@ QUERIES: dict[str, Query] = {
     "explore_page_asc": _explore(explore.page, cols=EXPLORE_COLUMNS, sort="status", order=1, offset=0, limit=500),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
+    # streaming: the events table as a file stream, daily event-time windows,
+    # 1 hour allowed lateness, append mode, run to completion
+    "stream_events_daily_windows": streamed_daily_orders,
 }
 
 # Queries whose SQL form is not meaningful (schema listing: a DuckDB type

@@ -121,6 +121,11 @@ def events_fact(spark: SparkSession, sf_dir: str, spec: FilterSpec | None = None
             ev = ev.where(F.col("ts") >= ts_literal(lo))
         if hi is not None:
             ev = ev.where(F.col("ts") < ts_literal(hi) if hi_exclusive else F.col("ts") <= ts_literal(hi))
+    return events_to_fact(ev)
+
+
+def events_to_fact(ev: DataFrame) -> DataFrame:
+    """Projection of an events frame (batch or streaming) onto the fact."""
     k = F.get_json_object(F.col("props"), "$.k").try_cast("bigint")
     return ev.select(
         F.col("event_id").alias("order_id"),
