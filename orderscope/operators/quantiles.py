@@ -19,6 +19,12 @@ operator is a distributed rank selection instead:
    ``q = a + (b − a)·t`` (or ``b − (b − a)·(1 − t)`` for ``t ≥ 0.5``).
 
 Memory per task is bounded by the slice size for any key distribution.
+The slice exchange is a ``repartitionByRange(n)``: AQE never coalesces or
+splits such a user-sized shuffle, and the slice id is read once, in the
+stage after it; ranks and slice totals are both derived from that one
+windowed frame (the small totals table is joined back), so they agree.
+With ``with_mean`` the group mean ``Σ v·c / Σ c`` comes from the same slice
+totals (no second pass over the rows).
 ``method="approx"`` uses ``percentile_approx`` (one pass, bounded sketch);
 ``method="buffer"`` uses Spark's exact ``percentile`` (fast for few distinct
 values per group, unbounded for many).
@@ -47,8 +53,9 @@ def group_quantiles(
     method: str = "exact",
     slices: int | None = None,
     approx_accuracy: int = 10_000,
+    with_mean: bool = False,
 ) -> DataFrame:
-    """Return ``keys + [count] + one column per name in probs``.
+    """Return ``keys + [count] + one column per name in probs`` (+ ``mean``).
 
     Rows with a NULL value are ignored; NULL keys are kept as a group (the
     caller filters them if its semantics drop them). ``count`` is the number
@@ -60,34 +67,50 @@ def group_quantiles(
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    mean = [F.avg("_v").alias("mean")] if with_mean else []
     if method == "buffer":
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("count"),
+            *mean,
             *[F.percentile(F.col("_v"), float(p)).alias(name) for name, p in probs.items()],
         )
     if method == "approx":
         return rows.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("count"),
+            *mean,
             *[F.percentile_approx(F.col("_v"), float(p), approx_accuracy).cast("double").alias(name)
               for name, p in probs.items()],
         )
-    return _exact(rows, keys, probs, slices)
+    return _exact(rows, keys, probs, slices, with_mean)
 
 
-def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices: int | None) -> DataFrame:
+def _exact(
+    rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices: int | None, with_mean: bool
+) -> DataFrame:
     spark = rows.sparkSession
     n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v").asc()]
     ranged = distinct.repartitionByRange(n_slices, *order).withColumn("_s", F.spark_partition_id())
 
-    in_slice = Window.partitionBy("_s", *keys).orderBy("_v")
-    ranged = ranged.withColumn(
-        "_before", F.coalesce(F.sum("_c").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Running count before each value inside its (slice, key) block, and the
+    # block total, from one window partitioning (one exchange).
+    block = Window.partitionBy("_s", *keys)
+    ranged = ranged.select(
+        *keys,
+        "_s",
+        "_v",
+        "_c",
+        F.coalesce(F.sum("_c").over(block.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
+            "_before"
+        ),
+        F.sum("_c").over(block).alias("_sc"),
+        F.sum(F.col("_v") * F.col("_c")).over(block).alias("_ssum"),
     )
-    # Slice totals carry renamed keys so the self-join below is unambiguous.
+    # One row per (slice, key): the aggregate reuses the window's
+    # partitioning, so it adds no exchange. Keys are renamed for the join.
     tk = {k: f"_t_{i}" for i, k in enumerate(keys)}
-    slice_tot = ranged.groupBy("_s", *keys).agg(F.sum("_c").alias("_sc"))
+    slice_tot = ranged.groupBy("_s", *keys).agg(F.first("_sc").alias("_sc"), F.first("_ssum").alias("_ssum"))
     by_key = Window.partitionBy(*keys)
     slice_tot = slice_tot.select(
         F.col("_s").alias("_ts"),
@@ -96,6 +119,7 @@ def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices:
             F.sum("_sc").over(by_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_off"),
         F.sum("_sc").over(by_key).alias("_n"),
+        (F.sum("_ssum").over(by_key) / F.sum("_sc").over(by_key)).alias("_mean"),
     )
     # Null-safe on the keys: a NULL key is a group of its own.
     cond = [F.col("_s") == F.col("_ts")] + [F.col(k).eqNullSafe(F.col(tk[k])) for k in keys]
@@ -105,6 +129,7 @@ def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices:
         (F.col("_off") + F.col("_before")).alias("_lo"),
         (F.col("_off") + F.col("_before") + F.col("_c")).alias("_hi"),
         "_n",
+        "_mean",
     )
     n = F.col("_n")
     wanted = []
@@ -117,12 +142,13 @@ def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices:
     hits = placed.select(
         *keys,
         "_n",
+        "_mean",
         "_v",
         F.explode(
             F.filter(F.array(*wanted), lambda w: (w["pos"] >= F.col("_lo")) & (w["pos"] < F.col("_hi")))
         ).alias("_w"),
     )
-    picked = hits.groupBy(*keys, "_n").agg(
+    picked = hits.groupBy(*keys, "_n", "_mean").agg(
         *[
             F.max(F.when((F.col("_w.q") == name) & (F.col("_w.side") == side), F.col("_v"))).alias(f"{name}__{side}")
             for name in probs
@@ -130,6 +156,8 @@ def _exact(rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices:
         ]
     )
     out = [F.col(k) for k in keys] + [F.col("_n").cast("bigint").alias("count")]
+    if with_mean:
+        out.append(F.col("_mean").alias("mean"))
     for name, p in probs.items():
         h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         t = h - F.floor(h)

@@ -130,34 +130,39 @@ def orders_by_hour(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame
     ).orderBy("hour")
 
 
-def _late_rate(df: DataFrame, key: str, threshold_min: float | None) -> DataFrame:
+def _late_rate(df: DataFrame, key: str, threshold_min: float | None, unknown_count: bool = False) -> DataFrame:
     require(df, key, DELIVERY, ETA)
     late = late_flag(F.col(DELIVERY), F.col(ETA), float(threshold_min or 0.0))
+    unknown = (F.col(DELIVERY) - F.col(ETA)).isNull()
     g = df.groupBy(text_key(key).alias(key)).agg(
-        F.count_if(late).alias("late_count"), F.count(F.lit(1)).alias("_total")
+        F.count_if(late).alias("late_count"), F.count(F.lit(1)).alias("_total"), F.count_if(unknown).alias("_unknown")
     )
-    return g.select(
-        key,
-        "late_count",
+    cols = [
+        F.col(key),
+        F.col("late_count"),
         (F.col("_total") - F.col("late_count")).alias("on_time_count"),
         F.coalesce(F.try_divide(F.col("late_count"), F.col("_total")), F.lit(0.0)).alias("late_rate"),
-    ).orderBy(*by_measure_desc("late_rate", key))
+    ]
+    if unknown_count:
+        cols.append(F.col("_unknown").alias("unknown_count"))
+    return g.select(*cols).orderBy(*by_measure_desc("late_rate", key))
 
 
-def late_rate_by_macro(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+def late_rate_by_macro(fact: DataFrame, spec: FilterSpec | None = None, unknown_count: bool = False) -> DataFrame:
     """macro_bairro, late_count, on_time_count, late_rate. Late means
-    delivery − eta > threshold_min; an unknown delay counts as on time. The
-    late/on-time filter of the spec is not applied here."""
+    delivery − eta > threshold_min; an unknown delay counts as on time
+    (``unknown_count`` adds how many those are). The late/on-time filter of
+    the spec is not applied here."""
     spec = spec or FilterSpec()
     df = _filtered(fact, spec.without_delivery_status())
-    return _late_rate(df, "macro_bairro", spec.threshold_min)
+    return _late_rate(df, "macro_bairro", spec.threshold_min, unknown_count)
 
 
-def late_rate_by_platform(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+def late_rate_by_platform(fact: DataFrame, spec: FilterSpec | None = None, unknown_count: bool = False) -> DataFrame:
     """platform, late_count, on_time_count, late_rate (as by area)."""
     spec = spec or FilterSpec()
     df = _filtered(fact, spec.without_delivery_status())
-    return _late_rate(df, "platform", spec.threshold_min)
+    return _late_rate(df, "platform", spec.threshold_min, unknown_count)
 
 
 def percentiles_by_macro(fact: DataFrame, spec: FilterSpec | None = None, method: str = "exact") -> DataFrame:
@@ -166,12 +171,9 @@ def percentiles_by_macro(fact: DataFrame, spec: FilterSpec | None = None, method
     df = _filtered(fact, spec)
     require(df, "macro_bairro", DELIVERY)
     rows = _delivery_rows(df, F.col("macro_bairro"), "macro_bairro")
-    q = group_quantiles(rows, ["macro_bairro"], "delivery_minutes", PERCENTILE_PROBS, method=method)
-    means = rows.groupBy("macro_bairro").agg(F.avg("delivery_minutes").alias("mean"))
-    return (
-        q.join(means, "macro_bairro")
-        .select("macro_bairro", "mean", "p50", "p75", "p90", "count")
-        .orderBy(*by_measure_desc("p90", "macro_bairro"))
+    q = group_quantiles(rows, ["macro_bairro"], "delivery_minutes", PERCENTILE_PROBS, method=method, with_mean=True)
+    return q.select("macro_bairro", "mean", "p50", "p75", "p90", "count").orderBy(
+        *by_measure_desc("p90", "macro_bairro")
     )
 
 

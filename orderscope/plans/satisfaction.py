@@ -72,17 +72,19 @@ def by_platform(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     return _score_by(_filtered(fact, spec), "platform").orderBy(*by_keys("platform"))
 
 
-def scatter_time_score(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+def scatter_time_score(fact: DataFrame, spec: FilterSpec | None = None, prune_empty: bool = False) -> DataFrame:
     """order_id, date (text), platform, macro_bairro, delivery_minutes,
     satisfacao, eta_minutes for every order with a delivery time and a
-    score. The schema is fixed: an absent role is a NULL column."""
+    score. The schema is fixed: an absent role is a NULL column. With
+    ``prune_empty`` the optional columns that are NULL on every row are
+    dropped (one extra aggregate job; the schema then depends on the data)."""
     df = _filtered(fact, spec)
     require(df, "actual_delivery_minutes", SCORE)
 
     def opt(role, expr=None, typ="string"):
         return (expr if expr is not None else F.col(role)) if has(df, role) else F.lit(None).cast(typ)
 
-    return df.where(F.col("actual_delivery_minutes").isNotNull() & F.col(SCORE).isNotNull()).select(
+    out = df.where(F.col("actual_delivery_minutes").isNotNull() & F.col(SCORE).isNotNull()).select(
         opt("order_id").alias("order_id"),
         opt("order_datetime", F.date_format("order_datetime", DATETIME_TEXT)).alias("date"),
         opt("platform", text_key("platform")).alias("platform"),
@@ -91,6 +93,11 @@ def scatter_time_score(fact: DataFrame, spec: FilterSpec | None = None) -> DataF
         F.col(SCORE).alias("satisfacao"),
         opt("eta_minutes_quote", typ="double").alias("eta_minutes"),
     )
+    if not prune_empty:
+        return out
+    optional = ["order_id", "platform", "macro_bairro", "eta_minutes"]
+    counts = out.agg(*[F.count(c).alias(c) for c in optional]).first()
+    return out.drop(*[c for c in optional if counts[c] == 0])
 
 
 def timeseries(fact: DataFrame, spec: FilterSpec | None = None, freq: str = "M") -> DataFrame:

@@ -64,6 +64,8 @@ def test_late_rate_unknown_delay_counts_on_time(spark):
     assert rows["X"].late_count == 0 and rows["nan"].late_count == 1
     total = sum(r.late_count + r.on_time_count for r in ops.late_rate_by_macro(fact).collect())
     assert total == 4
+    rows = {r.macro_bairro: r.unknown_count for r in ops.late_rate_by_macro(fact, unknown_count=True).collect()}
+    assert rows == {"X": 1, "nan": 0}
 
 
 def test_delay_heatmap_keeps_all_null_group(spark):
@@ -196,6 +198,8 @@ def test_satisfaction_scatter_fixed_schema(spark):
     ).drop("platform")
     r = satisfaction.scatter_time_score(fact).first()
     assert r.date == "2024-01-01 10:00:00" and r.platform is None and r.macro_bairro == "nan"
+    pruned = satisfaction.scatter_time_score(fact, prune_empty=True)
+    assert "platform" not in pruned.columns and "eta_minutes" not in pruned.columns and "order_id" in pruned.columns
 
 
 def test_meta_lists(spark):
