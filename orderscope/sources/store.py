@@ -10,7 +10,8 @@ shared folder named by ``spark.checkpoint.dir`` and every dataset reads it:
   (``PushedFilters``); the order id in the range key splits a timestamp
   shared by a huge number of orders over many files instead of one task;
 * the file count follows the size of the driving table (one fact row per
-  order / event), about 128 MB per file;
+  order / event), about 128 MB per file, and at least one file per core so
+  small tables still scan in parallel;
 * optionally partitioned by ``order_month`` (directory pruning; the filter
   builder adds the matching partition predicate);
 * the table location is keyed by the mapping and by the size and
@@ -119,7 +120,8 @@ def materialised_fact(
         return _RESOLVED[key]
     path, source_bytes = fact_location(spark, sf_dir, mapping, partition_by_month)
     if not _committed(spark, path):
-        files = max(1, math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES))
+        by_size = math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES)
+        files = max(1, by_size, spark.sparkContext.defaultParallelism)
         write_fact(_builder(mapping)(spark, sf_dir), path, files, partition_by_month)
     _RESOLVED[key] = spark.read.parquet(path)
     return _RESOLVED[key]
