@@ -16,6 +16,15 @@ def text_key(c: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NULL_TOKEN))
 
 
+def datetime_text(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` text of a wall-clock ``timestamp_ntz``.
+
+    A string cast of timestamp_ntz involves no time zone; ``date_format``
+    does, and shifts wall-clock times that fall in a daylight-saving gap of
+    the session zone."""
+    return F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)
+
+
 def ci_regex(pattern: str) -> str:
     """Case-insensitive, Unicode-aware Java regex (``(?i)`` alone only folds ASCII)."""
     return "(?iu)" + pattern

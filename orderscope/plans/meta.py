@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderscope.functions.expressions import datetime_text
 from orderscope.sources.columns import require
 
-DATETIME_TEXT = "yyyy-MM-dd HH:mm:ss"
-
 
 def _distinct_text(fact: DataFrame, role: str) -> DataFrame:
     require(fact, role)
@@ -34,6 +33,6 @@ def date_range(fact: DataFrame) -> DataFrame:
     """periodo_min, periodo_max as text (NULL when there is no date)."""
     require(fact, "order_datetime")
     return fact.agg(
-        F.date_format(F.min("order_datetime"), DATETIME_TEXT).alias("periodo_min"),
-        F.date_format(F.max("order_datetime"), DATETIME_TEXT).alias("periodo_max"),
+        datetime_text(F.min("order_datetime")).alias("periodo_min"),
+        datetime_text(F.max("order_datetime")).alias("periodo_max"),
     )

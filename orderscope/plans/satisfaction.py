@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.functions.expressions import text_key
+from orderscope.functions.expressions import datetime_text, text_key
 from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.ranking import by_keys, by_measure_desc
 from orderscope.operators.timeseries import bucketed_series
@@ -17,7 +17,6 @@ from orderscope.sources.columns import has, require
 
 VARIANT = "satisfaction"
 SCORE = "satisfacao_nivel"
-DATETIME_TEXT = "yyyy-MM-dd HH:mm:ss"
 
 
 def _filtered(fact: DataFrame, spec: FilterSpec | None) -> DataFrame:
@@ -46,8 +45,8 @@ def kpis(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
         F.when(any_rows, F.col("_mean")).otherwise(F.lit(0.0)).alias("nivel_medio"),
         F.when(any_rows, F.col("_share") * 100.0).otherwise(F.lit(0.0)).alias("pct_muito_satisfeitos"),
         "total_avaliacoes",
-        F.date_format("_dmin", DATETIME_TEXT).alias("periodo_min"),
-        F.date_format("_dmax", DATETIME_TEXT).alias("periodo_max"),
+        datetime_text(F.col("_dmin")).alias("periodo_min"),
+        datetime_text(F.col("_dmax")).alias("periodo_max"),
     )
 
 
@@ -86,7 +85,7 @@ def scatter_time_score(fact: DataFrame, spec: FilterSpec | None = None, prune_em
 
     out = df.where(F.col("actual_delivery_minutes").isNotNull() & F.col(SCORE).isNotNull()).select(
         opt("order_id").alias("order_id"),
-        opt("order_datetime", F.date_format("order_datetime", DATETIME_TEXT)).alias("date"),
+        opt("order_datetime", datetime_text(F.col("order_datetime"))).alias("date"),
         opt("platform", text_key("platform")).alias("platform"),
         opt("macro_bairro", text_key("macro_bairro")).alias("macro_bairro"),
         F.col("actual_delivery_minutes").alias("delivery_minutes"),

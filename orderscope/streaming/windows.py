@@ -8,15 +8,17 @@ State is one aggregation buffer per open window, so it is bounded by the
 number of windows inside the lateness horizon, not by the row count.
 
 Event time: watermarks need ``TIMESTAMP``; the fact carries wall-clock
-``timestamp_ntz``. With the session time zone pinned to UTC the cast is the
-identity on wall-clock values (checked), and window bounds are cast back.
+``timestamp_ntz``. The wall clock is mapped to the instant with the same
+UTC reading (microseconds since the epoch, by ``timestamp_ntz`` arithmetic)
+and window bounds are mapped back the same way, so no session time zone
+enters: a day window is always a wall-clock day.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,10 +26,18 @@ from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.mapping import events_to_fact
 
 
-def _require_utc(spark: SparkSession) -> None:
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    if tz not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
-        raise ValueError("streaming windows need spark.sql.session.timeZone=UTC (wall-clock event time)")
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _event_time(ntz: Column) -> Column:
+    """Wall-clock timestamp_ntz → instant with the same UTC reading."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), ntz))
+
+
+def _wall_clock(ltz: Column) -> Column:
+    """Instant → its UTC reading as timestamp_ntz (inverse of _event_time)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ltz), _epoch())
 
 
 def read_event_stream(
@@ -45,8 +55,7 @@ def read_event_stream(
 
 def windowed_orders(fact: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """window_start, window_end, orders, avg_delivery_minutes per tumbling window."""
-    _require_utc(fact.sparkSession)
-    et = F.col("order_datetime").cast("timestamp").alias("_et")
+    et = _event_time(F.col("order_datetime")).alias("_et")
     w = F.window("_et", window)
     return (
         fact.select(et, F.col("actual_delivery_minutes"))
@@ -54,8 +63,8 @@ def windowed_orders(fact: DataFrame, window: str = "1 day", lateness: str = "1 h
         .groupBy(w.alias("_w"))
         .agg(F.count(F.lit(1)).alias("orders"), F.avg("actual_delivery_minutes").alias("avg_delivery_minutes"))
         .select(
-            F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("_w.end").cast("timestamp_ntz").alias("window_end"),
+            _wall_clock(F.col("_w.start")).alias("window_start"),
+            _wall_clock(F.col("_w.end")).alias("window_end"),
             "orders",
             "avg_delivery_minutes",
         )
@@ -64,14 +73,13 @@ def windowed_orders(fact: DataFrame, window: str = "1 day", lateness: str = "1 h
 
 def windowed_orders_by_hour(fact: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """window_start, hour, orders: the hour-of-day histogram per window."""
-    _require_utc(fact.sparkSession)
-    et = F.col("order_datetime").cast("timestamp").alias("_et")
+    et = _event_time(F.col("order_datetime")).alias("_et")
     return (
-        fact.select(et)
+        fact.select(et, F.hour("order_datetime").alias("hour"))
         .withWatermark("_et", lateness)
-        .groupBy(F.window("_et", window).alias("_w"), F.hour("_et").alias("hour"))
+        .groupBy(F.window("_et", window).alias("_w"), "hour")
         .agg(F.count(F.lit(1)).alias("orders"))
-        .select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"), "hour", "orders")
+        .select(_wall_clock(F.col("_w.start")).alias("window_start"), "hour", "orders")
     )
 
 

@@ -25,6 +25,24 @@ def test_every_query_matches_oracle(spark):
     assert set(ep.oracle_sql()) <= set(ep.queries())
 
 
+TIME_QUERIES = [
+    "overview_kpis", "overview_timeseries_orders_weekly", "overview_timeseries_revenue_with_orders",
+    "ops_orders_by_hour", "ops_heatmap_hour_weekday", "ops_delivery_by_weekday", "finance_timeseries_revenue",
+    "satisfaction_kpis", "satisfaction_scatter_time_score", "meta_date_range", "overview_kpis_filtered",
+]
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        report = compare(spark, "/root/testdata/sf0.01", TIME_QUERIES, verbose=False)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    bad = {k: v for k, v in report.items() if not v["ok"]}
+    assert not bad, bad
+
+
 def _plan(df) -> str:
     spark = df.sparkSession
     spark.conf.set("spark.sql.maxMetadataStringLength", "100000")

@@ -34,3 +34,15 @@ def test_streamed_hour_histogram_totals(spark):
     closed = got.agg(F.sum("orders")).first()[0]
     total = events_fact(spark, SF).count()
     assert 0 < closed < total
+
+
+def test_windows_do_not_depend_on_session_time_zone(spark):
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        stream = windowed_orders(read_event_stream(spark, SF, "events.parquet"), "1 day", "1 hour")
+        path, _ = run_to_table(stream, "test_tz")
+        starts = {r.window_start for r in spark.read.parquet(path).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    assert starts and all(s.hour == 0 and s.minute == 0 for s in starts)
