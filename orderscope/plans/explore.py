@@ -119,6 +119,20 @@ def is_numeric(df: DataFrame, column: str) -> bool:
     return isinstance(field.dataType, (T.NumericType, T.BooleanType))
 
 
+def boolean_summary(df: DataFrame, column: str) -> DataFrame:
+    """count, unique, top, freq of a boolean column (NULLs not counted;
+    a tie for the most frequent value goes to the smaller one)."""
+    c = F.col(f"`{column}`")
+    counts = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # at most two groups reach this aggregate
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count"),
+        F.count(F.lit(1)).alias("unique"),
+        F.max_by("value", F.struct(F.col("n"), ~F.col("value"))).alias("top"),
+        F.max("n").alias("freq"),
+    )
+
+
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std (sample), min, p25, p50, p75, max (all double)."""
     if column not in df.columns:
@@ -149,5 +163,10 @@ def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
 
 
 def feature_summary(df: DataFrame, column: str) -> DataFrame:
-    """Numeric columns → ``numeric_summary``; anything else → ``top_values``."""
+    """Numeric columns → ``numeric_summary``; booleans → ``boolean_summary``;
+    anything else (text, dates) → ``top_values``."""
+    if column not in df.columns:
+        raise MissingColumnError(f"invalid column: {column}")
+    if isinstance(df.schema[column].dataType, T.BooleanType):
+        return boolean_summary(df, column)
     return numeric_summary(df, column) if is_numeric(df, column) else top_values(df, column)

@@ -83,3 +83,14 @@ def test_numeric_summary_matches_pandas(spark):
     assert (got["min"], got["p25"], got["p50"], got["p75"], got["max"]) == (
         want["min"], want["25%"], want["50%"], want["75%"], want["max"]
     )
+
+
+def test_feature_summary_dispatch(spark):
+    df = spark.createDataFrame(
+        [(True, "a", 1.0), (False, "b", 2.0), (True, None, None), (None, "a", 4.0)], "flag boolean, txt string, x double"
+    )
+    b = explore.feature_summary(df, "flag").first()
+    assert (b["count"], b.unique, b.top, b.freq) == (3, 2, True, 2)
+    t = [(r.value, r["count"]) for r in explore.feature_summary(df, "txt").collect()]
+    assert t == [("a", 2), ("b", 1), ("nan", 1)]
+    assert explore.feature_summary(df, "x").first()["count"] == 3.0
