@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,9 @@ MAPPING_TABLES = {
     "events": ("events",),
 }
 TARGET_FILE_BYTES = 128 * 1024 * 1024
+# Part of the table key: bump whenever a mapping or the stored layout
+# changes, so a table written by older code is never reused.
+FACT_LAYOUT_VERSION = "3"
 # The fact carries about twice the columns of the orders table.
 FACT_BYTES_PER_DRIVING_BYTE = 2.0
 
@@ -68,7 +72,7 @@ def _fs(spark: SparkSession, path: str):
 def _source_signature(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple[str, int]:
     """Digest of (name, size, mtime) of every source file, and the bytes of
     the driving (first) table."""
-    h = hashlib.sha1(sf_dir.rstrip("/").encode())
+    h = hashlib.sha1(f"{FACT_LAYOUT_VERSION}|{sf_dir.rstrip('/')}".encode())
     driving = 0
     for i, t in enumerate(tables):
         fs, jpath = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
@@ -113,13 +117,18 @@ def materialised_fact(
     mapping: str = "star",
     partition_by_month: bool = False,
     refresh: bool = False,
+    rebuild: bool = False,
 ) -> DataFrame:
-    """The canonical fact for ``mapping`` over ``sf_dir``, built on first use."""
+    """The canonical fact for ``mapping`` over ``sf_dir``, built on first
+    use. ``rebuild`` writes a fresh copy even if one is committed (used to
+    time the build)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), mapping, partition_by_month)
-    if not refresh and key in _RESOLVED:
+    if not (refresh or rebuild) and key in _RESOLVED:
         return _RESOLVED[key]
     path, source_bytes = fact_location(spark, sf_dir, mapping, partition_by_month)
-    if not _committed(spark, path):
+    if rebuild:
+        path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
+    if rebuild or not _committed(spark, path):
         by_size = math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES)
         files = max(1, by_size, spark.sparkContext.defaultParallelism)
         write_fact(_builder(mapping)(spark, sf_dir), path, files, partition_by_month)
