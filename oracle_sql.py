@@ -353,6 +353,20 @@ SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean
        {rb('min(total)')} AS min, {rb('quantile_cont(total, 0.25)')} AS p25, {rb('quantile_cont(total, 0.5)')} AS p50,
        {rb('quantile_cont(total, 0.75)')} AS p75, {rb('max(total)')} AS max
 FROM fact""",
+    "explore_column_counts": f"""{STAR},
+c AS (SELECT count(*) AS n, count(order_id) AS c1, count(dt) AS c2, count(platform) AS c3, count(order_mode) AS c4,
+             count(status) AS c5, count(macro_bairro) AS c6, count(total) AS c7, count(items) AS c8, count(prep) AS c9,
+             count(delivery) AS c10, count(eta) AS c11, count(distance_km) AS c12, count(pct) AS c13,
+             count(score) AS c14, count(cliente_id) AS c15 FROM fact)
+SELECT col AS "column", CAST(non_null AS BIGINT) AS non_null, n AS "rows" FROM (
+  SELECT 'order_id' AS col, c1 AS non_null, n FROM c UNION ALL SELECT 'order_datetime', c2, n FROM c
+  UNION ALL SELECT 'platform', c3, n FROM c UNION ALL SELECT 'order_mode', c4, n FROM c
+  UNION ALL SELECT 'status', c5, n FROM c UNION ALL SELECT 'macro_bairro', c6, n FROM c
+  UNION ALL SELECT 'total_brl', c7, n FROM c UNION ALL SELECT 'num_itens', c8, n FROM c
+  UNION ALL SELECT 'tempo_preparo_minutos', c9, n FROM c UNION ALL SELECT 'actual_delivery_minutes', c10, n FROM c
+  UNION ALL SELECT 'eta_minutes_quote', c11, n FROM c UNION ALL SELECT 'distance_km', c12, n FROM c
+  UNION ALL SELECT 'platform_commision_pct', c13, n FROM c UNION ALL SELECT 'satisfacao_nivel', c14, n FROM c
+  UNION ALL SELECT 'cliente_id', c15, n FROM c)""",
     "explore_top_values": f"""{STAR}
 SELECT coalesce(macro_bairro, 'nan') AS value, count(*) AS count FROM fact GROUP BY 1 ORDER BY count DESC, value LIMIT 20""",
     # ------------------------------------------------------------ streaming

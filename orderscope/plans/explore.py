@@ -29,6 +29,24 @@ def columns(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(list(df.dtypes), "column string, dtype string")
 
 
+def catalogue(df: DataFrame, with_dtype: bool = True) -> DataFrame:
+    """column, [dtype,] non_null, rows: the table's columns with their
+    non-null counts and the row count, from one aggregate pass (partial
+    aggregation; the single result row is unpivoted, one row per column)."""
+    names = list(df.columns)
+    counts = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)]
+    )
+    long = counts.unpivot("_rows", [f"_c{i}" for i in range(len(names))], "_slot", "non_null")
+    slot_name = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(f"_c{i}"), F.lit(c))])
+    out = [F.element_at(slot_name, F.col("_slot")).alias("column")]
+    if with_dtype:
+        dtypes = dict(df.dtypes)
+        slot_type = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(f"_c{i}"), F.lit(dtypes[c]))])
+        out.append(F.element_at(slot_type, F.col("_slot")).alias("dtype"))
+    return long.select(*out, F.col("non_null").cast("bigint").alias("non_null"), F.col("_rows").alias("rows"))
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 

@@ -233,3 +233,10 @@ def test_every_dataset_runs_on_empty_input(spark):
     assert k.total_pedidos == 0 and k.cancelados_pct == 0.0 and k.pedidos_por_dia is None
     s = satisfaction.kpis(empty).first()
     assert (s.nivel_medio, s.pct_muito_satisfeitos, s.total_avaliacoes) == (0.0, 0.0, 0)
+
+
+def test_catalogue_counts(spark):
+    fact = make_fact(spark, [dict(order_id=1, platform="a"), dict(order_id=2), dict(order_id=3, platform="b")])
+    rows = {r.column: (r.dtype, r.non_null, r.rows) for r in explore.catalogue(fact).collect()}
+    assert rows["order_id"] == ("bigint", 3, 3) and rows["platform"] == ("string", 2, 3)
+    assert rows["total_brl"] == ("double", 0, 3) and len(rows) == len(fact.columns)
