@@ -1,20 +1,23 @@
 """Bucketed time series with gap filling.
 
-Shape of the plan: filter rows with a timestamp → bucket label per row
+Shape of the plan: filter rows with a timestamp → bucket start per row
 (codegen) → hash aggregate per bucket (partial + final around one shuffle)
-→ calendar spine from the min/max bucket of that *aggregate* → left join.
-
-The spine has one row per bucket between the first and last non-empty
-bucket, so its size grows with the time span, never with the row count;
-the bucket aggregate feeds both the spine bounds and the join, and Spark
-reuses the one exchange for both.
+→ each bucket learns the start of the next non-empty bucket (``lead``) →
+``posexplode(sequence(start, next − step))`` emits the bucket itself
+(position 0, with its measures) followed by the empty buckets up to the
+next one (fill values). One scan, one pipeline, no join.
+
+The ``lead`` window runs over the bucket aggregate, whose size is the number
+of non-empty buckets (bounded by the time span, never by the row count), in
+one partition; that partition is already in bucket order, so the final sort
+needs no further exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderscope.functions.buckets import bucket_start, check_freq, label_from_start, step_interval
@@ -22,6 +25,12 @@ from orderscope.functions.buckets import bucket_start, check_freq, label_from_st
 _START = "_bucket_start"
 
 
+def _previous_step(start: Column, freq: str) -> Column:
+    if freq == "M":
+        return F.add_months(start, -1)
+    return F.date_sub(start, 7 if freq == "W" else 1)
+
+
 def bucketed_series(
     df: DataFrame,
     ts_col: str,
@@ -38,13 +47,13 @@ def bucketed_series(
     fill = dict(fill or {})
     rows = df.where(F.col(ts_col).isNotNull()).withColumn(_START, bucket_start(F.col(ts_col), freq))
     agg = rows.groupBy(_START).agg(*[expr.alias(name) for name, expr in measures.items()])
-    spine = agg.agg(F.min(_START).alias("_lo"), F.max(_START).alias("_hi")).select(
-        F.explode(F.sequence(F.col("_lo"), F.col("_hi"), step_interval(freq))).alias(_START)
+    nxt = F.lead(_START).over(Window.orderBy(_START))
+    last = F.coalesce(_previous_step(F.col("_next"), freq), F.col(_START))
+    filled = agg.withColumn("_next", nxt).select(
+        "*", F.posexplode(F.sequence(F.col(_START), last, step_interval(freq))).alias("_pos", "_bucket")
     )
-    out_cols = [label_from_start(F.col(_START), freq).alias(label)]
+    out_cols = [label_from_start(F.col("_bucket"), freq).alias(label)]
     for name in measures:
-        c = F.col(name)
-        if name in fill and fill[name] is not None:
-            c = F.coalesce(c, F.lit(fill[name]))
-        out_cols.append(c.alias(name))
-    return spine.join(agg, _START, "left").select(*out_cols).orderBy(label)
+        empty = F.lit(fill[name]) if fill.get(name) is not None else F.lit(None)
+        out_cols.append(F.when(F.col("_pos") == 0, F.col(name)).otherwise(empty.cast(agg.schema[name].dataType)).alias(name))
+    return filled.select(*out_cols).orderBy(label)

@@ -77,3 +77,14 @@ def test_quantile_range_exchange_is_shared(spark):
     # the range-partitioned slices feed both the slice totals and the ranks:
     # one exchange, reused, so both sides see the same slice boundaries
     assert final.count("rangepartitioning") <= 1 or "ReusedExchange" in final
+
+
+def test_one_fact_scan_per_dataset(spark):
+    # gross and net come from one aggregate; the calendar spine is derived
+    # from the bucket aggregate in the same pipeline (no second scan)
+    for name in ("finance_timeseries_revenue", "finance_revenue_by_platform", "finance_revenue_by_macro",
+                 "overview_timeseries_orders", "satisfaction_timeseries"):
+        df = ep.queries()[name](spark, SF)
+        df.collect()
+        final = _plan(df).split("== Initial Plan ==")[0]
+        assert final.count("Scan parquet") == 1, name
