@@ -16,7 +16,10 @@ shared folder named by ``spark.checkpoint.dir`` and every dataset reads it:
   builder adds the matching partition predicate);
 * the table location is keyed by the mapping and by the size and
   modification time of every source file, so changed inputs give a new
-  table; a table counts as present only once its ``_SUCCESS`` marker exists;
+  table; a build writes to a private temporary folder and is published by
+  one directory rename, so a reader never sees a half-written table and two
+  concurrent builders do not overwrite each other (the loser reuses the
+  winner's table);
 * it lives on shared storage, so losing an executor loses nothing (no
   ``cache()`` / local checkpoint whose blocks die with the executor);
 * like a service that loads its table at start-up, the resolved table is
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +93,21 @@ def _committed(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def _publish(spark: SparkSession, tmp: str, path: str) -> None:
+    """Move a finished build into place; if another builder won, keep its
+    table (a Hadoop rename onto an existing folder would nest the source
+    inside it, so existence is checked first)."""
+    fs, src = _fs(spark, tmp)
+    _, dst = _fs(spark, path)
+    if fs.exists(dst):
+        if not _committed(spark, path):
+            raise RuntimeError(f"{path} exists but holds no committed table")
+        return
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst) and not _committed(spark, path):
+        raise RuntimeError(f"could not publish fact table at {path}")
+
+
 def write_fact(df: DataFrame, path: str, files: int, partition_by_month: bool = False) -> None:
     """Write a canonical fact sorted on ``(order_datetime, order_id)`` into
     ``files`` range partitions (optionally under ``order_month=`` folders)."""
@@ -109,6 +128,7 @@ def fact_location(spark: SparkSession, sf_dir: str, mapping: str = "star", parti
 
 
 _RESOLVED: dict[tuple, DataFrame] = {}
+_BUILD_LOCK = threading.Lock()
 
 
 def materialised_fact(
@@ -123,14 +143,17 @@ def materialised_fact(
     use. ``rebuild`` writes a fresh copy even if one is committed (used to
     time the build)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), mapping, partition_by_month)
-    if not (refresh or rebuild) and key in _RESOLVED:
+    with _BUILD_LOCK:
+        if not (refresh or rebuild) and key in _RESOLVED:
+            return _RESOLVED[key]
+        path, source_bytes = fact_location(spark, sf_dir, mapping, partition_by_month)
+        if rebuild:
+            path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
+        if rebuild or not _committed(spark, path):
+            by_size = math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES)
+            files = max(1, by_size, spark.sparkContext.defaultParallelism)
+            tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+            write_fact(_builder(mapping)(spark, sf_dir), tmp, files, partition_by_month)
+            _publish(spark, tmp, path)
+        _RESOLVED[key] = spark.read.parquet(path)
         return _RESOLVED[key]
-    path, source_bytes = fact_location(spark, sf_dir, mapping, partition_by_month)
-    if rebuild:
-        path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
-    if rebuild or not _committed(spark, path):
-        by_size = math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES)
-        files = max(1, by_size, spark.sparkContext.defaultParallelism)
-        write_fact(_builder(mapping)(spark, sf_dir), path, files, partition_by_month)
-    _RESOLVED[key] = spark.read.parquet(path)
-    return _RESOLVED[key]
