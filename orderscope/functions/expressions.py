@@ -25,6 +25,25 @@ def datetime_text(ts: Column) -> Column:
     return F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
+def wall_clock_instant(ts: Column) -> Column:
+    """The instant whose UTC reading is the wall-clock ``timestamp_ntz``.
+
+    Built from the wall-clock fields with an explicit UTC zone, so no session
+    zone enters (a cast or ``timestamp_diff`` would move times that fall in a
+    daylight-saving gap of the session zone)."""
+    return F.make_timestamp(
+        F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+        F.date_part(F.lit("SECOND"), ts), F.lit("UTC"),
+    )
+
+
+def elapsed_whole_days(start: Column, end: Column) -> Column:
+    """Whole days elapsed between two wall-clock timestamps (23:00 → 01:00
+    next day is 0), independent of the session time zone."""
+    micros = F.unix_micros(wall_clock_instant(end)) - F.unix_micros(wall_clock_instant(start))
+    return F.floor(micros / F.lit(86_400_000_000))
+
+
 def ci_regex(pattern: str) -> str:
     """Case-insensitive, Unicode-aware Java regex (``(?i)`` alone only folds ASCII)."""
     return "(?iu)" + pattern

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.functions.expressions import ci_regex, safe_div, text_key
+from orderscope.functions.expressions import ci_regex, elapsed_whole_days, safe_div, text_key
 from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.histogram import equal_width_histogram
 from orderscope.operators.ranking import by_keys, by_measure_desc, top_n
@@ -44,7 +44,7 @@ def kpis(fact: DataFrame, spec: FilterSpec | None = None, cancel_match: str = "c
         aggs += [F.lit(None).cast("timestamp_ntz").alias(c) for c in ("periodo_min", "periodo_max")]
     row = df.agg(*aggs)
     total = F.col("total_pedidos")
-    days = F.greatest(F.timestamp_diff("DAY", F.col("periodo_min"), F.col("periodo_max")) + 1, F.lit(1))
+    days = F.greatest(elapsed_whole_days(F.col("periodo_min"), F.col("periodo_max")) + 1, F.lit(1))
     cancel_pct = F.when(total > 0, F.col("_cancel") / total * 100.0).otherwise(F.lit(0.0))
     return row.select(
         "total_pedidos",

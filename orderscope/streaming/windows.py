@@ -9,9 +9,9 @@ number of windows inside the lateness horizon, not by the row count.
 
 Event time: watermarks need ``TIMESTAMP``; the fact carries wall-clock
 ``timestamp_ntz``. The wall clock is mapped to the instant with the same
-UTC reading (microseconds since the epoch, by ``timestamp_ntz`` arithmetic)
-and window bounds are mapped back the same way, so no session time zone
-enters: a day window is always a wall-clock day.
+UTC reading (built from its fields with an explicit UTC zone) and window
+bounds are mapped back by ``timestamp_ntz`` arithmetic from the epoch, so
+no session time zone enters: a day window is always a wall-clock day.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orderscope.functions.expressions import wall_clock_instant
 from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.mapping import events_to_fact
 
@@ -32,7 +33,7 @@ def _epoch() -> Column:
 
 def _event_time(ntz: Column) -> Column:
     """Wall-clock timestamp_ntz → instant with the same UTC reading."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), ntz))
+    return wall_clock_instant(ntz)
 
 
 def _wall_clock(ltz: Column) -> Column:

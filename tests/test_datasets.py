@@ -240,3 +240,18 @@ def test_catalogue_counts(spark):
     rows = {r.column: (r.dtype, r.non_null, r.rows) for r in explore.catalogue(fact).collect()}
     assert rows["order_id"] == ("bigint", 3, 3) and rows["platform"] == ("string", 2, 3)
     assert rows["total_brl"] == ("double", 0, 3) and len(rows) == len(fact.columns)
+
+
+def test_elapsed_days_ignore_session_dst(spark):
+    # 2024-03-10 02:30 does not exist in New York (clocks jump 02:00 → 03:00)
+    fact = make_fact(
+        spark,
+        [dict(order_id=1, order_datetime=ts("2024-03-09 02:45")), dict(order_id=2, order_datetime=ts("2024-03-10 02:30"))],
+    )
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        r = overview.kpis(fact).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    assert r.pedidos_por_dia == 2.0  # 23h45 elapsed: 0 whole days + 1

@@ -35,7 +35,7 @@ TIME_QUERIES = [
 def test_results_do_not_depend_on_session_time_zone(spark):
     tz = spark.conf.get("spark.sql.session.timeZone")
     try:
-        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         report = compare(spark, "/root/testdata/sf0.01", TIME_QUERIES, verbose=False)
     finally:
         spark.conf.set("spark.sql.session.timeZone", tz)
