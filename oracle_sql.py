@@ -348,6 +348,9 @@ ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "explore_page_asc": f"""{STAR}
 SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
 ORDER BY status ASC NULLS LAST, order_id LIMIT 500 OFFSET 0""",
+    "explore_page_deep": f"""{STAR}
+SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
+ORDER BY total ASC NULLS LAST, order_id LIMIT 1000 OFFSET 9000""",
     "explore_numeric_summary": f"""{STAR}
 SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean, {rb('stddev_samp(total)')} AS std,
        {rb('min(total)')} AS min, {rb('quantile_cont(total, 0.25)')} AS p25, {rb('quantile_cont(total, 0.5)')} AS p50,

@@ -141,6 +141,10 @@ QUERIES: dict[str, Query] = {
         explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
     ),
     "explore_page_asc": _explore(explore.page, cols=EXPLORE_COLUMNS, sort="status", order=1, offset=0, limit=500),
+    # a deep page through the distributed row numbering (no single top-k merge)
+    "explore_page_deep": _explore(
+        explore.page, cols=EXPLORE_COLUMNS, sort="total_brl", order=1, offset=9000, limit=1000, topk_max=0
+    ),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
     # streaming: the events table as a file stream, daily event-time windows,

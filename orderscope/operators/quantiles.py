@@ -19,10 +19,11 @@ operator is a distributed rank selection instead:
    ``q = a + (b − a)·t`` (or ``b − (b − a)·(1 − t)`` for ``t ≥ 0.5``).
 
 Memory per task is bounded by the slice size for any key distribution.
-The slice exchange is a ``repartitionByRange(n)``: AQE never coalesces or
-splits such a user-sized shuffle, and the slice id is read once, in the
-stage after it; ranks and slice totals are both derived from that one
-windowed frame (the small totals table is joined back), so they agree.
+The slice exchange is a ``repartitionByRange(n)`` (AQE never coalesces or
+splits such a user-sized shuffle). Its bounds are sampled, so the sliced and
+windowed frame is checkpointed to the shared checkpoint folder before its
+two consumers (slice totals, rank filter) read it: both see the same slices
+by construction, not by exchange reuse, and a lost executor cannot re-slice.
 With ``with_mean`` the group mean ``Σ v·c / Σ c`` comes from the same slice
 totals (no second pass over the rows).
 ``method="approx"`` uses ``percentile_approx`` (one pass, bounded sketch);
@@ -37,6 +38,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderscope.session import ensure_checkpoint_dir
+
 METHODS = ("exact", "buffer", "approx")
 
 
@@ -107,8 +110,12 @@ def _exact(
         F.sum("_c").over(block).alias("_sc"),
         F.sum(F.col("_v") * F.col("_c")).over(block).alias("_ssum"),
     )
-    # One row per (slice, key): the aggregate reuses the window's
-    # partitioning, so it adds no exchange. Keys are renamed for the join.
+    # The slices feed two consumers (slice totals and the rank filter) and
+    # their bounds are sampled: checkpoint them to the shared folder so both
+    # read the very same slices (and an executor loss cannot re-slice).
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+    # One row per (slice, key). Keys are renamed for the join.
     tk = {k: f"_t_{i}" for i, k in enumerate(keys)}
     slice_tot = ranged.groupBy("_s", *keys).agg(F.first("_sc").alias("_sc"), F.first("_ssum").alias("_ssum"))
     by_key = Window.partitionBy(*keys)

@@ -3,15 +3,23 @@
 Spark has no row order, so every sort ends with a tie-break on the group
 key (or a row key) to make top-n boundaries and pages reproducible. NULLs
 sort last in both directions. A ``limit`` after ``orderBy`` is planned as
-``TakeOrderedAndProject``: each task keeps its own top n, the driver merges
-at most ``tasks × n`` rows.
+``TakeOrderedAndProject``: each task keeps its own top n, one task merges
+at most ``tasks × n`` rows. That is right for top-n and shallow pages; a
+deep page (large offset) instead numbers the rows in a distributed way
+(range slices of the total order, row numbers inside each slice, slice
+offsets from a table with one row per slice) and keeps only the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderscope.session import ensure_checkpoint_dir
+
+# Pages ending beyond this many rows use the distributed numbering.
+TOPK_MAX = 100_000
+
 
 def by_measure_desc(measure: str, *keys: str) -> list[Column]:
     return [F.col(measure).desc_nulls_last()] + [F.col(k).asc_nulls_last() for k in keys]
@@ -31,9 +39,45 @@ def top_n(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(int(n))
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+def page(
+    df: DataFrame, order: list[Column], offset: int, limit: int, topk_max: int = TOPK_MAX, slices: int | None = None
+) -> DataFrame:
+    """Rows ``offset .. offset + limit − 1`` of ``df`` in ``order``, which
+    must be a total order (end it with a unique row key)."""
     if offset < 0:
         raise ValueError("offset must be >= 0")
     if not (1 <= limit <= 5000):
         raise ValueError("limit must be within 1..5000")
-    return df.orderBy(*order).offset(int(offset)).limit(int(limit))
+    if offset + limit <= topk_max:
+        return df.orderBy(*order).offset(int(offset)).limit(int(limit))
+    return _deep_page(df, order, int(offset), int(limit), slices)
+
+
+def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int, slices: int | None) -> DataFrame:
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = df.columns
+    # Slice id = range partition of the total order. The numbered slices
+    # feed two consumers (slice totals and the page filter); the range
+    # bounds are sampled, so the frame is checkpointed to the shared folder
+    # and both consumers read the very same slices (also survives losing
+    # an executor).
+    ensure_checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, *order).withColumn("_s", F.spark_partition_id())
+    numbered = ranged.select(
+        *cols, "_s", (F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1).alias("_r")
+    ).checkpoint(eager=True)
+    totals = numbered.groupBy("_s").agg(F.count(F.lit(1)).alias("_sn"))
+    totals = totals.select(
+        F.col("_s").alias("_ts"),
+        F.coalesce(F.sum("_sn").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
+            "_off"
+        ),
+    )  # one row per slice
+    pos = F.col("_off") + F.col("_r")
+    return (
+        numbered.join(totals, F.col("_s") == F.col("_ts"))
+        .where((pos >= F.lit(offset)) & (pos < F.lit(offset + limit)))
+        .select(*cols)
+        .orderBy(*order)
+    )

@@ -85,10 +85,13 @@ def page(
     offset: int = 0,
     limit: int = 200,
     row_key: str = "order_id",
+    topk_max: int | None = None,
 ) -> DataFrame:
     """One page of the searched rows, projected to ``cols``. Sorted by
     ``sort`` (ascending iff ``order == 1``, NULLs last), ties and the
-    unsorted case in ``row_key`` order, so pages are stable."""
+    unsorted case in ``row_key`` order, so pages are stable. Pages ending
+    beyond ``topk_max`` rows (default ``ranking.TOPK_MAX``) are cut by
+    distributed row numbering instead of a single top-k merge."""
     found = search(df, q)
     if cols:
         missing = [c for c in cols if c not in df.columns]
@@ -104,7 +107,8 @@ def page(
         c = F.col(f"`{sort}`")
         ordering.append(c.asc_nulls_last() if order == 1 else c.desc_nulls_last())
     ordering.append(F.col(f"`{row_key}`").asc_nulls_last())
-    return _page(found, ordering, offset, limit).select(*[F.col(f"`{c}`") for c in visible])
+    kw = {} if topk_max is None else {"topk_max": topk_max}
+    return _page(found, ordering, offset, limit, **kw).select(*[F.col(f"`{c}`") for c in visible])
 
 
 def page_meta(

@@ -255,3 +255,22 @@ def test_elapsed_days_ignore_session_dst(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", tz)
     assert r.pedidos_por_dia == 2.0  # 23h45 elapsed: 0 whole days + 1
+
+
+def test_deep_page_matches_top_k_page(spark):
+    from orderscope.operators.ranking import page
+
+    df = spark.range(0, 3000).select(
+        F_col("id"), ((F_col("id") * 7919) % 101).alias("k"), (F_col("id") % 3 == 0).alias("flag")
+    )
+    order = [F_col("k").desc_nulls_last(), F_col("id").asc_nulls_last()]
+    for offset, limit in ((0, 50), (1234, 700), (2990, 50)):
+        shallow = [r.id for r in page(df, order, offset, limit).collect()]
+        deep = [r.id for r in page(df, order, offset, limit, topk_max=0, slices=7).collect()]
+        assert deep == shallow and len(deep) == min(limit, 3000 - offset)
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
