@@ -293,6 +293,8 @@ SELECT platform, {rb('avg(total)')} AS gross, {rb('avg(total * (1 - pct))')} AS
 FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
     "finance_revenue_by_class": f"""{STAR}
 SELECT order_mode AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
+    "finance_revenue_by_class_status": f"""{STAR}
+SELECT status AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE status IS NOT NULL GROUP BY 1""",
     "finance_top_clients": f"""{STAR}
 SELECT cliente_id, {rs('coalesce(sum(total), 0)')} AS spent FROM fact WHERE cliente_id IS NOT NULL
 GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
@@ -304,6 +306,16 @@ GROUP BY 1 ORDER BY coalesce(sum(total), 0) DESC, cliente_id LIMIT 10""",
 SELECT CASE WHEN coalesce(items, 0) <= 1 THEN 'individual' WHEN coalesce(items, 0) <= 3 THEN 'combo' ELSE 'família' END AS classe,
        {rs('coalesce(sum(total), 0)')} AS revenue
 FROM fact GROUP BY 1""",
+    # explicit class column: sum per raw value, then lower-case and map synonyms
+    "finance_revenue_by_item_class_explicit": f"""{STAR},
+g AS (SELECT order_mode AS raw, coalesce(sum(total), 0) AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1)
+SELECT CASE
+         WHEN lower(raw) IN ('individual', '1', 'single', 'simples') THEN 'individual'
+         WHEN lower(raw) IN ('combo', '2', 'duo', 'par') THEN 'combo'
+         WHEN lower(raw) IN ('família', 'familia', 'family', '4+', '4') THEN 'família'
+         ELSE lower(raw) END AS classe,
+       {rs('revenue')} AS revenue
+FROM g""",
     # ------------------------------------------------------------ satisfaction
     "satisfaction_kpis": f"""{STAR}
 SELECT {rb('CASE WHEN count(*) > 0 THEN avg(score) ELSE 0 END')} AS nivel_medio,

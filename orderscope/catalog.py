@@ -114,11 +114,13 @@ QUERIES: dict[str, Query] = {
     "finance_timeseries_revenue_monthly": _on_star(finance.timeseries_revenue, freq="M"),
     "finance_margin_by_platform": _on_star(finance.margin_by_platform),
     "finance_revenue_by_class": _on_star(finance.revenue_by_class),
+    "finance_revenue_by_class_status": _on_star(finance.revenue_by_class, class_col="status"),
     "finance_top_clients": _on_star(finance.top_clients, n=10),
     "finance_revenue_by_platform": _on_star(finance.revenue_by_platform),
     "finance_revenue_by_macro": _on_star(finance.revenue_by_macro),
     "finance_revenue_by_macro_top5_filtered": _on_star(finance.revenue_by_macro, SPEC_CLASS_AREA, n=5),
     "finance_revenue_by_item_class": _on_star(finance.revenue_by_item_class),
+    "finance_revenue_by_item_class_explicit": _on_star(finance.revenue_by_item_class, class_col="order_mode"),
     "finance_revenue_by_macro_direct": _on_star_direct(finance.revenue_by_macro),
     "overview_kpis_filtered_direct": _on_star_direct(overview.kpis, SPEC_DATES_PLATFORM_SCORE, cancel_match="p"),
     # satisfaction
