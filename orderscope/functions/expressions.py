@@ -49,6 +49,16 @@ def ci_regex(pattern: str) -> str:
     return "(?iu)" + pattern
 
 
+def check_java_regex(spark, pattern: str) -> None:
+    """Reject a pattern before any job starts, using the JVM's own regex
+    compiler (Spark evaluates ``rlike`` with java.util.regex, whose syntax
+    differs from Python's in corners such as named groups)."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(ci_regex(pattern))
+    except Exception as exc:  # py4j wraps PatternSyntaxException
+        raise ValueError(f"invalid search pattern {pattern!r}: {str(exc).splitlines()[0][:200]}") from exc
+
+
 def safe_div(num: Column, den: Column) -> Column:
     """x/0 and 0/0 give NULL instead of an ANSI error (or pandas' ±inf/NaN)."""
     return F.try_divide(num, den)

@@ -7,14 +7,13 @@ scan stage; a NULL cell is matched as the text ``nan``.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderscope.functions.expressions import ci_regex, text_key
+from orderscope.functions.expressions import check_java_regex, ci_regex, text_key
 from orderscope.operators.quantiles import group_quantiles
 from orderscope.operators.ranking import page as _page
 from orderscope.sources.columns import MissingColumnError
@@ -51,15 +50,8 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _check_regex(q: str) -> None:
-    try:
-        re.compile(q)
-    except re.error as exc:
-        raise ValueError(f"invalid search pattern: {exc}") from exc
-
-
 def search_predicate(df: DataFrame, q: str) -> Column:
-    _check_regex(q)
+    check_java_regex(df.sparkSession, q)
     cols = text_columns(df)
     if not cols:
         return F.lit(False)

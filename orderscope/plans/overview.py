@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderscope.functions.expressions import ci_regex, elapsed_whole_days, safe_div, text_key
+from orderscope.functions.expressions import check_java_regex, ci_regex, elapsed_whole_days, safe_div, text_key
 from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.histogram import equal_width_histogram
 from orderscope.operators.ranking import by_keys, by_measure_desc, top_n
@@ -35,6 +35,7 @@ def kpis(fact: DataFrame, spec: FilterSpec | None = None, cancel_match: str = "c
         if has(df, "total_brl") and has(df, "num_itens") else F.lit(0.0).alias("ticket_medio")
     )
     if has(df, "status"):
+        check_java_regex(df.sparkSession, cancel_match)
         aggs.append(F.count_if(text_key("status").rlike(ci_regex(cancel_match))).alias("_cancel"))
     else:
         aggs.append(F.lit(None).cast("bigint").alias("_cancel"))

@@ -274,3 +274,14 @@ def F_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_patterns_validated_by_the_jvm(spark):
+    df = spark.createDataFrame([(1, "abc")], "id long, t string")
+    with pytest.raises(ValueError):
+        explore.count(df, "(?P<x>a)")  # a Python-only named group
+    with pytest.raises(ValueError):
+        explore.count(df, "a(")
+    assert explore.count(df, "a++").first()["count"] == 1  # possessive: Java-only syntax
+    with pytest.raises(ValueError):
+        overview.kpis(make_fact(spark, [dict(order_id=1, status="x")]), cancel_match="[")
