@@ -13,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderscope.sources.columns import canonicalise
+from orderscope.sources.columns import canonicalise, role_expressions
 
 FORMATS = ("parquet", "csv", "json", "table")
 
@@ -52,3 +53,36 @@ def read_orders(
 ) -> DataFrame:
     """Raw order table → canonical fact (aliases resolved, types coerced)."""
     return canonicalise(read_raw(spark, source, fmt, schema, options), overrides, datetime_format)
+
+
+def coercion_report(
+    raw: DataFrame,
+    overrides: Mapping[str, str] | None = None,
+    datetime_format: str | None = None,
+) -> DataFrame:
+    """role, column, present, coerced_to_null: for every resolved role, how
+    many raw cells were non-null and how many of those the coercion turned
+    into NULL (unparseable numbers, NaN, bad dates). One aggregate pass over
+    the raw table (partial aggregation); its single row is unpivoted to one
+    row per role."""
+    roles = role_expressions(raw, overrides, datetime_format)
+    aggs = []
+    for i, (phys, expr) in enumerate(roles.values()):
+        present = F.col(f"`{phys}`").isNotNull()
+        aggs += [F.count_if(present).alias(f"p{i}"), F.count_if(present & expr.isNull()).alias(f"n{i}")]
+    row = raw.agg(*aggs)
+    names = list(roles)
+    stacked = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(role).alias("role"),
+                    F.lit(roles[role][0]).alias("column"),
+                    F.col(f"p{i}").alias("present"),
+                    F.col(f"n{i}").alias("coerced_to_null"),
+                )
+                for i, role in enumerate(names)
+            ]
+        )
+    )
+    return row.select(stacked.alias("r")).select("r.*")
