@@ -18,7 +18,8 @@ operator is a distributed rank selection instead:
    by a filter, and interpolated:
    ``q = a + (b − a)·t`` (or ``b − (b − a)·(1 − t)`` for ``t ≥ 0.5``).
 
-Memory per task is bounded by the slice size for any key distribution.
+Memory per task is bounded by the slice size for any key distribution;
+the number of slices follows the input's estimated size (``sizing.py``).
 The slice exchange is a ``repartitionByRange(n)`` (AQE never coalesces or
 splits such a user-sized shuffle). Its bounds are sampled, so the sliced and
 windowed frame is checkpointed to the shared checkpoint folder before its
@@ -38,6 +39,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderscope.operators.sizing import slice_count
 from orderscope.session import ensure_checkpoint_dir
 
 METHODS = ("exact", "buffer", "approx")
@@ -91,8 +93,8 @@ def _exact(
     rows: DataFrame, keys: list[str], probs: Mapping[str, float], slices: int | None, with_mean: bool
 ) -> DataFrame:
     spark = rows.sparkSession
-    n_slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n_slices = slices or slice_count(rows)
     order = [F.col(k).asc_nulls_last() for k in keys] + [F.col("_v").asc()]
     ranged = distinct.repartitionByRange(n_slices, *order).withColumn("_s", F.spark_partition_id())
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderscope.operators.sizing import slice_count
 from orderscope.session import ensure_checkpoint_dir
 
 # Pages ending beyond this many rows use the distributed numbering.
@@ -55,7 +56,7 @@ def page(
 
 def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int, slices: int | None) -> DataFrame:
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or slice_count(df)
     cols = df.columns
     # Slice id = range partition of the total order. The numbered slices
     # feed two consumers (slice totals and the page filter); the range

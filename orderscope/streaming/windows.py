@@ -84,20 +84,32 @@ def windowed_orders_by_hour(fact: DataFrame, window: str = "1 day", lateness: st
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> tuple[str, StreamingQuery]:
+def run_to_table(stream: DataFrame, name: str, state_partitions: int | None = None) -> tuple[str, StreamingQuery]:
     """Run a windowed stream over everything available now and write the
     emitted windows as Parquet under the shared checkpoint folder (the
-    query's own checkpoint goes next to it, so a restarted run resumes)."""
-    base = ensure_checkpoint_dir(stream.sparkSession).rstrip("/")
+    query's own checkpoint goes next to it, so a restarted run resumes).
+
+    The state store is split into ``state_partitions`` partitions (default:
+    the cluster's default parallelism). Spark fixes this number when a query
+    first starts (it is kept in the checkpoint), taking it from
+    ``spark.sql.shuffle.partitions``; it is set only around the start."""
+    spark = stream.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/orderscope_streams/{name}-{uuid.uuid4().hex[:12]}"
-    q = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{run}/data")
-        .option("checkpointLocation", f"{run}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{run}/data")
+            .option("checkpointLocation", f"{run}/checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return f"{run}/data", q
 
