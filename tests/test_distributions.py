@@ -94,3 +94,13 @@ def test_feature_summary_dispatch(spark):
     t = [(r.value, r["count"]) for r in explore.feature_summary(df, "txt").collect()]
     assert t == [("a", 2), ("b", 1), ("nan", 1)]
     assert explore.feature_summary(df, "x").first()["count"] == 3.0
+
+
+def test_slice_count_follows_estimated_bytes(spark):
+    from orderscope.operators.sizing import TARGET_SLICE_BYTES, estimated_bytes, slice_count
+
+    small = spark.range(1000)
+    assert slice_count(small) == 1
+    big = spark.range(10**9)  # ~8 GB by the planner's estimate, nothing is computed
+    assert estimated_bytes(big) == 8 * 10**9
+    assert slice_count(big) == -(-8 * 10**9 // TARGET_SLICE_BYTES)
