@@ -275,6 +275,11 @@ SELECT {rs('coalesce(sum(total), 0)')} AS receita_total, {rs('coalesce(sum(total
        {rb('CASE WHEN coalesce(sum(items), 0) > 0 THEN coalesce(sum(total), 0) / sum(items) ELSE 0 END')} AS ticket_medio,
        count(*) AS total_pedidos
 FROM fact""",
+    "finance_kpis_by_month_filtered": f"""{STAR}
+SELECT {rs('coalesce(sum(total), 0)')} AS receita_total, {rs('coalesce(sum(total * (1 - pct)), 0)')} AS receita_liquida,
+       {rb('CASE WHEN coalesce(sum(items), 0) > 0 THEN coalesce(sum(total), 0) / sum(items) ELSE 0 END')} AS ticket_medio,
+       count(*) AS total_pedidos
+FROM fact WHERE {W_DATES_PLATFORM_SCORE}""",
     "finance_orders_count": f"""{STAR}
 SELECT count(*) AS total_pedidos FROM fact""",
     "finance_orders_count_filtered": f"""{STAR}
@@ -393,4 +398,10 @@ SELECT coalesce(macro_bairro, 'nan') AS value, count(*) AS count FROM fact GROUP
 )
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, orders, {rb('a')} AS avg_delivery_minutes
 FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_events_hour_histogram": """WITH h AS (
+  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS orders
+  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+)
+SELECT window_start, hour, orders FROM h
+WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 }

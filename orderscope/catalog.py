@@ -21,7 +21,7 @@ from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
 from orderscope.sources.mapping import star_fact
 from orderscope.sources.store import materialised_fact
-from orderscope.streaming.windows import streamed_daily_orders
+from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def _on_star(fn, spec: FilterSpec | None = None, nulls: bool = False, **kw) -> Q
     return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, mapping), spec, **kw)
 
 
+def _on_star_by_month(fn, spec: FilterSpec | None = None, **kw) -> Query:
+    """Over the fact stored under order_month= folders (directory pruning)."""
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star", partition_by_month=True), spec, **kw)
+
+
 def _on_star_direct(fn, spec: FilterSpec | None = None, **kw) -> Query:
     return lambda spark, sf_dir: fn(star_fact(spark, sf_dir, spec), spec, **kw)
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "finance_kpis": _on_star(finance.kpis),
     "finance_orders_count": _on_star(finance.orders_count),
     "finance_orders_count_filtered": _on_star(finance.orders_count, SPEC_CLASS_AREA),
+    "finance_kpis_by_month_filtered": _on_star_by_month(finance.kpis, SPEC_DATES_PLATFORM_SCORE),
     "finance_timeseries_revenue": _on_star(finance.timeseries_revenue, freq="D"),
     "finance_timeseries_revenue_monthly": _on_star(finance.timeseries_revenue, freq="M"),
     "finance_margin_by_platform": _on_star(finance.margin_by_platform),
@@ -152,6 +158,7 @@ QUERIES: dict[str, Query] = {
     # streaming: the events table as a file stream, daily event-time windows,
     # 1 hour allowed lateness, append mode, run to completion
     "stream_events_daily_windows": streamed_daily_orders,
+    "stream_events_hour_histogram": streamed_hourly_orders,
 }
 
 # Queries whose SQL form is not meaningful (the dtype column: a DuckDB type

@@ -119,3 +119,10 @@ def streamed_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = windowed_orders(read_event_stream(spark, sf_dir, "events.parquet"), "1 day", "1 hour")
     path, _ = run_to_table(stream, "daily_orders")
     return spark.read.parquet(path)
+
+
+def streamed_hourly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hour-of-day histogram per daily window of the events stream."""
+    stream = windowed_orders_by_hour(read_event_stream(spark, sf_dir, "events.parquet"), "1 day", "1 hour")
+    path, _ = run_to_table(stream, "hourly_orders")
+    return spark.read.parquet(path)

@@ -89,3 +89,9 @@ def test_one_fact_scan_per_dataset(spark):
         df.collect()
         final = _plan(df).split("== Initial Plan ==")[0]
         assert final.count("Scan parquet") == 1, name
+
+
+def test_month_partitioned_fact_prunes_directories(spark):
+    plan = _plan(ep.queries()["finance_kpis_by_month_filtered"](spark, SF))
+    assert "PartitionFilters: [isnotnull(order_month" in plan and "order_month#" in plan
+    assert "GreaterThanOrEqual(order_datetime" in plan
