@@ -61,3 +61,16 @@ def test_month_partitioned_fact_prunes_by_partition(spark):
     assert got.total_pedidos == want.total_pedidos > 0
     plan = fact.where(F.col("order_month") >= F.lit("1997-01-01").cast("date"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
+
+
+def test_table_source_and_sink_round_trip(spark):
+    name = "orderscope_test_orders"
+    raw = spark.createDataFrame(
+        [(1, "2024-01-01 10:00:00", "a", 10.0), (2, "2024-01-02 11:00:00", "b", 5.0)],
+        "pedido_id long, created_at string, plataforma string, total double",
+    )
+    write_dataset(raw, name, fmt="table", mode="overwrite")
+    fact = read_orders(spark, name, fmt="table")
+    assert {"order_id", "order_datetime", "platform", "total_brl"} <= set(fact.columns)
+    assert finance.kpis(fact).first().receita_total == 15.0
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
