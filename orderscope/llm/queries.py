@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from orderscope.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from orderscope.llm.jaccard_join import op8_chosen_path_jaccard
 from orderscope.llm.mixing import OP1_SQL, op1_poisson_mixing
+from orderscope.llm.packing import op6_nnls_packing
 from orderscope.llm.secret_scan import op7_blob_ledger_secrets
 from orderscope.llm.url_filter import OP10_SQL, op10_temporal_url_filter
 
 QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_nnls_packing": op6_nnls_packing,
     "op7_blob_ledger_secrets": op7_blob_ledger_secrets,
+    "op8_chosen_path_jaccard": op8_chosen_path_jaccard,
     "op10_temporal_url_filter": op10_temporal_url_filter,
 }
 
