@@ -48,6 +48,8 @@ class Ledger:
                 "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
                 "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
                 "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+                # No disk set aside ahead of use: most state partitions are small.
+                "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             },
         )
 
