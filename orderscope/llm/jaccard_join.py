@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import LOC, connected_components, located, materialise, text_of, with_locator
+from orderscope.llm.common import LOC, connected_components, located, materialise, ship_package, text_of, with_locator
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -326,6 +326,7 @@ def _compare_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """``(docs, rows)``: one row per document with ``id, class_id, n_links,
     class_size, keeps`` (true for one row of each class) and its locator."""
+    ship_package(spark)
     docs, rows = located(spark, docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")])
     texts = rows.select(*LOC, text_of().alias("text"))
     signed = materialise(spark, texts.mapInArrow(_sign, SIGNED), "signed")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import materialise, text_of
+from orderscope.llm.common import materialise, ship_package, text_of
 
 WINDOW = 1024
 # Words whose ids a worker remembers, and lengths (the commonest) of which all
@@ -287,6 +287,7 @@ def _place(plan: Plan, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]]
 def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset``."""
+    ship_package(spark)
     kind = docs.schema[id_col].dataType
     simple = kind.simpleString()
     to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import LOC, located, materialise, scratch_session, shared_folder, text_of
+from orderscope.llm.common import LOC, located, materialise, scratch_session, shared_folder, ship_package, text_of
 
 # The kinds in their listed order, their patterns, the group
 # whose length counts and the least length.
@@ -85,6 +85,7 @@ class BlobLedger:
     """Findings of all (blob, rule version) pairs scanned so far, in ``folder``."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
+        ship_package(spark)
         self.spark = scratch_session(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "500"})
         self.findings = f"{folder or shared_folder(spark, 'blobs')}/findings"
 
