@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from orderscope.llm.common import ship_package, text_of
 from orderscope.llm.toxicity import fold, sample_labels
@@ -154,9 +155,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str], t
     """``keep`` columns of every document with its score."""
     keep = [c for c in keep if c != "score"]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
+    schema = StructType([*chosen.schema.fields[:-1], StructField("score", DoubleType())])
     # MAX_LABELLED vectors of RANK numbers and the projection: under 3 MB.
-    return chosen.mapInArrow(_score(spark.sparkContext.broadcast(model), keep), f"{schema}, score double")
+    return chosen.mapInArrow(_score(spark.sparkContext.broadcast(model), keep), schema)
 
 
 def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orderscope.llm.common import materialise, ship_package, text_of
 from orderscope.llm.jaccard_join import shingles
@@ -254,8 +255,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """``keep`` columns of every document with its score and passages."""
     keep = [c for c in keep if c not in ("score", "n_passages", "passages")]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "_text")
-    return chosen.mapInArrow(_score(model, keep), f"{schema}, {SCORED}")
+    schema = StructType([*chosen.schema.fields[:-1], *StructType.fromDDL(SCORED).fields])
+    return chosen.mapInArrow(_score(model, keep), schema)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
