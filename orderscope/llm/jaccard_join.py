@@ -179,7 +179,9 @@ def buckets(spark: SparkSession, sets: DataFrame, recall: float) -> tuple[DataFr
         # Under threshold^2, splitting into 1/threshold children saves work.
         close = materialise(spark, agree.where(F.col("s") / (F.col("n") * F.col("n")) >= float(THRESHOLD) ** 2).select("path"), "close")
         alike.append(materialise(spark, inside.join(close, "path", "left_semi").select("path", "sid"), "alike"))
-        rows = down.join(close, "path", "left_anti").select(_path("path", "coord", "value").alias("path"), "sid")
+        # A child with one set holds no pair.
+        alive = child.where("c > 1").join(close, "path", "left_anti").select("path", "coord", "value")
+        rows = down.join(alive, ["path", "coord", "value"], "left_semi").select(_path("path", "coord", "value").alias("path"), "sid")
     return _union(small), _union(alike) if alike else _union(small).limit(0)
 
 
