@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orderscope.session import ensure_checkpoint_dir
 
-LOC = ("_loc_file", "_loc_row")
+LOC = ("__loc_file", "__loc_row")
 
 
 _shipped: set[str] = set()
@@ -86,11 +86,8 @@ def located(spark: SparkSession, docs: DataFrame, columns: list[str]) -> tuple[D
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "*",
-        F.xxhash64(F.col("_metadata.file_path")).alias(LOC[0]),
-        F.col("_metadata.row_index").alias(LOC[1]),
-    )
+    file = docs.metadataColumn("_metadata")
+    return docs.select("*", F.xxhash64(file["file_path"]).alias(LOC[0]), file["row_index"].alias(LOC[1]))
 
 
 def text_of(column: str = "text") -> Column:

@@ -85,24 +85,24 @@ def mix(
     repeated and globally shuffled."""
     by_source = rates(docs, weights, temperature, epochs, source_col, text_col)
     by_source = materialise(docs.sparkSession, by_source, "rates").select(
-        F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf")
+        F.col("source").alias("__mix_source"), F.col("pieces").alias("__mix_pieces"), F.col("cdf").alias("__mix_cdf")
     )
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    same = F.col(source_col).eqNullSafe(F.col("__mix_source"))
     if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(by_source), same)
     else:
-        salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("_own_salt", F.pmod(F.hash(id_col), F.lit(SALTS)).cast("int"))
-        rated = rated.join(salted, same & (F.col("_own_salt") == F.col("_salt")))
+        salted = by_source.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.withColumn("__mix_own_salt", F.pmod(F.hash(id_col), F.lit(SALTS)).cast("int"))
+        rated = rated.join(salted, same & (F.col("__mix_own_salt") == F.col("__mix_salt")))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
 
     def drawn(piece: Column) -> Column:
         u = uniform(F.lit(str(seed)), key, piece.cast("string"))
-        return F.size(F.filter("_cdf", lambda c: c < u))
+        return F.size(F.filter("__mix_cdf", lambda c: c < u))
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda n, piece: n + drawn(piece))
-    out = rated.withColumn("_count", count).where("_count > 0")
-    out = out.withColumn("copy_index", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("__mix_pieces")), F.lit(0), lambda n, piece: n + drawn(piece))
+    out = rated.withColumn("__mix_count", count).where("__mix_count > 0")
+    out = out.withColumn("copy_index", F.explode(F.sequence(F.lit(1), F.col("__mix_count"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), key, F.col("copy_index").cast("string"))))
     kept = [c for c in docs.columns if c not in ("copy_index", "shuffle_key")]
     out = out.select(*[F.col(f"`{c}`") for c in kept], "copy_index", "shuffle_key")

@@ -47,23 +47,23 @@ def screen(captures: DataFrame, history: DataFrame, url_col: str = "url", fetche
     """``captures`` plus ``host``, ``blocked``, ``n_matches`` and ``lists`` (the
     matching lists, sorted, comma-joined)."""
     own = [c for c in captures.columns if c not in ("host", "blocked", "n_matches", "lists")]
-    captures = captures.withColumn("_host", host_of(F.col(url_col))).withColumn("_day", F.col(fetched_col).cast("date"))
-    days = captures.where("_host IS NOT NULL AND _day IS NOT NULL").groupBy("_host", "_day").agg(F.lit(1).alias("_one"))
-    parts = F.split("_host", r"\.")
+    captures = captures.withColumn("__url_host", host_of(F.col(url_col))).withColumn("__url_day", F.col(fetched_col).cast("date"))
+    days = captures.where("__url_host IS NOT NULL AND __url_day IS NOT NULL").groupBy("__url_host", "__url_day").agg(F.lit(1).alias("__url_one"))
+    parts = F.split("__url_host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    asked = days.select("_host", "_day", F.explode(names).alias("entry"))
-    active = (F.col("valid_from") <= F.col("_day")) & (F.col("_day") < F.col("valid_to"))
+    asked = days.select("__url_host", "__url_day", F.explode(names).alias("entry"))
+    active = (F.col("valid_from") <= F.col("__url_day")) & (F.col("__url_day") < F.col("valid_to"))
     hits = asked.join(intervals(history), "entry").where(active)
-    hits = hits.groupBy("_host", "_day").agg(
-        F.count(F.lit(1)).alias("n_matches"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists")
+    hits = hits.groupBy("__url_host", "__url_day").agg(
+        F.count(F.lit(1)).alias("__url_n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("__url_lists")
     )
-    out = captures.join(hits, ["_host", "_day"], "left")
+    out = captures.join(hits, ["__url_host", "__url_day"], "left")
     return out.select(
         *[F.col(f"`{c}`") for c in own],
-        F.col("_host").alias("host"),
-        F.col("n_matches").isNotNull().alias("blocked"),
-        F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
-        F.coalesce("lists", F.lit("")).alias("lists"),
+        F.col("__url_host").alias("host"),
+        F.col("__url_n").isNotNull().alias("blocked"),
+        F.coalesce("__url_n", F.lit(0)).alias("n_matches"),
+        F.coalesce("__url_lists", F.lit("")).alias("lists"),
     )
 
 
