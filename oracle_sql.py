@@ -77,7 +77,7 @@ W_DATES_PLATFORM_SCORE = (
 W_LATE = "delivery - eta > 5"
 W_CLASS_AREA = (
     "order_mode IN ('1-URGENT', '2-HIGH') "
-    "AND macro_bairro IN ('BRAZIL', 'CANADA', 'FRANCE', 'GERMANY', 'JAPAN', 'CHINA')"
+    "AND macro_bairro IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_12', 'NATION_18', 'NATION_23')"
 )
 W_SAT = "score >= 1 AND score <= 5"
 W_ON_TIME_SCORE = "score >= 2.5 AND score <= 5 AND delivery <= eta AND dt <= TIMESTAMP '2000-06-30'"
@@ -236,7 +236,7 @@ FROM fact""",
     "ops_kpis_late": f"""{STAR}
 SELECT {rb('avg(prep)')} AS tempo_medio_preparo, {rb('avg(delivery)')} AS tempo_medio_entrega,
        {rb('avg(delivery - eta)')} AS atraso_medio, {rb('avg(distance_km)')} AS distancia_media,
-       {rb('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 2 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
+       {rb('coalesce(100 * avg(CASE WHEN delivery IS NOT NULL AND eta IS NOT NULL THEN (CASE WHEN delivery <= eta + 10 THEN 1 ELSE 0 END) END), 0)')} AS on_time_rate_pct
 FROM fact WHERE {W_LATE}""",
     "ops_timeseries_delivery": _series(
         STAR, "delivery IS NOT NULL", "D", [("avg_delivery_minutes", "avg(delivery)", None, "rb")]
@@ -246,11 +246,11 @@ FROM fact WHERE {W_LATE}""",
     ),
     "ops_boxplot_delivery_by_macro": _box(STAR, "macro_bairro", "macro_bairro", "macro_bairro IS NOT NULL"),
     "ops_boxplot_values_by_macro": f"""{STAR}
-SELECT macro_bairro, {rb('delivery')} AS delivery_minutes FROM fact WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL""",
+SELECT macro_bairro, delivery AS delivery_minutes FROM fact WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL""",
     "ops_delay_heatmap_by_macro": f"""{STAR}
 SELECT macro_bairro, {rb('avg(delivery - eta)')} AS avg_delay FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "ops_scatter_distance_delivery": f"""{STAR}
-SELECT {rb('distance_km')} AS distance_km, {rb('delivery')} AS delivery_minutes
+SELECT distance_km AS distance_km, delivery AS delivery_minutes
 FROM fact WHERE distance_km IS NOT NULL AND delivery IS NOT NULL""",
     "ops_orders_by_hour": _hour_orders(STAR),
     "ops_orders_by_hour_events": _hour_orders(_EVENTS),
@@ -260,7 +260,7 @@ FROM fact WHERE distance_km IS NOT NULL AND delivery IS NOT NULL""",
     "ops_percentiles_by_macro_events": _percentiles(_EVENTS),
     "ops_delivery_by_weekday": _box(STAR, "CAST(isodow(dt) - 1 AS INTEGER)", "weekday", "dt IS NOT NULL"),
     "ops_delivery_values_by_weekday": f"""{STAR}
-SELECT CAST(isodow(dt) - 1 AS INTEGER) AS weekday, {rb('delivery')} AS delivery_minutes
+SELECT CAST(isodow(dt) - 1 AS INTEGER) AS weekday, delivery AS delivery_minutes
 FROM fact WHERE dt IS NOT NULL AND delivery IS NOT NULL""",
     "ops_avg_delivery_by_hour": f"""{STAR}
 SELECT CAST(hour(dt) AS INTEGER) AS hour, {rb('avg(delivery)')} AS avg_delivery_minutes
@@ -333,8 +333,8 @@ SELECT macro_bairro, {rb('avg(score)')} AS avg_satisfacao, count(score) AS count
 FROM fact WHERE {W_SAT} AND macro_bairro IS NOT NULL GROUP BY 1""",
     "satisfaction_scatter_time_score": f"""{STAR}
 SELECT order_id, strftime(dt, '%Y-%m-%d %H:%M:%S') AS date, coalesce(platform, 'nan') AS platform,
-       coalesce(macro_bairro, 'nan') AS macro_bairro, {rb('delivery')} AS delivery_minutes, {rb('score')} AS satisfacao,
-       {rb('eta')} AS eta_minutes
+       coalesce(macro_bairro, 'nan') AS macro_bairro, delivery AS delivery_minutes, score AS satisfacao,
+       eta AS eta_minutes
 FROM fact WHERE {W_SAT} AND delivery IS NOT NULL""",
     "satisfaction_timeseries": _series(
         STAR, W_SAT, "M", [("avg_satisfacao", "avg(score)", "0", "rb"), ("count", "count(score)", "0", "")]
@@ -359,14 +359,14 @@ SELECT strftime(min(dt), '%Y-%m-%d %H:%M:%S') AS periodo_min, strftime(max(dt),
     "explore_count": f"""{STAR}
 SELECT count(*) AS count FROM fact WHERE {_search(_TEXT_COLS, 'build|^f$')}""",
     "explore_page": f"""{STAR}
-SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}
 ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "explore_page_asc": f"""{STAR}
-SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 ORDER BY status ASC NULLS LAST, order_id LIMIT 500 OFFSET 0""",
     "explore_page_deep": f"""{STAR}
-SELECT order_id, platform, macro_bairro, {rb('total')} AS total_brl, status FROM fact
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 ORDER BY total ASC NULLS LAST, order_id LIMIT 1000 OFFSET 9000""",
     "explore_numeric_summary": f"""{STAR}
 SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean, {rb('stddev_samp(total)')} AS std,

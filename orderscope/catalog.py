@@ -31,7 +31,7 @@ SPEC_DATES_PLATFORM_SCORE = FilterSpec(
 )
 SPEC_LATE = FilterSpec(delivery_status="atrasado", threshold_min=5.0)
 SPEC_CLASS_AREA = FilterSpec(
-    classe_pedido=("1-URGENT", "2-HIGH"), macro_bairro=("BRAZIL", "CANADA", "FRANCE", "GERMANY", "JAPAN", "CHINA")
+    classe_pedido=("1-URGENT", "2-HIGH"), macro_bairro=("NATION_1", "NATION_4", "NATION_7", "NATION_12", "NATION_18", "NATION_23")
 )
 SPEC_ON_TIME_SCORE = FilterSpec(delivery_status="no_prazo", score_min=2.5, end_date="2000-06-30")
 SPEC_NAN_PLATFORM = FilterSpec(platform=("nan", "BUILDING"))
@@ -91,7 +91,7 @@ QUERIES: dict[str, Query] = {
     "overview_timeseries_orders_events": _on_events(overview.timeseries_orders, freq="D"),
     # ops
     "ops_kpis": _on_star(ops.kpis, grace_min=0.0),
-    "ops_kpis_late": _on_star(ops.kpis, SPEC_LATE, grace_min=2.0),
+    "ops_kpis_late": _on_star(ops.kpis, SPEC_LATE, grace_min=10.0),
     "ops_timeseries_delivery": _on_star(ops.timeseries_delivery, freq="D"),
     "ops_timeseries_delivery_weekly": _on_star(ops.timeseries_delivery, freq="W"),
     "ops_boxplot_delivery_by_macro": _on_star(ops.boxplot_delivery_by_macro),
@@ -175,6 +175,18 @@ SUM_COLUMNS_BY_QUERY = {
 }
 
 
+# Queries that pass stored values through: nothing is rounded.
+ROW_LEVEL = {
+    "explore_page",
+    "explore_page_asc",
+    "explore_page_deep",
+    "ops_scatter_distance_delivery",
+    "ops_boxplot_values_by_macro",
+    "ops_delivery_values_by_weekday",
+    "satisfaction_scatter_time_score",
+}
+
+
 def sum_columns(name: str) -> set[str]:
     return SUM_COLUMNS_BY_QUERY.get(name, SUM_COLUMNS)
 

@@ -100,8 +100,9 @@ def _exact(
 
     # Running count before each value inside its (slice, key) block, and the
     # block total, from one window partitioning (one exchange).
+    # Explicitly n_slices partitions, whatever the session's number.
     block = Window.partitionBy("_s", *keys)
-    ranged = ranged.select(
+    ranged = ranged.repartition(n_slices, "_s", *keys).select(
         *keys,
         "_s",
         "_v",

@@ -65,7 +65,8 @@ def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int, slic
     # an executor).
     ensure_checkpoint_dir(spark)
     ranged = df.repartitionByRange(n, *order).withColumn("_s", F.spark_partition_id())
-    numbered = ranged.select(
+    # Explicitly n partitions: the window must not fall back to the session's number.
+    numbered = ranged.repartition(n, "_s").select(
         *cols, "_s", (F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1).alias("_r")
     ).checkpoint(eager=True)
     totals = numbered.groupBy("_s").agg(F.count(F.lit(1)).alias("_sn"))

@@ -1,11 +1,9 @@
 """How many range slices an input needs.
 
-Slices are sized by bytes, not by the session's shuffle-partition count: a
-small input becomes one slice (no 200 near-empty tasks), a large one gets
-about one slice per ``TARGET_SLICE_BYTES`` whatever its key distribution.
-The size is Catalyst's plan-time estimate (the statistic the planner uses
-for its broadcast decisions; file scans report their file sizes). When the
-plan has no estimate, the shuffle-partition count is used.
+Slices are sized by the measured number of rows (one pruned counting scan),
+not by a plan estimate, which multiplies the inputs of a join, and not by the
+session's shuffle-partition count. There is no upper limit: a slice holds
+about ``ROWS_PER_SLICE`` rows at every input size.
 """
 
 from __future__ import annotations
@@ -14,21 +12,8 @@ import math
 
 from pyspark.sql import DataFrame
 
-TARGET_SLICE_BYTES = 64 * 1024 * 1024
-MAX_SLICES = 100_000
-_UNKNOWN = 1 << 60
+ROWS_PER_SLICE = 1_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-    return size if 0 < size < _UNKNOWN else None
-
-
-def slice_count(df: DataFrame, target_bytes: int = TARGET_SLICE_BYTES) -> int:
-    size = estimated_bytes(df)
-    if size is None:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(math.ceil(size / target_bytes), MAX_SLICES))
+def slice_count(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> int:
+    return max(1, math.ceil(df.count() / rows_per_slice))

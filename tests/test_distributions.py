@@ -96,11 +96,11 @@ def test_feature_summary_dispatch(spark):
     assert explore.feature_summary(df, "x").first()["count"] == 3.0
 
 
-def test_slice_count_follows_estimated_bytes(spark):
-    from orderscope.operators.sizing import TARGET_SLICE_BYTES, estimated_bytes, slice_count
-
-    small = spark.range(1000)
-    assert slice_count(small) == 1
-    big = spark.range(10**9)  # ~8 GB by the planner's estimate, nothing is computed
-    assert estimated_bytes(big) == 8 * 10**9
-    assert slice_count(big) == -(-8 * 10**9 // TARGET_SLICE_BYTES)
+def test_slice_count_follows_counted_rows(spark):
+    from orderscope.operators.sizing import slice_count
+    from orderscope.sources.mapping import star_fact
+
+    assert slice_count(spark.range(1000)) == 1
+    assert slice_count(spark.range(2_500_001)) == 3
+    # A join is counted, not estimated as the product of its inputs.
+    assert slice_count(star_fact(spark, "/root/testdata/sf0.01")) == 1
