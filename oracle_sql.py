@@ -54,6 +54,37 @@ fact AS (
   FROM ev
 )"""
 
+_SPELL = "['Single', '1', 'COMBO', 'duo', 'Familia', '4+', 'individual', 'Outro']"
+_BAD = "['abc', '1,5', '1d', 'nan', '', '  ']"
+
+
+def _num(cell: str) -> str:
+    """A text cell as a number; what is no plain number is missing."""
+    return f"CASE WHEN NOT isnan(TRY_CAST({cell} AS DOUBLE)) THEN TRY_CAST({cell} AS DOUBLE) END"
+
+
+RAW = f"""WITH {_LI},
+raw AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id_pedido,
+         CASE WHEN o_orderkey % 37 = 0 THEN ['bad', '', '2024-13-45'][o_orderkey % 3 + 1]
+              ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS data_pedido,
+         o_orderpriority AS modo_pedido, o_orderstatus AS order_status,
+         CASE WHEN o_orderkey % 23 = 0 THEN {_BAD}[o_orderkey % 6 + 1]
+              ELSE CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) END AS valor_total,
+         CASE WHEN o_orderkey % 29 = 0 THEN {_BAD}[o_orderkey % 6 + 1]
+              ELSE CAST(CAST(num_itens AS BIGINT) AS VARCHAR) END AS qtd_itens,
+         CASE WHEN o_orderkey % 40 <> 0 THEN CAST(1 + o_orderkey % 5 AS VARCHAR) END AS nota,
+         CAST(o_custkey AS VARCHAR) AS nome_cliente,
+         {_SPELL}[o_orderkey % 8 + 1] AS tipo
+  FROM orders LEFT JOIN li ON l_orderkey = o_orderkey
+),
+fact AS (
+  SELECT id_pedido AS order_id, TRY_CAST(data_pedido AS TIMESTAMP) AS dt, modo_pedido AS order_mode,
+         order_status AS status, {_num('valor_total')} AS total, {_num('qtd_itens')} AS items,
+         {_num('nota')} AS score, nome_cliente AS cliente_id, tipo FROM raw
+)"""
+
+
 STAR = _star()
 STAR_NULLS = _star(nulls=True)
 
@@ -106,22 +137,18 @@ sp AS (SELECT CAST(unnest(generate_series(CAST(min(s) AS TIMESTAMP), CAST(max(s)
 SELECT {label} AS date, {', '.join(outs)} FROM sp LEFT JOIN b USING (s)"""
 
 
-def _hist(fact: str, where: str, bins: int) -> str:
+def _hist(fact: str, where: str, bins: int, total: str = "total") -> str:
     return f"""{fact},
-t AS (SELECT total / items AS x FROM fact WHERE items > 0 AND {where}),
+t AS (SELECT {total} / items AS x FROM fact WHERE items > 0 AND {where}),
 tf AS (SELECT x FROM t WHERE x IS NOT NULL AND isfinite(x)),
 m AS (SELECT min(x) AS mn, max(x) AS mx FROM tf),
 bnd AS (SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM m),
 e AS (SELECT i, CASE WHEN i = {bins} THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / {bins}) + lo END AS edge
       FROM bnd, range(0, {bins + 1}) r(i) WHERE lo IS NOT NULL),
-k0 AS (SELECT x, LEAST(CAST(trunc(((x - lo) / (hi - lo)) * {bins}) AS BIGINT), {bins - 1}) AS k FROM tf, bnd),
-k1 AS (SELECT k0.x, CASE WHEN k0.x < e.edge THEN k0.k - 1 ELSE k0.k END AS k FROM k0 JOIN e ON e.i = k0.k),
-k2 AS (SELECT k1.x, CASE WHEN k1.x >= e.edge AND k1.k <> {bins - 1} THEN k1.k + 1 ELSE k1.k END AS k
-       FROM k1 JOIN e ON e.i = k1.k + 1),
-cnt AS (SELECT k, count(*) AS c FROM k2 GROUP BY k)
-SELECT {rb('a.edge')} AS bin_start, {rb('z.edge')} AS bin_end, CAST(coalesce(cnt.c, 0) AS BIGINT) AS count
-FROM e a JOIN e z ON z.i = a.i + 1 LEFT JOIN cnt ON cnt.k = a.i
-WHERE a.i < {bins}"""
+bin AS (SELECT a.i, a.edge AS lo, z.edge AS hi FROM e a JOIN e z ON z.i = a.i + 1)
+SELECT {rb('bin.lo')} AS bin_start, {rb('bin.hi')} AS bin_end, CAST(count(x) AS BIGINT) AS count
+FROM bin LEFT JOIN tf ON x >= bin.lo AND (x < bin.hi OR (bin.i = {bins - 1} AND x <= bin.hi))
+GROUP BY bin.i, bin.lo, bin.hi"""
 
 
 def _box(fact: str, key_expr: str, key: str, where: str) -> str:
@@ -218,6 +245,13 @@ SELECT coalesce(status, 'nan') AS status, count(*) AS count FROM fact GROUP BY 1
 SELECT coalesce(status, 'nan') AS status, count(*) AS count FROM fact WHERE {W_NAN_PLATFORM} GROUP BY 1""",
     "overview_ticket_histogram": _hist(STAR, "TRUE", 15),
     "overview_ticket_histogram_filtered": _hist(STAR, W_CLASS_AREA, 40),
+    "overview_ticket_histogram_infinite": _hist(
+        STAR, "true", 15, total="CASE WHEN order_id % 101 = 0 THEN CAST('inf' AS DOUBLE) ELSE total END"
+    ),
+    "overview_ticket_histogram_left_out": f"""{STAR}
+SELECT count_if(order_id % 101 <> 0 AND total IS NOT NULL)::BIGINT AS binned, count_if(order_id % 101 = 0)::BIGINT AS infinite,
+       count_if(order_id % 101 <> 0 AND total IS NULL)::BIGINT AS missing
+FROM fact WHERE items > 0""",
     "overview_macro_avg_revenue": f"""{STAR}
 SELECT macro_bairro, {rb('avg(total)')} AS avg_receita FROM fact WHERE macro_bairro IS NOT NULL GROUP BY 1""",
     "overview_macro_choropleth": f"""{STAR}
@@ -257,6 +291,7 @@ FROM fact WHERE distance_km IS NOT NULL AND delivery IS NOT NULL""",
     "ops_late_rate_by_macro": _late(STAR, "macro_bairro", 0),
     "ops_late_rate_by_macro_nulls": _late(STAR_NULLS, "macro_bairro", 10),
     "ops_percentiles_by_macro": _percentiles(STAR),
+    "ops_percentiles_by_macro_sliced": _percentiles(STAR),
     "ops_percentiles_by_macro_events": _percentiles(_EVENTS),
     "ops_delivery_by_weekday": _box(STAR, "CAST(isodow(dt) - 1 AS INTEGER)", "weekday", "dt IS NOT NULL"),
     "ops_delivery_values_by_weekday": f"""{STAR}
@@ -298,6 +333,34 @@ SELECT platform, {rb('avg(total)')} AS gross, {rb('avg(total * (1 - pct))')} AS
 FROM fact WHERE platform IS NOT NULL GROUP BY 1""",
     "finance_revenue_by_class": f"""{STAR}
 SELECT order_mode AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE order_mode IS NOT NULL GROUP BY 1""",
+    "finance_revenue_by_class_extra": f"""{RAW}
+SELECT tipo AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact GROUP BY 1""",
+    "finance_revenue_by_item_class_synonyms": f"""{RAW},
+g AS (SELECT lower(tipo) AS raw, coalesce(sum(total), 0) AS revenue FROM fact GROUP BY tipo)
+SELECT CASE WHEN raw IN ('individual', '1', 'single', 'simples') THEN 'individual'
+            WHEN raw IN ('combo', '2', 'duo', 'par') THEN 'combo'
+            WHEN raw IN ('família', 'familia', 'family', '4+', '4') THEN 'família'
+            ELSE raw END AS classe, {rs('revenue')} AS revenue
+FROM g""",
+    "finance_kpis_decimal": f"""{RAW},
+k AS (SELECT CAST(sum(TRY_CAST(valor_total AS DECIMAL(18, 2))) AS DOUBLE) AS t FROM raw WHERE valor_total NOT IN ('1d'))
+SELECT {rs('max(t)')} AS receita_total, 0.0::DOUBLE AS receita_liquida,
+       {rb('max(t) / sum(items)')} AS ticket_medio, count(*) AS total_pedidos
+FROM fact, k""",
+    # ------------------------------------------------------------ ingest
+    "ingest_aliases": f"""{RAW}
+SELECT order_id, dt AS order_datetime, order_mode, status, total AS total_brl, items AS num_itens,
+       score AS satisfacao_nivel, cliente_id FROM fact""",
+    "ingest_coercion_report": f"""{RAW},
+both_ AS (SELECT * FROM raw JOIN fact ON id_pedido = order_id)
+SELECT 'order_id' AS role, 'id_pedido' AS "column", count(id_pedido) AS present, 0::BIGINT AS coerced_to_null FROM both_
+UNION ALL SELECT 'order_datetime', 'data_pedido', count(data_pedido), count(data_pedido) - count(dt) FROM both_
+UNION ALL SELECT 'order_mode', 'modo_pedido', count(modo_pedido), 0 FROM both_
+UNION ALL SELECT 'status', 'order_status', count(order_status), 0 FROM both_
+UNION ALL SELECT 'total_brl', 'valor_total', count(valor_total), count(valor_total) - count(total) FROM both_
+UNION ALL SELECT 'num_itens', 'qtd_itens', count(qtd_itens), count(qtd_itens) - count(items) FROM both_
+UNION ALL SELECT 'satisfacao_nivel', 'nota', count(nota), count(nota) - count(score) FROM both_
+UNION ALL SELECT 'cliente_id', 'nome_cliente', count(nome_cliente), 0 FROM both_""",
     "finance_revenue_by_class_status": f"""{STAR}
 SELECT status AS class, {rs('coalesce(sum(total), 0)')} AS revenue FROM fact WHERE status IS NOT NULL GROUP BY 1""",
     "finance_top_clients": f"""{STAR}
@@ -368,6 +431,28 @@ ORDER BY status ASC NULLS LAST, order_id LIMIT 500 OFFSET 0""",
     "explore_page_deep": f"""{STAR}
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 ORDER BY total ASC NULLS LAST, order_id LIMIT 1000 OFFSET 9000""",
+    "explore_page_sliced": f"""{STAR}
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
+WHERE {_search(_TEXT_COLS, 'a')}
+ORDER BY total DESC NULLS LAST, order_id LIMIT 900 OFFSET 300""",
+    "explore_page_raw": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+ORDER BY l_quantity ASC NULLS LAST, l_orderkey, l_linenumber LIMIT 500 OFFSET 1000""",
+    "explore_page_meta": f"""{STAR},
+n AS (SELECT count(*) AS total FROM fact WHERE {_search(_TEXT_COLS, 'a')})
+SELECT total, CAST(greatest(least(total - 100, 200), 0) AS BIGINT) AS returned, CAST(100 AS INTEGER) AS "offset",
+       CAST(200 AS INTEGER) AS "limit", 'order_id,platform,macro_bairro,total_brl,status' AS "columns",
+       'total_brl' AS sorted_by, 'desc' AS "order"
+FROM n""",
+    "explore_boolean_summary": f"""{STAR},
+v AS (SELECT delivery > eta AS late, count(*) AS n FROM fact WHERE delivery > eta IS NOT NULL GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+       (SELECT late FROM v ORDER BY n DESC, late LIMIT 1) AS top, max(n) AS freq
+FROM v""",
+    "explore_summary_empty": """SELECT 0.0::DOUBLE AS count, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min,
+       NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, NULL::DOUBLE AS max""",
+    "explore_date_summary": f"""{STAR}
+SELECT strftime(dt, '%Y-%m-%d %H:%M:%S') AS value, count(*) AS count FROM fact GROUP BY 1
+ORDER BY count DESC, value LIMIT 20""",
     "explore_numeric_summary": f"""{STAR}
 SELECT {rb('CAST(count(total) AS DOUBLE)')} AS count, {rb('avg(total)')} AS mean, {rb('stddev_samp(total)')} AS std,
        {rb('min(total)')} AS min, {rb('quantile_cont(total, 0.25)')} AS p25, {rb('quantile_cont(total, 0.5)')} AS p50,
@@ -390,18 +475,20 @@ SELECT col AS "column", CAST(non_null AS BIGINT) AS non_null, n AS "rows" FROM (
     "explore_top_values": f"""{STAR}
 SELECT coalesce(macro_bairro, 'nan') AS value, count(*) AS count FROM fact GROUP BY 1 ORDER BY count DESC, value LIMIT 20""",
     # ------------------------------------------------------------ streaming
-    # a daily window is emitted once the watermark (max event time - 1 hour)
-    # reaches its end; the still-open windows are not in the result
-    "stream_events_daily_windows": f"""WITH d AS (
-  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, count(*) AS orders, avg(value) AS a
-  FROM events WHERE ts IS NOT NULL GROUP BY 1
-)
-SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, orders, {rb('a')} AS avg_delivery_minutes
-FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
-    "stream_events_hour_histogram": """WITH h AS (
-  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS orders
-  FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
-)
-SELECT window_start, hour, orders FROM h
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_events_daily_windows": f"""SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
+       CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, count(*) AS orders,
+       {rb('avg(value)')} AS avg_delivery_minutes
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
+    "stream_events_hour_histogram": """SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS window_start,
+       CAST(hour(ts) AS INTEGER) AS hour, count(*) AS orders
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
+}
+
+# The column listing: the types are Spark's names of the canonical types.
+_DTYPES = {
+    "order_id": "bigint", "order_datetime": "timestamp_ntz", "cliente_id": "bigint",
+    "platform": "string", "order_mode": "string", "status": "string", "macro_bairro": "string",
 }
+_LISTED = ", ".join(f"('{c}', '{t}')" for c, t in _DTYPES.items())
+SQL["explore_columns"] = f"""SELECT l."column", coalesce(t.dtype, 'double') AS dtype, l.non_null, l."rows"
+FROM ({SQL['explore_column_counts']}) l LEFT JOIN (VALUES {_LISTED}) t(name, dtype) ON l."column" = t.name"""

@@ -1,10 +1,11 @@
 """Named dataset queries over the driver tables.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame. The
-canonical fact is derived from the given tables (mapping ``star``, its
-``star_nulls`` variant, or ``events``) and materialised once per session
-folder (``orderscope.sources.store``); one dashboard dataset is planned on
-top. The ``*_direct`` entries build the fact from the raw tables inside the
+Each entry takes ``(spark, sf_dir)`` and returns a DataFrame. Making it may
+run jobs: the canonical fact is derived from the given tables (mapping
+``star``, its ``star_nulls`` variant, or ``events``) and written on first use
+(``orderscope.sources.store``), pages and exact quantiles count rows and
+checkpoint their slices, and the stream entries run their stream. One
+dashboard dataset is planned on top. The ``*_direct`` entries build the fact from the raw tables inside the
 query instead (the date bounds of their filter are pushed onto the raw
 ``o_orderdate`` scan). Filtered variants exercise the shared filters.
 """
@@ -19,7 +20,9 @@ from pyspark.sql import types as T
 
 from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
-from orderscope.sources.mapping import star_fact
+from orderscope.sources.columns import canonicalise
+from orderscope.sources.mapping import raw_orders, star_fact, table
+from orderscope.sources.readers import coercion_report
 from orderscope.sources.store import materialised_fact
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
@@ -58,6 +61,24 @@ def _on_events(fn, spec: FilterSpec | None = None, **kw) -> Query:
     return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "events"), spec, **kw)
 
 
+def _on_raw(fn, extra: tuple[str, ...] = (), money: T.DecimalType | None = None, **kw) -> Query:
+    """Over the untyped export, through alias resolution and coercion."""
+    return lambda spark, sf_dir: fn(canonicalise(raw_orders(spark, sf_dir), extra=extra, money=money), **kw)
+
+
+def _with_column(name: str, make, fn, **kw) -> Query:
+    """Over the star fact with one column added or replaced."""
+    return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star").withColumn(name, make()), **kw)
+
+
+def _some_infinite():
+    return F.when(F.col("order_id") % 101 == 0, F.lit(float("inf"))).otherwise(F.col("total_brl"))
+
+
+def _page_meta(df: DataFrame, **kw) -> DataFrame:
+    return explore.page_meta(df, **kw).withColumn("columns", F.array_join("columns", ","))
+
+
 def _meta(fn) -> Query:
     return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star"))
 
@@ -84,6 +105,10 @@ QUERIES: dict[str, Query] = {
     "overview_status_distribution_nan_platform": _on_star(overview.status_distribution, SPEC_NAN_PLATFORM, nulls=True),
     "overview_ticket_histogram": _on_star(overview.ticket_histogram, bins=15),
     "overview_ticket_histogram_filtered": _on_star(overview.ticket_histogram, SPEC_CLASS_AREA, bins=40),
+    "overview_ticket_histogram_infinite": _with_column("total_brl", _some_infinite, overview.ticket_histogram, bins=15),
+    "overview_ticket_histogram_left_out": _with_column(
+        "total_brl", _some_infinite, overview.ticket_histogram_left_out
+    ),
     "overview_macro_avg_revenue": _on_star(overview.macro_avg_revenue),
     "overview_macro_choropleth": _on_star(overview.macro_choropleth, metric="avg_receita"),
     "overview_macro_choropleth_orders": _on_star(overview.macro_choropleth, metric="orders"),
@@ -103,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "ops_late_rate_by_macro": _on_star(ops.late_rate_by_macro),
     "ops_late_rate_by_macro_nulls": _on_star(ops.late_rate_by_macro, SPEC_THRESHOLD, nulls=True),
     "ops_percentiles_by_macro": _on_star(ops.percentiles_by_macro),
+    "ops_percentiles_by_macro_sliced": _on_star(ops.percentiles_by_macro, slices=8),
     "ops_percentiles_by_macro_events": _on_events(ops.percentiles_by_macro),
     "ops_delivery_by_weekday": _on_star(ops.delivery_by_weekday),
     "ops_delivery_values_by_weekday": _on_star(ops.delivery_values_by_weekday),
@@ -129,6 +155,14 @@ QUERIES: dict[str, Query] = {
     "finance_revenue_by_item_class_explicit": _on_star(finance.revenue_by_item_class, class_col="order_mode"),
     "finance_revenue_by_macro_direct": _on_star_direct(finance.revenue_by_macro),
     "overview_kpis_filtered_direct": _on_star_direct(overview.kpis, SPEC_DATES_PLATFORM_SCORE, cancel_match="p"),
+    "finance_revenue_by_class_extra": _on_raw(finance.revenue_by_class, extra=("tipo",), class_col="tipo"),
+    "finance_revenue_by_item_class_synonyms": _on_raw(
+        finance.revenue_by_item_class, extra=("tipo",), class_col="tipo"
+    ),
+    "finance_kpis_decimal": _on_raw(finance.kpis, money=T.DecimalType(18, 2)),
+    # ingest
+    "ingest_aliases": _on_raw(lambda fact: fact),
+    "ingest_coercion_report": lambda spark, sf_dir: coercion_report(raw_orders(spark, sf_dir)),
     # satisfaction
     "satisfaction_kpis": _on_star(satisfaction.kpis),
     "satisfaction_by_macro": _on_star(satisfaction.by_macro),
@@ -149,23 +183,37 @@ QUERIES: dict[str, Query] = {
         explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
     ),
     "explore_page_asc": _explore(explore.page, cols=EXPLORE_COLUMNS, sort="status", order=1, offset=0, limit=500),
-    # a deep page through the distributed row numbering (no single top-k merge)
     "explore_page_deep": _explore(
-        explore.page, cols=EXPLORE_COLUMNS, sort="total_brl", order=1, offset=9000, limit=1000, topk_max=0
+        explore.page, cols=EXPLORE_COLUMNS, sort="total_brl", order=1, offset=9000, limit=1000
+    ),
+    "explore_page_sliced": _explore(
+        explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=300, limit=900, slices=8
+    ),
+    # a table without an order id: ties go by the visible columns
+    "explore_page_raw": lambda spark, sf_dir: explore.page(
+        table(spark, sf_dir, "lineitem"),
+        cols=["l_orderkey", "l_linenumber", "l_quantity"], sort="l_quantity", order=1, offset=1000, limit=500,
     ),
+    "explore_page_meta": _explore(
+        _page_meta, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
+    ),
+    "explore_boolean_summary": _with_column(
+        "late", lambda: F.col("actual_delivery_minutes") > F.col("eta_minutes_quote"),
+        explore.feature_summary, column="late",
+    ),
+    "explore_summary_empty": _with_column(
+        "total_brl", lambda: F.when(F.col("status") == "none", F.col("total_brl")),
+        explore.feature_summary, column="total_brl",
+    ),
+    "explore_date_summary": _explore(explore.feature_summary, column="order_datetime"),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
     # streaming: the events table as a file stream, daily event-time windows,
-    # 1 hour allowed lateness, append mode, run to completion
+    # 1 hour allowed lateness, append mode, plus the windows open at the end
     "stream_events_daily_windows": streamed_daily_orders,
     "stream_events_hour_histogram": streamed_hourly_orders,
 }
 
-# Queries whose SQL form is not meaningful (the dtype column: a DuckDB type
-# name is not a Spark type name; the same counts are checked by
-# explore_column_counts).
-NO_ORACLE = {"explore_columns"}
-
 # Output columns that are sums of money; their exact values
 # have at most 4 decimals. In "margin" queries gross/net are means instead.
 SUM_COLUMNS = {"receita_total", "receita_liquida", "receita_bruta", "gross", "net", "revenue", "spent"}
@@ -180,6 +228,9 @@ ROW_LEVEL = {
     "explore_page",
     "explore_page_asc",
     "explore_page_deep",
+    "explore_page_sliced",
+    "explore_page_raw",
+    "ingest_aliases",
     "ops_scatter_distance_delivery",
     "ops_boxplot_values_by_macro",
     "ops_delivery_values_by_weekday",

@@ -33,6 +33,16 @@ def to_double(c: Column, source_type: T.DataType | None = None) -> Column:
     return nan_to_null(parsed)
 
 
+def to_decimal(c: Column, source_type: T.DataType | None, target: T.DecimalType) -> Column:
+    """Exact numeric coercion: as ``to_double``, but text and exact numbers go
+    straight to the decimal type (half a unit rounds up); infinities, NaN and
+    values too large are NULL."""
+    if isinstance(source_type, (T.NumericType, T.BooleanType)):
+        return c.try_cast(target)
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(NUMERIC_TEXT), text.try_cast(target))
+
+
 def to_timestamp_ntz(c: Column, source_type: T.DataType | None = None, fmt: str | None = None) -> Column:
     """Datetime coercion to ``timestamp_ntz`` (wall-clock, no session zone
     shift, so a bucket label never moves across midnight). Each row is parsed

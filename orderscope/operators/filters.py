@@ -68,7 +68,9 @@ def parse_date_literal(text: str, name: str) -> _dt.datetime:
         value = _dt.datetime.fromisoformat(str(text).strip())
     except ValueError as exc:
         raise ValueError(f"{name} invalid, use yyyy-mm-dd: {text!r}") from exc
-    return value.replace(tzinfo=None)
+    if value.tzinfo is not None:
+        raise ValueError(f"{name} must be a wall-clock time without an offset: {text!r}")
+    return value
 
 
 def ts_literal(value: _dt.datetime) -> Column:

@@ -40,14 +40,28 @@ def histogram_edges(lo: float, hi: float, bins: int) -> list[float]:
     return edges
 
 
+def left_out(df: DataFrame, value: str) -> DataFrame:
+    """binned, infinite, missing: how many values of ``value`` the histogram
+    puts into bins, and how many it can't (±infinity; NULL or NaN)."""
+    x = F.col(f"`{value}`").cast("double")
+    missing = x.isNull() | F.isnan(x)
+    infinite = F.abs(x) == F.lit(float("inf"))
+    return df.agg(
+        F.count_if(~missing & ~infinite).alias("binned"),
+        F.count_if(~missing & infinite).alias("infinite"),
+        F.count_if(missing).alias("missing"),
+    )
+
+
 def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Histogram of the finite, non-null values of ``value``."""
+    """Histogram of the finite, non-null values of ``value``;
+    ``left_out`` counts the others."""
     if not (isinstance(bins, int) and bins >= 1):
         raise ValueError("bins must be a positive integer")
     spark = df.sparkSession
     v = F.col(value)
     finite = df.select(v.cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.col("_x").isin(float("inf"), float("-inf"))
+        F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") != F.lit(float("inf")))
     )
     bounds = finite.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
     if bounds is None or bounds["lo"] is None:

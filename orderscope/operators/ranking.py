@@ -3,11 +3,11 @@
 Spark has no row order, so every sort ends with a tie-break on the group
 key (or a row key) to make top-n boundaries and pages reproducible. NULLs
 sort last in both directions. A ``limit`` after ``orderBy`` is planned as
-``TakeOrderedAndProject``: each task keeps its own top n, one task merges
-at most ``tasks × n`` rows. That is right for top-n and shallow pages; a
-deep page (large offset) instead numbers the rows in a distributed way
-(range slices of the total order, row numbers inside each slice, slice
-offsets from a table with one row per slice) and keeps only the page.
+``TakeOrderedAndProject``: each task keeps its own top n, which is right for
+the small top-n lists over aggregated groups. A page over raw rows, shallow
+or deep, numbers the rows in a distributed way (range slices of the total
+order, positions inside each sorted slice, slice offsets from a table with
+one row per slice) and keeps only the page: no task holds more than a slice.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from orderscope.operators.sizing import slice_count
 from orderscope.session import ensure_checkpoint_dir
 
-# Pages ending beyond this many rows use the distributed numbering.
-TOPK_MAX = 100_000
+# monotonically_increasing_id() keeps the row's position in its partition in
+# the lower 33 bits.
+POSITION_MASK = (1 << 33) - 1
 
 
 def by_measure_desc(measure: str, *keys: str) -> list[Column]:
@@ -40,46 +41,42 @@ def top_n(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(int(n))
 
 
-def page(
-    df: DataFrame, order: list[Column], offset: int, limit: int, topk_max: int = TOPK_MAX, slices: int | None = None
-) -> DataFrame:
+def page(df: DataFrame, order: list[Column], offset: int, limit: int, slices: int | None = None) -> DataFrame:
     """Rows ``offset .. offset + limit − 1`` of ``df`` in ``order``, which
-    must be a total order (end it with a unique row key)."""
+    must be a total order (end it with a unique row key). Project ``df`` to
+    the wanted and ordering columns first: they are what the range shuffle
+    moves and the checkpoint holds."""
     if offset < 0:
         raise ValueError("offset must be >= 0")
     if not (1 <= limit <= 5000):
         raise ValueError("limit must be within 1..5000")
-    if offset + limit <= topk_max:
-        return df.orderBy(*order).offset(int(offset)).limit(int(limit))
-    return _deep_page(df, order, int(offset), int(limit), slices)
-
-
-def _deep_page(df: DataFrame, order: list[Column], offset: int, limit: int, slices: int | None) -> DataFrame:
-    spark = df.sparkSession
     n = slices or slice_count(df)
-    cols = df.columns
-    # Slice id = range partition of the total order. The numbered slices
-    # feed two consumers (slice totals and the page filter); the range
-    # bounds are sampled, so the frame is checkpointed to the shared folder
-    # and both consumers read the very same slices (also survives losing
-    # an executor).
-    ensure_checkpoint_dir(spark)
-    ranged = df.repartitionByRange(n, *order).withColumn("_s", F.spark_partition_id())
-    # Explicitly n partitions: the window must not fall back to the session's number.
-    numbered = ranged.repartition(n, "_s").select(
-        *cols, "_s", (F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1).alias("_r")
-    ).checkpoint(eager=True)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    # Slice id = range partition of the total order; the position is taken
+    # inside the sorted partition, so the range shuffle is the only one. The
+    # slices feed two consumers (slice totals and the page filter) and their
+    # bounds are sampled, so they are checkpointed to the shared folder: both
+    # read the very same slices, also after losing an executor.
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = (
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .select(
+            *cols,
+            F.spark_partition_id().alias("_s"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(POSITION_MASK)).alias("_r"),
+        )
+        .checkpoint(eager=True)
+    )
     totals = numbered.groupBy("_s").agg(F.count(F.lit(1)).alias("_sn"))
-    totals = totals.select(
-        F.col("_s").alias("_ts"),
-        F.coalesce(F.sum("_sn").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
-            "_off"
-        ),
-    )  # one row per slice
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = totals.select(F.col("_s").alias("_ts"), "_sn", F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_off"))
+    # only the slices that hold a part of the page are joined
+    starts = starts.where((F.col("_off") < F.lit(offset + limit)) & (F.col("_off") + F.col("_sn") > F.lit(offset)))
     pos = F.col("_off") + F.col("_r")
     return (
-        numbered.join(totals, F.col("_s") == F.col("_ts"))
+        numbered.join(starts, F.col("_s") == F.col("_ts"))
         .where((pos >= F.lit(offset)) & (pos < F.lit(offset + limit)))
+        .orderBy(pos)
         .select(*cols)
-        .orderBy(*order)
     )

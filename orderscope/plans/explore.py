@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from orderscope.functions.expressions import check_java_regex, ci_regex, text_key
 from orderscope.operators.quantiles import group_quantiles
 from orderscope.operators.ranking import page as _page
-from orderscope.sources.columns import MissingColumnError
+from orderscope.sources.columns import MissingColumnError, resolve_all
 
 TOP_VALUES = 20
 # describe() statistics and their quantile probabilities.
@@ -76,14 +76,16 @@ def page(
     order: int = -1,
     offset: int = 0,
     limit: int = 200,
-    row_key: str = "order_id",
-    topk_max: int | None = None,
+    row_key: str | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """One page of the searched rows, projected to ``cols``. Sorted by
     ``sort`` (ascending iff ``order == 1``, NULLs last), ties and the
-    unsorted case in ``row_key`` order, so pages are stable. Pages ending
-    beyond ``topk_max`` rows (default ``ranking.TOPK_MAX``) are cut by
-    distributed row numbering instead of a single top-k merge."""
+    unsorted case in ``row_key`` order, so pages are stable. The row key is by
+    default the column of the order id role; a table without one is ordered
+    by all its sortable visible columns. Rows are cut by distributed row
+    numbering over ``slices`` slices (default: by the counted rows); only the
+    visible columns and the row key are moved."""
     found = search(df, q)
     if cols:
         missing = [c for c in cols if c not in df.columns]
@@ -92,15 +94,28 @@ def page(
     visible = list(cols) if cols else list(df.columns)
     if sort and sort not in visible:
         raise MissingColumnError(f"invalid sort column: {sort}")
-    if row_key not in df.columns:
+    if row_key is not None and row_key not in df.columns:
         raise MissingColumnError(f"row key {row_key!r} not in the table")
+    row_key = row_key or resolve_all(df.columns).get("order_id")
+    sortable = [c for c in visible if not _holds(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    ties = [row_key] if row_key else sortable
     ordering: list[Column] = []
     if sort:
         c = F.col(f"`{sort}`")
         ordering.append(c.asc_nulls_last() if order == 1 else c.desc_nulls_last())
-    ordering.append(F.col(f"`{row_key}`").asc_nulls_last())
-    kw = {} if topk_max is None else {"topk_max": topk_max}
-    return _page(found, ordering, offset, limit, **kw).select(*[F.col(f"`{c}`") for c in visible])
+    ordering += [F.col(f"`{c}`").asc_nulls_last() for c in ties]
+    moved = list(dict.fromkeys(visible + ties))
+    rows = found.select(*[F.col(f"`{c}`") for c in moved])
+    return _page(rows, ordering or [F.lit(0).asc()], offset, limit, slices).select(*[F.col(f"`{c}`") for c in visible])
+
+
+def _holds(dtype: T.DataType, kinds: tuple[type, ...]) -> bool:
+    """Whether a type is, or contains, one of ``kinds`` (types without an order)."""
+    if isinstance(dtype, T.StructType):
+        return any(_holds(f.dataType, kinds) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds(dtype.elementType, kinds)
+    return isinstance(dtype, kinds)
 
 
 def page_meta(
@@ -112,7 +127,8 @@ def page_meta(
     offset: int = 0,
     limit: int = 200,
 ) -> DataFrame:
-    """One row: total, returned, offset, limit, columns, sorted_by, order."""
+    """What the page is a page of, as one row: total, returned, offset, limit,
+    columns, sorted_by, order."""
     visible = list(cols) if cols else list(df.columns)
     total = search(df, q).agg(F.count(F.lit(1)).alias("total"))
     returned = F.greatest(F.least(F.col("total") - F.lit(offset), F.lit(limit)), F.lit(0))
@@ -148,12 +164,14 @@ def boolean_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, std (sample), min, p25, p50, p75, max (all double)."""
+    """count, mean, std (sample), min, p25, p50, p75, max (all double). One
+    row also for an empty column: count 0, the others NULL."""
     if column not in df.columns:
         raise MissingColumnError(f"invalid column: {column}")
     x = F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
     rows = df.select(F.lit(0).alias("_g"), x.alias("_x"))
-    moments = rows.groupBy("_g").agg(
+    moments = rows.agg(
+        F.lit(0).alias("_m"),
         F.count("_x").cast("double").alias("count"),
         F.avg("_x").alias("mean"),
         F.stddev_samp("_x").alias("std"),
@@ -161,7 +179,7 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
         F.max("_x").alias("max"),
     )
     q = group_quantiles(rows, ["_g"], "_x", DESCRIBE_PROBS).drop("count")
-    return moments.join(q, "_g", "left").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    return moments.join(q, F.col("_m") == F.col("_g"), "left").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:

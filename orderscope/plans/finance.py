@@ -80,11 +80,12 @@ def margin_by_platform(fact: DataFrame, spec: FilterSpec | None = None) -> DataF
 
 
 def revenue_by_class(fact: DataFrame, spec: FilterSpec | None = None, class_col: str | None = None) -> DataFrame:
-    """class, revenue. The class is ``class_col`` if the fact carries it,
+    """class, revenue. The class is ``class_col`` if given (an error if the
+    fact lacks it; keep it at ingest with ``canonicalise(extra=[...])``),
     else the order mode, else the platform."""
     df = _filtered(fact, spec)
-    require(df, "total_brl")
-    if class_col and class_col in df.columns:
+    require(df, "total_brl", *([class_col] if class_col else []))
+    if class_col:
         key = class_col
     elif has(df, "order_mode"):
         key = "order_mode"
@@ -93,8 +94,8 @@ def revenue_by_class(fact: DataFrame, spec: FilterSpec | None = None, class_col:
     else:
         raise MissingColumnError("no class column (class_col, order_mode or platform)")
     return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("class"))
+        df.where(F.col(f"`{key}`").isNotNull())
+        .groupBy(F.col(f"`{key}`").alias("class"))
         .agg(_sum0("total_brl").alias("revenue"))
         .orderBy(*by_measure_desc("revenue", "class"))
     )
@@ -145,9 +146,9 @@ def revenue_by_item_class(
     synonym table, so two spellings of one class stay two rows (set
     ``merge_synonyms`` to map before summing)."""
     df = _filtered(fact, spec)
-    require(df, "total_brl")
-    if class_col and class_col in df.columns:
-        raw = F.col(class_col)
+    require(df, "total_brl", *([class_col] if class_col else []))
+    if class_col:
+        raw = F.col(f"`{class_col}`")
         if merge_synonyms:
             g = df.where(raw.isNotNull()).groupBy(class_label(raw).alias("classe")).agg(
                 _sum0("total_brl").alias("revenue")

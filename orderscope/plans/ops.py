@@ -165,13 +165,18 @@ def late_rate_by_platform(fact: DataFrame, spec: FilterSpec | None = None, unkno
     return _late_rate(df, "platform", spec.threshold_min, unknown_count)
 
 
-def percentiles_by_macro(fact: DataFrame, spec: FilterSpec | None = None, method: str = "exact") -> DataFrame:
+def percentiles_by_macro(
+    fact: DataFrame, spec: FilterSpec | None = None, method: str = "exact", slices: int | None = None
+) -> DataFrame:
     """macro_bairro, mean, p50, p75, p90, count of delivery minutes
-    (linear interpolation); highest p90 first."""
+    (linear interpolation); highest p90 first. ``slices`` fixes the number of
+    range slices of the exact method (default: by the counted rows)."""
     df = _filtered(fact, spec)
     require(df, "macro_bairro", DELIVERY)
     rows = _delivery_rows(df, F.col("macro_bairro"), "macro_bairro")
-    q = group_quantiles(rows, ["macro_bairro"], "delivery_minutes", PERCENTILE_PROBS, method=method, with_mean=True)
+    q = group_quantiles(
+        rows, ["macro_bairro"], "delivery_minutes", PERCENTILE_PROBS, method=method, with_mean=True, slices=slices
+    )
     return q.select("macro_bairro", "mean", "p50", "p75", "p90", "count").orderBy(
         *by_measure_desc("p90", "macro_bairro")
     )

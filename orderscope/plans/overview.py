@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orderscope.functions.expressions import check_java_regex, ci_regex, elapsed_whole_days, safe_div, text_key
 from orderscope.operators.filters import FilterSpec, apply_filters
-from orderscope.operators.histogram import equal_width_histogram
+from orderscope.operators.histogram import equal_width_histogram, left_out
 from orderscope.operators.ranking import by_keys, by_measure_desc, top_n
 from orderscope.operators.timeseries import bucketed_series
 from orderscope.sources.columns import has, require
@@ -116,12 +116,19 @@ def ticket_histogram(fact: DataFrame, spec: FilterSpec | None = None, bins: int
     """bin_start, bin_end, count of total/items over orders with items > 0."""
     if not (3 <= bins <= 100):
         raise ValueError("bins must be within 3..100")
+    return equal_width_histogram(_tickets(fact, spec), "ticket", bins)
+
+
+def ticket_histogram_left_out(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
+    """binned, infinite, missing: how many tickets the histogram counts and
+    how many have no place in it."""
+    return left_out(_tickets(fact, spec), "ticket")
+
+
+def _tickets(fact: DataFrame, spec: FilterSpec | None) -> DataFrame:
     df = _filtered(fact, spec)
     require(df, "total_brl", "num_itens")
-    tickets = df.where(F.col("num_itens") > 0).select(
-        (F.col("total_brl") / F.col("num_itens")).alias("ticket")
-    )
-    return equal_width_histogram(tickets, "ticket", bins)
+    return df.where(F.col("num_itens") > 0).select(safe_div(F.col("total_brl"), F.col("num_itens")).alias("ticket"))
 
 
 def macro_avg_revenue(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:

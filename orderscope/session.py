@@ -65,7 +65,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name shared storage on a cluster")
+    # The setting belongs to the application and can't be changed while it
+    # runs, so the context remembers the scratch folder.
+    known = spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
     scratch = tempfile.mkdtemp(prefix="orderscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    return spark.sparkContext.getCheckpointDir() or scratch

@@ -10,10 +10,11 @@ workbooks to CSV/Parquet upstream.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderscope.sources.columns import canonicalise, role_expressions
 
@@ -50,9 +51,11 @@ def read_orders(
     datetime_format: str | None = None,
     schema: str | None = None,
     options: Mapping[str, str] | None = None,
+    extra: Sequence[str] = (),
+    money: T.DecimalType | None = None,
 ) -> DataFrame:
     """Raw order table → canonical fact (aliases resolved, types coerced)."""
-    return canonicalise(read_raw(spark, source, fmt, schema, options), overrides, datetime_format)
+    return canonicalise(read_raw(spark, source, fmt, schema, options), overrides, datetime_format, extra, money)
 
 
 def coercion_report(

@@ -9,62 +9,49 @@ shared folder named by ``spark.checkpoint.dir`` and every dataset reads it:
   so Parquet row-group statistics prune date-filtered scans
   (``PushedFilters``); the order id in the range key splits a timestamp
   shared by a huge number of orders over many files instead of one task;
-* the file count follows the size of the driving table (one fact row per
-  order / event), about 128 MB per file, and at least one file per core so
-  small tables still scan in parallel;
+* the file count follows the counted rows of the driving table (one fact row
+  per order / event), and is at least one file per core so small tables still
+  scan in parallel;
 * optionally partitioned by ``order_month`` (directory pruning; the filter
-  builder adds the matching partition predicate);
-* the table location is keyed by the mapping and by the size and
-  modification time of every source file, so changed inputs give a new
-  table; a build writes to a private temporary folder and is published by
-  one directory rename, so a reader never sees a half-written table and two
-  concurrent builders do not overwrite each other (the loser reuses the
-  winner's table);
+  builder adds the matching partition predicate), written from the stored
+  fact; the variant with nulls is a projection of the stored fact;
+* the table location is keyed by the mapping code and by the name, size and
+  modification time of every source file, nested ones too. The key is taken
+  anew at every call (one Spark job over the file listing), so a changed
+  source gives a new table, never a stale one. A table superseded this way
+  stays where it is, since a running query may be reading it;
+* a build writes to a private temporary folder that is then renamed, so on a
+  file system whose folder rename is atomic (local, NFS, HDFS) a reader never
+  sees a half-written table, and the loser of two concurrent builders uses the
+  winner's. On a store without such a rename keep the fact in a catalogue
+  table instead (``sinks.write_dataset(fmt="table")``, ``read_orders``);
 * it lives on shared storage, so losing an executor loses nothing (no
-  ``cache()`` / local checkpoint whose blocks die with the executor);
-* like a service that loads its table at start-up, the resolved table is
-  remembered for the life of the Spark application; ``refresh=True``
-  re-reads the source signature (and rebuilds if the sources changed).
-
-All file-system calls go through Hadoop's ``FileSystem`` API, so the same
-code works on local disk, HDFS or an object store.
+  ``cache()`` / local checkpoint whose blocks die with the executor).
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import threading
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderscope.session import ensure_checkpoint_dir
-from orderscope.sources.mapping import events_fact, star_fact
+from orderscope.sources import mapping as _mapping
+from orderscope.sources.mapping import blank_some, events_fact, star_fact, table
 
-# Source tables read by each mapping; the first one drives the row count.
+# Source tables read by each stored mapping; the first one drives the row count.
 MAPPING_TABLES = {
     "star": ("orders", "lineitem", "customer", "nation"),
-    "star_nulls": ("orders", "lineitem", "customer", "nation"),
     "events": ("events",),
 }
-TARGET_FILE_BYTES = 128 * 1024 * 1024
-# Part of the table key: bump whenever a mapping or the stored layout
-# changes, so a table written by older code is never reused.
-FACT_LAYOUT_VERSION = "3"
-# The fact carries about twice the columns of the orders table.
-FACT_BYTES_PER_DRIVING_BYTE = 2.0
-
-
-def _builder(mapping: str):
-    if mapping == "star":
-        return lambda spark, d: star_fact(spark, d)
-    if mapping == "star_nulls":
-        return lambda spark, d: star_fact(spark, d, with_nulls=True)
-    if mapping == "events":
-        return lambda spark, d: events_fact(spark, d)
-    raise ValueError(f"unknown mapping {mapping!r}")
+BUILDERS = {"star": star_fact, "events": events_fact}
+ROWS_PER_FILE = 2_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -73,19 +60,24 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
-def _source_signature(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple[str, int]:
-    """Digest of (name, size, mtime) of every source file, and the bytes of
-    the driving (first) table."""
-    h = hashlib.sha1(f"{FACT_LAYOUT_VERSION}|{sf_dir.rstrip('/')}".encode())
-    driving = 0
-    for i, t in enumerate(tables):
-        fs, jpath = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
-        for st in fs.listStatus(jpath):
-            if st.isFile():
-                if i == 0:
-                    driving += st.getLen()
-                h.update(f"{t}/{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()};".encode())
-    return h.hexdigest()[:16], driving
+def _source_signature(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    """Digest of the mapping code and of (path, size, mtime) of every source
+    file at any depth. The listing is a Spark scan whose content column is
+    pruned, so no file is opened."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables])
+        .agg(
+            F.count(F.lit(1)),
+            F.sum("length"),
+            F.max("modificationTime").cast("string"),
+            F.bit_xor(F.xxhash64("path", "length", F.unix_micros("modificationTime"))),
+        )
+        .first()
+    )
+    code = inspect.getsource(_mapping) + inspect.getsource(write_fact)
+    return hashlib.sha1(f"{sf_dir.rstrip('/')}|{tuple(files)}|{code}".encode()).hexdigest()[:16]
 
 
 def _committed(spark: SparkSession, path: str) -> bool:
@@ -94,17 +86,16 @@ def _committed(spark: SparkSession, path: str) -> bool:
 
 
 def _publish(spark: SparkSession, tmp: str, path: str) -> None:
-    """Move a finished build into place; if another builder won, keep its
-    table (a Hadoop rename onto an existing folder would nest the source
-    inside it, so existence is checked first)."""
+    """Rename a finished build into place; if another builder won, keep its
+    table and drop ours (a Hadoop rename onto an existing folder would nest
+    the source inside it, so existence is checked first)."""
     fs, src = _fs(spark, tmp)
     _, dst = _fs(spark, path)
-    if fs.exists(dst):
-        if not _committed(spark, path):
-            raise RuntimeError(f"{path} exists but holds no committed table")
-        return
     fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst) and not _committed(spark, path):
+    if not fs.exists(dst) and fs.rename(src, dst):
+        return
+    fs.delete(src, True)
+    if not _committed(spark, path):
         raise RuntimeError(f"could not publish fact table at {path}")
 
 
@@ -120,15 +111,21 @@ def write_fact(df: DataFrame, path: str, files: int, partition_by_month: bool =
     writer.parquet(path)
 
 
-def fact_location(spark: SparkSession, sf_dir: str, mapping: str = "star", partition_by_month: bool = False) -> tuple[str, int]:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    digest, total = _source_signature(spark, sf_dir, MAPPING_TABLES[mapping])
-    suffix = "-m" if partition_by_month else ""
-    return f"{base}/orderscope_facts/{mapping}-{digest}{suffix}", total
+def _build(spark: SparkSession, df: DataFrame, rows: int, path: str, partition_by_month: bool) -> None:
+    files = max(math.ceil(rows / ROWS_PER_FILE), spark.sparkContext.defaultParallelism)
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    try:
+        write_fact(df, tmp, files, partition_by_month)
+    except BaseException:
+        fs, jtmp = _fs(spark, tmp)
+        fs.delete(jtmp, True)
+        raise
+    _publish(spark, tmp, path)
 
 
-_RESOLVED: dict[tuple, DataFrame] = {}
-_BUILD_LOCK = threading.Lock()
+# (application, path) -> stored table; its scan keeps the file listing.
+_RESOLVED: dict[tuple[str, str], DataFrame] = {}
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
 def materialised_fact(
@@ -136,24 +133,30 @@ def materialised_fact(
     sf_dir: str,
     mapping: str = "star",
     partition_by_month: bool = False,
-    refresh: bool = False,
     rebuild: bool = False,
 ) -> DataFrame:
-    """The canonical fact for ``mapping`` over ``sf_dir``, built on first
-    use. ``rebuild`` writes a fresh copy even if one is committed (used to
-    time the build)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), mapping, partition_by_month)
-    with _BUILD_LOCK:
-        if not (refresh or rebuild) and key in _RESOLVED:
-            return _RESOLVED[key]
-        path, source_bytes = fact_location(spark, sf_dir, mapping, partition_by_month)
+    """The canonical fact for ``mapping`` over ``sf_dir``, built on first use
+    and again whenever a source file changes. ``rebuild`` writes a fresh copy
+    even if one is committed (used to time the build)."""
+    if mapping == "star_nulls":
+        return blank_some(materialised_fact(spark, sf_dir, "star", partition_by_month, rebuild))
+    if mapping not in BUILDERS:
+        raise ValueError(f"unknown mapping {mapping!r}")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    digest = _source_signature(spark, sf_dir, MAPPING_TABLES[mapping])
+    path = f"{base}/orderscope_facts/{mapping}-{digest}{'-m' if partition_by_month else ''}"
+    key = (spark.sparkContext.applicationId, path)
+    with _LOCKS[path]:
         if rebuild:
             path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
-        if rebuild or not _committed(spark, path):
-            by_size = math.ceil(source_bytes * FACT_BYTES_PER_DRIVING_BYTE / TARGET_FILE_BYTES)
-            files = max(1, by_size, spark.sparkContext.defaultParallelism)
-            tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-            write_fact(_builder(mapping)(spark, sf_dir), tmp, files, partition_by_month)
-            _publish(spark, tmp, path)
+        elif key in _RESOLVED:
+            return _RESOLVED[key]
+        if not _committed(spark, path):
+            if partition_by_month:
+                source = materialised_fact(spark, sf_dir, mapping)
+            else:
+                source = BUILDERS[mapping](spark, sf_dir)
+            rows = table(spark, sf_dir, MAPPING_TABLES[mapping][0]).count()  # from the file footers
+            _build(spark, source, rows, path, partition_by_month)
         _RESOLVED[key] = spark.read.parquet(path)
         return _RESOLVED[key]

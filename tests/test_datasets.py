@@ -257,17 +257,45 @@ def test_elapsed_days_ignore_session_dst(spark):
     assert r.pedidos_por_dia == 2.0  # 23h45 elapsed: 0 whole days + 1
 
 
-def test_deep_page_matches_top_k_page(spark):
+def test_pages_match_the_full_sort(spark):
     from orderscope.operators.ranking import page
 
     df = spark.range(0, 3000).select(
         F_col("id"), ((F_col("id") * 7919) % 101).alias("k"), (F_col("id") % 3 == 0).alias("flag")
     )
     order = [F_col("k").desc_nulls_last(), F_col("id").asc_nulls_last()]
-    for offset, limit in ((0, 50), (1234, 700), (2990, 50)):
-        shallow = [r.id for r in page(df, order, offset, limit).collect()]
-        deep = [r.id for r in page(df, order, offset, limit, topk_max=0, slices=7).collect()]
-        assert deep == shallow and len(deep) == min(limit, 3000 - offset)
+    ordered = [r.id for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 50), (1234, 700), (2990, 50), (3000, 5)):
+        for slices in (None, 7):
+            assert [r.id for r in page(df, order, offset, limit, slices=slices).collect()] == ordered[offset:offset + limit]
+
+
+def test_page_moves_only_visible_columns_once(spark):
+    df = spark.range(1000).selectExpr("id AS id_pedido", "id % 7 AS k", "repeat('x', 100) AS wide")
+    got = explore.page(df, cols=["k"], sort="k", order=1, offset=10, limit=5, slices=4)  # key: the order id role
+    assert got.columns == ["k"] and [r.k for r in got.collect()] == [0] * 5
+    from pyspark.sql import functions as F
+
+    moved = df.select("k", "id_pedido").repartitionByRange(4, "k", "id_pedido").sortWithinPartitions("k", "id_pedido")
+    plan = moved.select("*", F.spark_partition_id())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
+    no_key = df.select("k", "wide")  # no order id: ordered by all visible columns
+    assert [r.k for r in explore.page(no_key, offset=998, limit=10).collect()] == [6, 6]
+
+
+def test_summary_of_an_empty_column(spark):
+    df = spark.createDataFrame([(1, None)], "order_id long, x double")
+    row = explore.feature_summary(df, "x").collect()
+    assert len(row) == 1 and row[0]["count"] == 0.0 and row[0]["mean"] is None and row[0]["p50"] is None
+    assert explore.feature_summary(df.limit(0), "x").first()["count"] == 0.0
+
+
+def test_histogram_counts_what_it_leaves_out(spark):
+    totals = [10.0, 20.0, float("inf"), float("-inf"), None]
+    fact = make_fact(spark, [dict(order_id=i, total_brl=t, num_itens=1.0) for i, t in enumerate(totals)])
+    left = overview.ticket_histogram_left_out(fact).first()
+    assert (left.binned, left.infinite, left.missing) == (2, 2, 1)
+    assert sum(r["count"] for r in overview.ticket_histogram(fact, bins=5).collect()) == 2
 
 
 def F_col(name):

@@ -80,3 +80,13 @@ def test_filter_errors(fact):
         apply_filters(fact.drop("platform"), FilterSpec(platform=("A",)), "ops")
     # a missing score column skips the score filter silently
     assert ids(apply_filters(fact.drop("satisfacao_nivel"), FilterSpec(score_min=3), "overview")) == [1, 2, 3, 4]
+
+
+def test_date_filter_rejects_an_offset():
+    import pytest
+
+    from orderscope.operators.filters import parse_date_literal
+
+    with pytest.raises(ValueError):
+        parse_date_literal("2024-01-01T00:00:00+03:00", "start_date")
+    assert parse_date_literal("2024-01-01T05:00:00", "start_date").hour == 5

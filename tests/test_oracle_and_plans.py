@@ -24,6 +24,41 @@ def test_every_query_matches_oracle(spark):
     bad = {k: v for k, v in report.items() if not v["ok"]}
     assert not bad, bad
     assert set(ep.oracle_sql()) <= set(ep.queries())
+    assert set(QUERIES) <= set(ep.oracle_sql())
+    # 1,500 orders end before the deep page; it has rows from sf0.01 on
+    empty = [k for k, v in report.items() if v["spark_rows"] == 0 and k != "explore_page_deep"]
+    assert not empty, empty
+
+
+def test_filtered_queries_select_rows(spark):
+    qs = ep.queries()
+    assert qs["finance_orders_count_filtered"](spark, SF).first()[0] > 0
+    assert sum(r["count"] for r in qs["overview_ticket_histogram_filtered"](spark, SF).collect()) > 0
+    assert qs["overview_ticket_histogram_left_out"](spark, SF).first().infinite > 0
+    assert 0 < qs["ops_kpis_late"](spark, SF).first().on_time_rate_pct < 100
+    labels = {r.classe for r in qs["finance_revenue_by_item_class_synonyms"](spark, SF).collect()}
+    assert labels == {"individual", "combo", "família", "outro"}
+    report = {r.role: r.coerced_to_null for r in qs["ingest_coercion_report"](spark, SF).collect()}
+    assert all(report[c] > 0 for c in ("order_datetime", "total_brl", "num_itens"))
+
+
+def test_slices_follow_counted_rows(spark):
+    from orderscope.operators.sizing import slice_count
+    from orderscope.sources.mapping import star_fact
+
+    assert slice_count(star_fact(spark, "/root/testdata/sf0.01")) == 1  # 15,000 rows, whatever the join estimate
+
+
+def test_customer_is_broadcast_by_its_own_size(spark):
+    from orderscope.sources.mapping import star_fact
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = star_fact(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "hashpartitioning(o_custkey" not in plan and "BroadcastHashJoin [o_custkey" in plan
 
 
 TIME_QUERIES = [

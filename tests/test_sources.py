@@ -74,3 +74,55 @@ def test_table_source_and_sink_round_trip(spark):
     assert {"order_id", "order_datetime", "platform", "total_brl"} <= set(fact.columns)
     assert finance.kpis(fact).first().receita_total == 15.0
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _copy_sources(spark) -> str:
+    base = _scratch()
+    for t in ("orders", "lineitem", "customer", "nation"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{base}/{t}.parquet")
+    return base
+
+
+def test_stored_fact_follows_its_sources(spark):
+    base = _copy_sources(spark)
+    before = finance.orders_count(materialised_fact(spark, base)).first()[0]
+    more = spark.read.parquet(f"{base}/orders.parquet").limit(100).withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)
+    more.write.mode("append").parquet(f"{base}/orders.parquet")
+    assert finance.orders_count(materialised_fact(spark, base)).first()[0] == before + 100
+
+
+def test_stored_fact_sees_nested_source_files(spark):
+    from orderscope.sources.store import MAPPING_TABLES, _source_signature
+
+    base = _scratch()
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("p", F.col("event_id") % 3)
+    ev.write.partitionBy("p").parquet(f"{base}/events.parquet")
+    first = _source_signature(spark, base, MAPPING_TABLES["events"])
+    assert first == _source_signature(spark, base, MAPPING_TABLES["events"])
+    ev.limit(10).write.mode("append").partitionBy("p").parquet(f"{base}/events.parquet")
+    assert first != _source_signature(spark, base, MAPPING_TABLES["events"])
+
+
+def test_null_variant_and_month_layout_come_from_the_stored_fact(spark):
+    star = materialised_fact(spark, SF, "star")
+    nulls = materialised_fact(spark, SF, "star_nulls")
+    assert nulls.columns == star.columns and sorted(nulls.inputFiles()) == sorted(star.inputFiles())
+    assert nulls.where("platform IS NULL AND order_id % 97 <> 0").isEmpty()
+    assert nulls.where("platform IS NULL").count() == star.where("order_id % 97 = 0").count()
+    month = materialised_fact(spark, SF, "star", partition_by_month=True)
+    assert month.drop("order_month").exceptAll(star).isEmpty() and month.count() == star.count()
+
+
+def test_scratch_checkpoint_folder_is_remembered():
+    import subprocess
+    import sys
+
+    code = (
+        "from orderscope.session import get_session, ensure_checkpoint_dir as e\n"
+        "s = get_session('local[1]', shuffle_partitions=1)\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert e(s) == e(s.newSession()) and 'orderscope-ckpt-' in e(s)\n"
+    )
+    env = dict(os.environ, SPARK_CONF_DIR=_scratch())
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env=env, timeout=120)
