@@ -225,6 +225,22 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.default_tokenizer())  # the file's defaults
+    rows = ["a <|endoftext|> z", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n y", "word " * 1500 + "<|endoftext|> end", "<|endoftext| >", "plain text", ""]
+    want = [[*tk.encode(t, add_special_tokens=False).ids, 0] for t in rows]
+    assert want[0] == [64, 220, 50256, 1976, 0]
+    enc = packing.encoder(packing.default_tokenizer())
+    assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in rows] == [w[:-1] for w in want]
+    got = packing.pack(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    for i, ids in enumerate(want):
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got if r["doc_id"] == i)
+        assert [s for s, *_ in pieces] == [sum(n for _, n, *_ in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n, *_ in pieces) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) and total == len(ids) for s, n, crc, total in pieces)
+
+
 def brute_secrets(text):
     out = []
     low = re.compile(secret_scan.RULES[0][1], re.IGNORECASE | re.ASCII)
