@@ -8,9 +8,11 @@ Per run, a bucket of sets is split on sampled tokens, 1/threshold of them in
 expectation: a set goes to one child per sampled token, together with the sets
 that have the same token there. Buckets of at most ``SMALL`` sets are compared
 by brute force; larger ones are split again, unless their sets already agree
-so much that splitting gains nothing. A pair at the threshold survives a run
-with a chance of a half at least, so ``runs_for(recall)`` runs are made (all
-at once, as rows).
+so much that splitting gains nothing. The chance that a pair at the threshold
+survives a run falls with every split, so the number of runs follows from the splits
+really made: runs enough for ``STEP`` splits are made of all sets (at once,
+as rows), more for twice as many of the sets that a run splits further, and so
+on up to ``DEPTH``.
 
 The comparison inside buckets joins candidates whose tokens agree in at least
 ``LOOSE`` of the places (six standard deviations under the threshold) into
@@ -46,7 +48,9 @@ COORDS = 64
 SMALL = 256
 LOOSE = 0.5
 BLOCK = 512
+# Most splits, and by how many at a time runs are added.
 DEPTH = 12
+STEP = 3
 RECALL = 0.9999
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,9 +108,27 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
-def runs_for(recall: float) -> int:
-    """Runs that miss a pair at the threshold with a chance of at most 1 - recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(0.5)))
+def survival(agreeing: np.ndarray, splits: int) -> np.ndarray:
+    """The chance that a pair agreeing in so many places is still together
+    somewhere after ``splits`` splits of one run (a branching process)."""
+    extra = (1 / float(THRESHOLD) - 1) / (COORDS - 1)
+    alive, share = np.ones(len(agreeing)), agreeing / COORDS
+    for _ in range(splits):
+        lost = 1 - extra * alive
+        alive = 1 - share * (1 - alive) * lost ** np.maximum(agreeing - 1, 0) - (1 - share) * lost**agreeing
+    return alive
+
+
+def runs_for(recall: float, splits: int) -> int:
+    """Runs that lose a pair at the threshold within ``splits`` splits with a
+    chance of at most (1 - recall) / DEPTH, over the spread of its agreeing
+    places."""
+    p, places = float(THRESHOLD), np.arange(COORDS + 1)
+    chance = np.array([math.comb(COORDS, int(m)) * p**m * (1 - p) ** (COORDS - m) for m in places])
+    lost, runs = 1 - survival(places, splits), 1
+    while float(chance @ lost**runs) > (1 - recall) / DEPTH:
+        runs += 1
+    return runs
 
 
 SIGNED = f"{LOC[0]} long, {LOC[1]} long, digest binary, n int, sig array<int>"
@@ -150,38 +172,63 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select("path", "n", "sid", "coord", F.get("sig", F.col("coord")).alias("value"))
 
 
-def buckets(spark: SparkSession, sets: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
-    """``(small, alike)`` rows of ``(path, sid)``: buckets to compare by brute
-    force, and large buckets whose sets agree throughout."""
-    rng = np.random.default_rng(21)
+def _descend(spark: SparkSession, sets: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """``(small, alike, split)`` of these runs, split until nothing is left to
+    split: the two kinds of ``buckets``, and per depth (from one split on) the
+    ``sid`` of the sets in buckets that were split again."""
     chosen = []
-    for run in range(runs_for(recall)):
-        more = rng.random(COORDS) < (1 / float(THRESHOLD) - 1) / (COORDS - 1)
+    for run in runs:
+        more = np.random.default_rng([21, run]).random(COORDS) < (1 / float(THRESHOLD) - 1) / (COORDS - 1)
         chosen += [(run, c) for c in range(COORDS) if c == run % COORDS or more[c]]
     paths = F.array(*[_path(F.lit(run), F.lit(c), F.get("sig", F.lit(c))) for run, c in chosen])
     rows = sets.select("sid", F.explode(paths).alias("path"))
-    small, alike = [], []
+    small, alike, split = [], [], []
     for depth in range(DEPTH):
         sizes = _sizes(spark, rows)
-        # Runs often find the same group again: one bucket for each membership.
+        # Runs often find the same group again: one bucket for each membership is
+        # compared. Those that are split stay apart, as seeds of their own.
         kept = sizes.where(F.col("n") <= SMALL).groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
         small.append(materialise(spark, rows.join(kept.select("path"), "path").select("path", "sid"), "small"))
-        large = sizes.where(F.col("n") > SMALL).groupBy("n", "x1", "x2").agg(F.min("path").alias("path")).select("path", "n")
+        large = sizes.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        inside = rows.join(large, "path")
+        inside = rows.join(large.select("path", "n"), "path")
         if depth == DEPTH - 1:
-            alike.append(materialise(spark, inside.select("path", "sid"), "alike"))
+            one = large.groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
+            alike.append(materialise(spark, inside.join(one.select("path"), "path", "left_semi").select("path", "sid"), "alike"))
             break
         down = materialise(spark, _children(inside.join(sets.select("sid", "sig"), "sid")), "down")
         child = down.groupBy("path", "n", "coord", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
         agree = child.groupBy("path", "n").agg((F.sum(F.col("c") * F.col("c")) / F.count_distinct("coord")).alias("s"))
         # Under threshold^2, splitting into 1/threshold children saves work.
         close = materialise(spark, agree.where(F.col("s") / (F.col("n") * F.col("n")) >= float(THRESHOLD) ** 2).select("path"), "close")
-        alike.append(materialise(spark, inside.join(close, "path", "left_semi").select("path", "sid"), "alike"))
+        one = large.join(close, "path").groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
+        alike.append(materialise(spark, inside.join(one.select("path"), "path", "left_semi").select("path", "sid"), "alike"))
+        split.append(down.join(close, "path", "left_anti").select("sid").distinct())
         # A child with one set holds no pair.
         alive = child.where("c > 1").join(close, "path", "left_anti").select("path", "coord", "value")
         rows = down.join(alive, ["path", "coord", "value"], "left_semi").select(_path("path", "coord", "value").alias("path"), "sid")
+    return small, alike, split
+
+
+def buckets(spark: SparkSession, sets: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``(small, alike)`` rows of ``(path, sid)``: buckets to compare by brute
+    force, and large buckets whose sets agree throughout. Sets that any run
+    splits more than ``STEP`` times get the runs that so many splits need."""
+    small, alike, done, pool = [], [], 0, sets
+    deeper: dict[int, list[DataFrame]] = {}
+    for splits in range(STEP, DEPTH + STEP, STEP):
+        runs = range(done, runs_for(recall, splits))
+        found, close, split = _descend(spark, pool, runs)
+        small, alike, done = small + found, alike + close, runs.stop
+        for k, sids in enumerate(split, 1):
+            deeper.setdefault(k, []).append(sids)
+        if splits not in deeper:
+            break
+        pool = sets.select("sid", "sig").join(_union(deeper[splits]).distinct(), "sid", "left_semi")
+        pool = materialise(spark, pool, "pool")
+        if pool.isEmpty():
+            break
     return _union(small), _union(alike) if alike else _union(small).limit(0)
 
 

@@ -298,6 +298,33 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, small, block):
     assert sum(r["keeps"] for r in got) == len({r["class_id"] for r in got})
 
 
+def test_runs_hold_the_recall_at_every_depth():
+    # The survival after 1, 2, 4, 6 and 8 splits, by simulated runs of pairs at the threshold.
+    rng, n = np.random.default_rng(6), 20_000
+    agreeing = rng.binomial(jaccard_join.COORDS, 0.8, n)
+    extra, together = 0.25 / (jaccard_join.COORDS - 1), np.ones(n, int)
+    for splits in range(1, 9):
+        first = rng.binomial(together, agreeing / jaccard_join.COORDS)
+        together = first + rng.binomial(together * agreeing - first, extra)
+        assert abs((together > 0).mean() - jaccard_join.survival(agreeing, splits).mean()) < 0.015
+    runs = [jaccard_join.runs_for(jaccard_join.RECALL, s) for s in (3, 6, 9, 12)]
+    assert runs == sorted(runs) and runs[0] >= 14 and runs[1] > 30
+
+
+def test_deeply_split_pairs_are_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    rng, n, own, recall = np.random.default_rng(3), 400, 10, 0.99
+    rows = []
+    for i in range(n):  # agreeing tokens are frequent, the others unique
+        base, same = rng.integers(0, 2, jaccard_join.COORDS), rng.random(jaccard_join.COORDS) < 0.8
+        for side in (0, 1):
+            rows.append((2 * i + side, [int(b) if s else own + (2 * i + side) * 64 + c for c, (b, s) in enumerate(zip(base, same, strict=True))]))
+    sets = spark.createDataFrame(rows, "sid bigint, sig array<int>")
+    small, alike = jaccard_join.buckets(spark, sets, recall)
+    both = small.union(alike).select("path", "sid", F.expr("sid div 2 AS pair")).groupBy("path", "pair").count().where("count > 1")
+    assert both.select("pair").distinct().count() >= recall * n
+
+
 def test_jaccard_join_edges(spark, edge, empty):
     kept = jaccard_join.drop_near_copies(spark, edge)
     assert kept.columns == edge.columns and kept.count() == 7  # 1, 1 and 2 are one class, 5 and 6 another
