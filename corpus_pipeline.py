@@ -8,6 +8,7 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderscope.llm.common import shared_folder
 from orderscope.llm.exact_dedup import drop_copies
@@ -30,7 +31,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).drop("copy_index", "shuffle_key").select(docs.columns)
+    names = docs.columns
+    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), "doc_id", "source", "text")
+    return mix(renamed).select(*[F.col(f"_doc.`{c}`") for c in names])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

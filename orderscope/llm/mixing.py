@@ -82,7 +82,7 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """All columns of ``docs`` plus ``copy_index`` (from 1) and ``shuffle_key``,
-    repeated and globally shuffled."""
+    repeated and globally shuffled. Own columns of these two names give way."""
     by_source = rates(docs, weights, temperature, epochs, source_col, text_col)
     by_source = materialise(docs.sparkSession, by_source, "rates").select(
         F.col("source").alias("__mix_source"), F.col("pieces").alias("__mix_pieces"), F.col("cdf").alias("__mix_cdf")

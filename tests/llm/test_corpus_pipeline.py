@@ -95,3 +95,13 @@ def test_stages_keep_what_brute_force_keeps(spark, tmp_path):
     for r, n in got.items():
         copies[r["doc_id"]] += n
     assert held == Counter({(i, at): n for i, n in copies.items() for at in range(len(ids[i]))})
+
+
+def test_mixing_stage_keeps_clashing_columns(spark):
+    rows = [(i, f"text {i}", "ab"[i % 2], i * 10, f"k{i}", "d") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, copy_index int, shuffle_key string, _doc string")
+    out = corpus_pipeline.mixed(spark, docs, SF)
+    got = out.collect()
+    assert out.columns == docs.columns and got and {tuple(r) for r in got} <= set(rows)
+    plain = mixing.mix(docs.drop("copy_index", "shuffle_key"))
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in plain.collect())
