@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from orderscope.operators.ranking import page as _page
 from orderscope.sources.columns import MissingColumnError, resolve_all
 
 TOP_VALUES = 20
+PLACE = ("__place_file", "__place_row")
 # describe() statistics and their quantile probabilities.
 DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -83,7 +85,8 @@ def page(
     ``sort`` (ascending iff ``order == 1``, NULLs last), ties and the
     unsorted case in ``row_key`` order, so pages are stable. The row key is by
     default the column of the order id role; a table without one is ordered
-    by all its sortable visible columns. Rows are cut by distributed row
+    by all its sortable visible columns, then by the rows' places, which spreads
+    equal rows over slices. Rows are cut by distributed row
     numbering over ``slices`` slices (default: by the counted rows); only the
     visible columns and the row key are moved."""
     found = search(df, q)
@@ -106,7 +109,22 @@ def page(
     ordering += [F.col(f"`{c}`").asc_nulls_last() for c in ties]
     moved = list(dict.fromkeys(visible + ties))
     rows = found.select(*[F.col(f"`{c}`") for c in moved])
-    return _page(rows, ordering or [F.lit(0).asc()], offset, limit, slices).select(*[F.col(f"`{c}`") for c in visible])
+    if not row_key:
+        rows = _placed(found, moved)
+        ordering += [F.col(c).asc() for c in PLACE]
+    return _page(rows, ordering, offset, limit, slices).select(*[F.col(f"`{c}`") for c in visible])
+
+
+def _placed(found: DataFrame, moved: list[str]) -> DataFrame:
+    """``moved`` columns and the place of each row: its file and row number
+    there, or, for rows that are no plain scan of such files, its position in
+    the running query (only rows with equal sortable columns can swap places)."""
+    cols = [F.col(f"`{c}`") for c in moved]
+    try:
+        file = found.metadataColumn("_metadata")
+        return found.select(*cols, file["file_path"].alias(PLACE[0]), file["row_index"].alias(PLACE[1]))
+    except AnalysisException:
+        return found.select(*cols, F.lit("").alias(PLACE[0]), F.monotonically_increasing_id().alias(PLACE[1]))
 
 
 def _holds(dtype: T.DataType, kinds: tuple[type, ...]) -> bool:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
@@ -313,3 +314,22 @@ def test_patterns_validated_by_the_jvm(spark):
     assert explore.count(df, "a++").first()["count"] == 1  # possessive: Java-only syntax
     with pytest.raises(ValueError):
         overview.kpis(make_fact(spark, [dict(order_id=1, status="x")]), cancel_match="[")
+
+
+def test_page_without_a_key_spreads_equal_rows(spark, tmp_path, monkeypatch):
+    n, largest = 8000, []
+    real = explore._page
+
+    def spy(rows, ordering, offset, limit, slices):
+        dealt = rows.repartitionByRange(slices, *ordering).groupBy(F.spark_partition_id()).count()
+        largest.append(dealt.agg(F.max("count")).first()[0])
+        return real(rows, ordering, offset, limit, slices)
+
+    monkeypatch.setattr(explore, "_page", spy)
+    made = spark.range(n, numPartitions=2).select(F.when(F.col("id") < 6000, "a").otherwise("b").alias("status"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    made.write.parquet(path := str(tmp_path / "few"))
+    for df in (made, spark.read.parquet(path)):
+        got = explore.page(df, cols=["status"], offset=5998, limit=4, slices=8).collect()
+        assert [r.status for r in got] == ["a", "a", "b", "b"]
+        assert explore.page(df, cols=["m"], offset=7999, limit=4, slices=8).count() == 1
+    assert max(largest) < n / 4
