@@ -16,10 +16,10 @@ need more. Scores are inner products in double precision, summed alike for
 equal vectors, ties to the smaller id.
 
 Defined results: rows with a null id take no part, nor vectors that are null,
-zero, hold a null or non-finite number, or have another length than most;
-repeated rows with one id count once, other vectors of the same id are
-vectors of their own and never neighbours of that id; an empty table, or no
-query, gives no rows; other columns are not touched.
+zero, hold a null or non-finite number, or have another length than most (an
+inner product with them has no value); of several vectors of one id the
+smallest, number by number, counts, as query and as candidate; an empty table,
+or no query, gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -114,7 +114,8 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 
 INDEXED = "rid long, leaf int, n int, ids array<long>, vector array<double>"
-ASKED = "query_id long, leaf int, turn int, vector array<double>"
+ASKED = "query_id long, leaf int, turn int"
+SLICE = 1 << 16  # rows of one Arrow batch of visits
 
 
 def _index(shared):
@@ -128,32 +129,64 @@ def _index(shared):
     return run
 
 
-def _ask(shared, visits: int, sizes: dict[int, int], k: int):
-    """The leaves each query visits, in turn."""
+def _visits(shared, sizes: dict[int, int], stop):
+    """Rows ``(query, leaf, turn)`` of the leaves that each query visits, without
+    its vector, in slices of bounded size. ``stop(i, batch)`` gives, for the
+    ``i``-th query of a batch, a function of (leaf, turn, vectors seen before it) that
+    says whether to emit the leaf, or None to end the walk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("vector"))
-            row, leaf, turn = [], [], []
-            for i, q in enumerate(x):
-                seen = n = 0
+            me, leaf, turn = [], [], []
+            for i, (name, q) in enumerate(zip(batch.column("query_id").to_pylist(), _matrix(batch.column("vector")), strict=True)):
+                take, seen, n = stop(i, batch), 0, 0
                 for at in shared.value.walk(q):
-                    if n >= visits and seen > k:
+                    if at not in sizes:
+                        continue
+                    wanted = take(at, n, seen)
+                    if wanted is None:
                         break
-                    if at in sizes:
-                        row.append(i)
+                    if wanted:
+                        me.append(name)
                         leaf.append(at)
                         turn.append(n)
-                        n += 1
-                        seen += sizes[at]
-            yield pa.record_batch(
-                [batch.column("query_id").take(pa.array(row, pa.int64())), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32()), _lists(x[row])],
-                names=["query_id", "leaf", "turn", "vector"],
-            )
+                    n += 1
+                    seen += sizes[at]
+                if len(me) >= SLICE:
+                    yield _visited(me, leaf, turn)
+                    me, leaf, turn = [], [], []
+            yield _visited(me, leaf, turn)
 
     return run
 
 
+def _visited(me: list[int], leaf: list[int], turn: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(me, pa.int64()), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32())], names=["query_id", "leaf", "turn"])
+
+
+def _ask(shared, visits: int, sizes: dict[int, int], k: int):
+    """The first ``visits`` leaves of each query, and more until ``k`` others are seen."""
+    return _visits(shared, sizes, lambda i, batch: lambda leaf, turn, seen: None if turn >= visits and seen > k else True)
+
+
+def _turns(shared, sizes: dict[int, int]):
+    """When each query would come to each of the leaves in its column ``leaves``."""
+
+    def stop(i: int, batch: pa.RecordBatch):
+        left = set(batch.column("leaves")[i].as_py())
+
+        def take(leaf: int, turn: int, seen: int) -> bool | None:
+            if not left:
+                return None
+            found = leaf in left
+            left.discard(leaf)
+            return found
+
+        return take
+
+    return _visits(shared, sizes, stop)
+
+
 FOUND = "query_id long, vec_id long, score double, leaf int"
 
 
@@ -187,7 +220,7 @@ def _meet(k: int):
 def _joined(asked: DataFrame, indexed: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """Best k per query. ``counts`` has the blocks of queries (``qb``) and of
     candidates (``cb``) of each leaf."""
-    left = asked.join(counts, "leaf").withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.col("qb")))
+    left = asked.select("query_id", "leaf", "vector").join(counts, "leaf").withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.col("qb")))
     left = left.withColumn("cblock", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1))).drop("qb", "cb")
     right = indexed.join(counts, "leaf").withColumn("cblock", F.pmod(F.xxhash64("rid"), F.col("cb")))
     right = right.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1))).drop("qb", "cb")
@@ -214,7 +247,8 @@ def search(
     width = rows.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == width["w"])
+    # One vector per id: a partial aggregate, so an id with very many rows is cheap.
+    rows = rows.where(F.size("vector") == width["w"]).groupBy("id").agg(F.min("vector").alias("vector"))
     # The k + 1 smallest ids of each vector: a window limit that map tasks apply
     # before the shuffle, so a vector that a third of the rows share is cheap.
     order = Window.partitionBy("vector").orderBy("id")
@@ -231,25 +265,26 @@ def search(
     per_leaf = indexed.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     sizes = {r["leaf"]: r["n"] for r in per_leaf.collect()}  # one row per leaf of the tree
 
-    queries = rows.where(is_query).select(F.col("id").alias("query_id"), "vector").distinct()
-    total = queries.count()
-    chance = min(1.0, PROBES / max(1, total))
+    queries = materialise(spark, rows.where(is_query).select(F.col("id").alias("query_id"), "vector"), "queries")
+    chance = min(1.0, PROBES / max(1, queries.count()))
     probes = materialise(spark, queries.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(1 << 30)) < int(chance * (1 << 30))), "probes")
-    # Calibration: the probes visit every leaf, which is brute force in blocks.
-    everywhere = probes.mapInArrow(_ask(shared, len(sizes), sizes, k), ASKED)
+    # Calibration: brute force in blocks finds the probes' true neighbours, whose
+    # leaves the probes then look for: at most k rows a probe.
     flat = indexed.withColumn("at", F.col("leaf")).withColumn("leaf", F.lit(0))
     blocks = flat.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("cb")).select(F.lit(0).alias("leaf"), "cb", F.lit(1).cast("long").alias("qb"))
     true = _joined(
-        probes.select("query_id", F.lit(0).alias("leaf"), F.lit(0).alias("turn"), "vector"),
-        flat.select("rid", "leaf", "n", "ids", "vector"), blocks, k,
+        probes.select("query_id", F.lit(0).alias("leaf"), "vector"), flat.select("rid", "leaf", "n", "ids", "vector"), blocks, k
     ).select("query_id", "vec_id")
     where = indexed.select("leaf", F.explode("ids").alias("vec_id"))
-    turns = true.join(where, "vec_id").join(everywhere.select("query_id", "leaf", "turn"), ["query_id", "leaf"])
-    needed = np.sort([r["turn"] for r in turns.groupBy("query_id", "vec_id").agg(F.min("turn").alias("turn")).collect()])  # k per probe
+    near = materialise(spark, true.join(where, "vec_id").select("query_id", "leaf"), "true_leaves")
+    wanted = near.groupBy("query_id").agg(F.collect_set("leaf").alias("leaves"))
+    turns = probes.join(wanted, "query_id").mapInArrow(_turns(shared, sizes), ASKED)
+    needed = np.sort([r["turn"] for r in near.join(turns, ["query_id", "leaf"]).select("turn").collect()])  # k per probe
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1 if len(needed) else 1
 
-    asked = materialise(spark, queries.mapInArrow(_ask(shared, visits, sizes, k), ASKED), "asked")
-    counts = asked.groupBy("leaf").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("qb"))
+    visited = materialise(spark, queries.mapInArrow(_ask(shared, visits, sizes, k), ASKED), "visited")
+    asked = visited.join(queries, "query_id")
+    counts = visited.groupBy("leaf").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).alias("qb"))
     counts = counts.join(per_leaf.select("leaf", F.ceil(F.col("rows") / BLOCK).alias("cb")), "leaf")
     found = _joined(asked, indexed, materialise(spark, counts, "counts"), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -362,6 +362,19 @@ def test_tree_search_edges(spark):
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(0, 60), (60, 0)}
 
 
+def test_tree_search_with_several_vectors_of_one_id(spark):
+    rows = [(i, [float(i % 7), float(i % 5) + 0.5]) for i in range(200)]
+    more = [(0, [9.0, 9.0]), (0, [0.0, 0.25]), (3, [-50.0, 0.0]), (20, [0.0, 0.5])]
+    vectors = spark.createDataFrame(rows + more, "vec_id bigint, embedding array<float>")
+    first = {}
+    for i, v in rows + more:
+        first[i] = min(first.get(i, v), v)
+    for r in kmeans_tree.search(spark, vectors, F.col("id") % 20 == 0, recall=1.0).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids"), F.max("score").alias("best")).collect():
+        q = first[r["query_id"]]
+        assert len(set(r["ids"])) == len(r["ids"]) == 20 and r["query_id"] not in r["ids"]
+        assert r["best"] == max(q[0] * v[0] + q[1] * v[1] for i, v in first.items() if i != r["query_id"])
+
+
 def test_url_filter_edges(spark):
     day = dt.date
     history = spark.createDataFrame(
