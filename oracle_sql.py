@@ -425,6 +425,20 @@ SELECT count(*) AS count FROM fact WHERE {_search(_TEXT_COLS, 'build|^f$')}""",
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}
 ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
+    "explore_page_unindexed": f"""{STAR}
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
+WHERE {_search(_TEXT_COLS, 'a')}
+ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
+    "explore_page_across_slices": f"""{STAR}
+SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
+WHERE {_search(_TEXT_COLS, 'a')}
+ORDER BY total DESC NULLS LAST, order_id LIMIT 1500 OFFSET 700""",
+    "explore_page_observed": f"""{STAR},
+hits AS (SELECT * FROM fact WHERE {_search(_TEXT_COLS, 'a')}),
+n AS (SELECT count(*) AS total FROM hits)
+SELECT order_id, platform, macro_bairro, hits.total AS total_brl, status, n.total,
+       CAST(greatest(least(n.total - 100, 200), 0) AS BIGINT) AS returned
+FROM hits, n ORDER BY hits.total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "explore_page_asc": f"""{STAR}
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 ORDER BY status ASC NULLS LAST, order_id LIMIT 500 OFFSET 0""",

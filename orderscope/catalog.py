@@ -22,8 +22,9 @@ from orderscope.operators.filters import FilterSpec
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
 from orderscope.sources.columns import canonicalise
 from orderscope.sources.mapping import raw_orders, star_fact, table
+from orderscope.sources.order_index import OrderIndex, order_index
 from orderscope.sources.readers import coercion_report
-from orderscope.sources.store import materialised_fact
+from orderscope.sources.store import fact_key, materialised_fact, table_key
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,8 +76,32 @@ def _some_infinite():
     return F.when(F.col("order_id") % 101 == 0, F.lit(float("inf"))).otherwise(F.col("total_brl"))
 
 
-def _page_meta(df: DataFrame, **kw) -> DataFrame:
-    return explore.page_meta(df, **kw).withColumn("columns", F.array_join("columns", ","))
+def _page_meta(index: OrderIndex, **kw) -> DataFrame:
+    return explore.indexed_page_meta(index, **kw).withColumn("columns", F.array_join("columns", ","))
+
+
+def _indexed(fn, sort: str, order: int, slices: int | None = None, **kw) -> Query:
+    """Over the order index of the star fact for a sort column."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = materialised_fact(spark, sf_dir, "star")
+        return fn(order_index(fact, fact_key(spark, sf_dir), sort, order, slices=slices), **kw)
+
+    return run
+
+
+def _raw_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    index = order_index(lines, table_key(spark, sf_dir, "lineitem"), "l_quantity", 1, ("l_orderkey", "l_linenumber"))
+    return explore.indexed_page(index, offset=1000, limit=500)
+
+
+def _page_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with the total that was observed in the same run."""
+    rows, meta = explore.page_and_meta(
+        materialised_fact(spark, sf_dir, "star"), q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
+    )
+    return rows.select("*", F.lit(meta["total"]).cast("bigint").alias("total"), F.lit(meta["returned"]).cast("bigint").alias("returned"))
 
 
 def _meta(fn) -> Query:
@@ -179,23 +204,28 @@ QUERIES: dict[str, Query] = {
     "explore_columns": _explore(explore.catalogue),
     "explore_column_counts": _explore(explore.catalogue, with_dtype=False),
     "explore_count": _explore(explore.count, q="build|^f$"),
-    "explore_page": _explore(
-        explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
+    "explore_page": _indexed(
+        explore.indexed_page, sort="total_brl", order=-1, q="a", cols=EXPLORE_COLUMNS, offset=100, limit=200
+    ),
+    "explore_page_asc": _indexed(explore.indexed_page, sort="status", order=1, cols=EXPLORE_COLUMNS, offset=0, limit=500),
+    "explore_page_deep": _indexed(
+        explore.indexed_page, sort="total_brl", order=1, cols=EXPLORE_COLUMNS, offset=9000, limit=1000
     ),
-    "explore_page_asc": _explore(explore.page, cols=EXPLORE_COLUMNS, sort="status", order=1, offset=0, limit=500),
-    "explore_page_deep": _explore(
-        explore.page, cols=EXPLORE_COLUMNS, sort="total_brl", order=1, offset=9000, limit=1000
+    # several slices, so that a page lies across them
+    "explore_page_across_slices": _indexed(
+        explore.indexed_page, slices=16, sort="total_brl", order=-1, q="a", cols=EXPLORE_COLUMNS, offset=700, limit=1500
+    ),
+    "explore_page_observed": _page_with_meta,
+    "explore_page_unindexed": _explore(
+        explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
     ),
     "explore_page_sliced": _explore(
         explore.page, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=300, limit=900, slices=8
     ),
     # a table without an order id: ties go by the visible columns
-    "explore_page_raw": lambda spark, sf_dir: explore.page(
-        table(spark, sf_dir, "lineitem"),
-        cols=["l_orderkey", "l_linenumber", "l_quantity"], sort="l_quantity", order=1, offset=1000, limit=500,
-    ),
-    "explore_page_meta": _explore(
-        _page_meta, q="a", cols=EXPLORE_COLUMNS, sort="total_brl", order=-1, offset=100, limit=200
+    "explore_page_raw": _raw_page,
+    "explore_page_meta": _indexed(
+        _page_meta, sort="total_brl", order=-1, q="a", cols=EXPLORE_COLUMNS, offset=100, limit=200
     ),
     "explore_boolean_summary": _with_column(
         "late", lambda: F.col("actual_delivery_minutes") > F.col("eta_minutes_quote"),
@@ -229,6 +259,9 @@ ROW_LEVEL = {
     "explore_page_asc",
     "explore_page_deep",
     "explore_page_sliced",
+    "explore_page_across_slices",
+    "explore_page_observed",
+    "explore_page_unindexed",
     "explore_page_raw",
     "ingest_aliases",
     "ops_scatter_distance_delivery",

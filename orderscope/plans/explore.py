@@ -10,14 +10,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderscope.functions.expressions import check_java_regex, ci_regex, text_key
 from orderscope.operators.quantiles import group_quantiles
 from orderscope.operators.ranking import page as _page
+from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.columns import MissingColumnError, resolve_all
+from orderscope.sources.order_index import OrderIndex
+from orderscope.sources.order_index import ordering as page_order
 
 TOP_VALUES = 20
 PLACE = ("__place_file", "__place_row")
@@ -90,6 +93,18 @@ def page(
     numbering over ``slices`` slices (default: by the counted rows); only the
     visible columns and the row key are moved."""
     found = search(df, q)
+    visible, moved, ordering = _page_shape(df, cols, sort, order, row_key)
+    rows = found.select(*[F.col(f"`{c}`") for c in moved])
+    if not (row_key or resolve_all(df.columns).get("order_id")):
+        rows = _placed(found, moved)
+        ordering += [F.col(c).asc() for c in PLACE]
+    return _page(rows, ordering, offset, limit, slices).select(*[F.col(f"`{c}`") for c in visible])
+
+
+def _page_shape(
+    df: DataFrame, cols: list[str] | None, sort: str | None, order: int, row_key: str | None
+) -> tuple[list[str], list[str], list[Column]]:
+    """The visible columns, those with the row key, and the order of a page."""
     if cols:
         missing = [c for c in cols if c not in df.columns]
         if missing:
@@ -102,17 +117,65 @@ def page(
     row_key = row_key or resolve_all(df.columns).get("order_id")
     sortable = [c for c in visible if not _holds(df.schema[c].dataType, (T.MapType, T.VariantType))]
     ties = [row_key] if row_key else sortable
-    ordering: list[Column] = []
-    if sort:
-        c = F.col(f"`{sort}`")
-        ordering.append(c.asc_nulls_last() if order == 1 else c.desc_nulls_last())
-    ordering += [F.col(f"`{c}`").asc_nulls_last() for c in ties]
-    moved = list(dict.fromkeys(visible + ties))
-    rows = found.select(*[F.col(f"`{c}`") for c in moved])
-    if not row_key:
-        rows = _placed(found, moved)
-        ordering += [F.col(c).asc() for c in PLACE]
-    return _page(rows, ordering, offset, limit, slices).select(*[F.col(f"`{c}`") for c in visible])
+    return visible, list(dict.fromkeys(visible + ties)), page_order(sort, order, ties)
+
+
+def indexed_page(
+    index: OrderIndex,
+    q: str | None = None,
+    cols: list[str] | None = None,
+    offset: int = 0,
+    limit: int = 200,
+) -> DataFrame:
+    """The same page as ``page``, of a table with an order index for its sort
+    column: reads the slices that hold the page, for any offset."""
+    if cols:
+        missing = [c for c in cols if c not in index.columns]
+        if missing:
+            raise MissingColumnError(f"invalid columns: {missing}")
+    return index.page(offset, limit, cols, _named_search(q))
+
+
+def _named_search(q: str | None):
+    return (f"regex:{q}", lambda df: search_predicate(df, q)) if q else None
+
+
+def indexed_page_meta(
+    index: OrderIndex, q: str | None = None, cols: list[str] | None = None, order: int = -1, offset: int = 0, limit: int = 200
+) -> DataFrame:
+    """``page_meta`` of an indexed table: the total is in the fences or in the
+    counts that the searched page itself needs, so the table isn't scanned again."""
+    named = _named_search(q)
+    known = index.counts(*named) if named else index.fences()
+    total = known.agg(F.coalesce(F.max(F.col("offset") + F.col("rows")), F.lit(0)).cast("bigint").alias("total"))
+    return _meta_row(total, list(cols) if cols else index.columns, index.sort, order, offset, limit)
+
+
+def page_and_meta(
+    df: DataFrame, q: str | None = None, cols: list[str] | None = None, sort: str | None = None,
+    order: int = -1, offset: int = 0, limit: int = 200, row_key: str | None = None,
+) -> tuple[DataFrame, dict]:
+    """A page and its metadata from one run over a table without an index: the
+    total is observed (``DataFrame.observe``) while the rows pass to the sort. Each
+    task keeps its first ``offset + limit`` rows, so this is for pages near the
+    front; deep pages belong to ``order_index``. The page is written to the shared
+    folder, as it would else be computed again for each use."""
+    if offset < 0:
+        raise ValueError("offset must be >= 0")
+    if not (1 <= limit <= 5000):
+        raise ValueError("limit must be within 1..5000")
+    visible, moved, ordering = _page_shape(df, cols, sort, order, row_key)
+    seen = Observation()
+    rows = search(df, q).select(*[F.col(f"`{c}`") for c in moved]).observe(seen, F.count(F.lit(1)).alias("total"))
+    first = rows.orderBy(*ordering).limit(offset + limit).offset(offset)
+    ensure_checkpoint_dir(df.sparkSession)
+    shown = first.select(*[F.col(f"`{c}`") for c in visible]).checkpoint(eager=True)
+    total = seen.get["total"]
+    meta = {
+        "total": total, "returned": max(0, min(total - offset, limit)), "offset": offset, "limit": limit,
+        "columns": visible, "sorted_by": sort, "order": "asc" if order == 1 else ("desc" if sort else None),
+    }
+    return shown, meta
 
 
 def _placed(found: DataFrame, moved: list[str]) -> DataFrame:
@@ -147,8 +210,11 @@ def page_meta(
 ) -> DataFrame:
     """What the page is a page of, as one row: total, returned, offset, limit,
     columns, sorted_by, order."""
-    visible = list(cols) if cols else list(df.columns)
     total = search(df, q).agg(F.count(F.lit(1)).alias("total"))
+    return _meta_row(total, list(cols) if cols else list(df.columns), sort, order, offset, limit)
+
+
+def _meta_row(total: DataFrame, visible: list[str], sort: str | None, order: int, offset: int, limit: int) -> DataFrame:
     returned = F.greatest(F.least(F.col("total") - F.lit(offset), F.lit(limit)), F.lit(0))
     direction = "asc" if order == 1 else ("desc" if sort else None)
     return total.select(

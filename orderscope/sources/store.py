@@ -80,6 +80,18 @@ def _source_signature(spark: SparkSession, sf_dir: str, tables: tuple[str, ...])
     return hashlib.sha1(f"{sf_dir.rstrip('/')}|{tuple(files)}|{code}".encode()).hexdigest()[:16]
 
 
+def fact_key(spark: SparkSession, sf_dir: str, mapping: str = "star") -> str:
+    """Names the version of a stored fact: another one whenever a source file
+    or the mapping changes."""
+    base = "star" if mapping == "star_nulls" else mapping
+    return f"{mapping}-{_source_signature(spark, sf_dir, MAPPING_TABLES[base])}"
+
+
+def table_key(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Names the version of a driver table."""
+    return f"{name}-{_source_signature(spark, sf_dir, (name,))}"
+
+
 def _committed(spark: SparkSession, path: str) -> bool:
     fs, jpath = _fs(spark, path.rstrip("/") + "/_SUCCESS")
     return bool(fs.exists(jpath))
