@@ -106,10 +106,8 @@ W_DATES_PLATFORM_SCORE = (
     "AND platform IN ('BUILDING', 'MACHINERY') AND score >= 2 AND score <= 5"
 )
 W_LATE = "delivery - eta > 5"
-W_CLASS_AREA = (
-    "order_mode IN ('1-URGENT', '2-HIGH') "
-    "AND macro_bairro IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_12', 'NATION_18', 'NATION_23')"
-)
+W_AREA = "macro_bairro IN ('NATION_1', 'NATION_4', 'NATION_7', 'NATION_12', 'NATION_18', 'NATION_23')"  # ops know no class
+W_CLASS_AREA = f"order_mode IN ('1-URGENT', '2-HIGH') AND {W_AREA}"
 W_SAT = "score >= 1 AND score <= 5"
 W_ON_TIME_SCORE = "score >= 2.5 AND score <= 5 AND delivery <= eta AND dt <= TIMESTAMP '2000-06-30'"
 W_NAN_PLATFORM = "coalesce(platform, 'nan') IN ('nan', 'BUILDING')"
@@ -137,6 +135,43 @@ sp AS (SELECT CAST(unnest(generate_series(CAST(min(s) AS TIMESTAMP), CAST(max(s)
 SELECT {label} AS date, {', '.join(outs)} FROM sp LEFT JOIN b USING (s)"""
 
 
+def _calendar(
+    fact: str, where: str, unit: str, step: str, label: str, measures: list[tuple[str, str, str | None, str]],
+    kept: str = "true", extra: str = "", kind: str = "DATE",
+) -> str:
+    """Gap-filled series over any calendar: ``unit`` is the regular start that a
+    time ``dt`` belongs to (it may use ``m0``, the least start without a multiple), ``step``
+    leads from one start ``s`` to the next, ``label`` names it."""
+    aggs = ", ".join(f"{agg} AS {name}" for name, agg, _, _ in measures)
+    outs = []
+    for name, _, fill, rnd in measures:
+        v = f"b.{name}" if fill is None else f"coalesce(b.{name}, {fill})"
+        outs.append(f"{ {'rs': rs, 'rb': rb}[rnd](v) if rnd else v } AS {name}")
+    return f"""{fact},
+k AS (SELECT *, CAST(dt AS DATE) AS d, min(CAST(dt AS DATE)) OVER () AS d0 FROM fact WHERE dt IS NOT NULL AND {where}),
+b AS (SELECT CAST({unit} AS TIMESTAMP) AS s, {aggs} FROM k GROUP BY 1),
+sp AS (SELECT s FROM (SELECT unnest(generate_series(min(s), max(s), {step})) AS s FROM b) WHERE {kept})
+SELECT CAST({label} AS {kind}) AS date, {extra}{', '.join(outs)} FROM sp LEFT JOIN b USING (s)"""
+
+
+# End of the week (Sunday) and number of the month that hold a day.
+_SUNDAY = "({d} + CAST(7 - isodow({d}) AS INTEGER))"
+_MONTH = "(year({d}) * 12 + month({d}) - 1)"
+
+
+def _month_date(number: str) -> str:
+    return f"make_date(CAST(({number}) // 12 AS BIGINT), CAST(({number}) % 12 + 1 AS BIGINT), 1)"
+
+
+def _every(n: int, x: str, x0: str) -> str:
+    """``x0`` plus the least multiple of ``n`` that reaches ``x``."""
+    return f"({x0} + {n} * CAST(ceil(({x} - {x0}) / {n}) AS BIGINT))"
+
+
+_ORDERS = [("orders", "count(*)", "0", "")]
+_REVENUE = [("receita_total", "coalesce(sum(total), 0.0)", "0.0", "rs"), ("orders", "count(*)", "0", "")]
+
+
 def _hist(fact: str, where: str, bins: int, total: str = "total") -> str:
     return f"""{fact},
 t AS (SELECT {total} / items AS x FROM fact WHERE items > 0 AND {where}),
@@ -425,6 +460,43 @@ SELECT count(*) AS count FROM fact WHERE {_search(_TEXT_COLS, 'build|^f$')}""",
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}
 ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
+    "overview_timeseries_orders_3d": _calendar(
+        STAR, "true", "d0 + CAST((d - d0) // 3 * 3 AS INTEGER)", "INTERVAL 3 DAY", "s", _ORDERS),
+    "overview_timeseries_orders_2w": _calendar(
+        STAR, "true", f"DATE '1970-01-01' + CAST({_every(14, _SUNDAY.format(d='d') + " - DATE '1970-01-01'", '(' + _SUNDAY.format(d='d0') + " - DATE '1970-01-01')")} AS INTEGER)",
+        "INTERVAL 14 DAY", "s", _ORDERS,
+        extra="CAST(s AS DATE) - 13 AS bucket_start, CAST(s AS DATE) + 1 AS bucket_end, CAST((CAST(s AS DATE) - CAST(min(s) OVER () AS DATE)) // 14 AS BIGINT) AS step, "),
+    "overview_timeseries_orders_week_wed": _calendar(
+        STAR, W_CLASS_AREA, "d + CAST((10 - isodow(d)) % 7 AS INTEGER)", "INTERVAL 7 DAY", "s", _ORDERS),
+    "overview_timeseries_revenue_2m": _calendar(
+        STAR, "true", _month_date(_every(2, _MONTH.format(d="d"), _MONTH.format(d="d0"))), "INTERVAL 2 MONTH", "last_day(s)", _REVENUE),
+    "overview_timeseries_orders_month_start": _calendar(
+        STAR, "true", "date_trunc('month', dt)", "INTERVAL 1 MONTH", "s", _ORDERS,
+        extra="CAST(s AS DATE) AS bucket_start, CAST(s + INTERVAL 1 MONTH AS DATE) AS bucket_end, row_number() OVER (ORDER BY s) - 1 AS step, "),
+    "overview_timeseries_orders_quarter": _calendar(
+        STAR, "true", "date_trunc('quarter', dt)", "INTERVAL 3 MONTH", "last_day(s + INTERVAL 2 MONTH)", _ORDERS),
+    "overview_timeseries_revenue_quarter_feb": _calendar(
+        STAR, W_DATES_PLATFORM_SCORE, "date_trunc('quarter', date_trunc('month', dt) + INTERVAL 1 MONTH) - INTERVAL 1 MONTH",
+        "INTERVAL 3 MONTH", "last_day(s + INTERVAL 2 MONTH)", _REVENUE),
+    "overview_timeseries_orders_quarter_start": _calendar(
+        STAR, "true", "date_trunc('quarter', dt)", "INTERVAL 3 MONTH", "s", _ORDERS),
+    "overview_timeseries_orders_year": _calendar(
+        STAR, "true", "date_trunc('year', dt)", "INTERVAL 1 YEAR", "last_day(s + INTERVAL 11 MONTH)", _ORDERS),
+    "finance_timeseries_revenue_year_mar": _calendar(
+        STAR, "total IS NOT NULL", "date_trunc('year', date_trunc('month', dt) - INTERVAL 3 MONTH) + INTERVAL 3 MONTH",
+        "INTERVAL 1 YEAR", "last_day(s + INTERVAL 11 MONTH)",
+        [("gross", "sum(total)", "0.0", "rs"), ("net", "coalesce(sum(total * (1 - pct)), 0.0)", "0.0", "rs")]),
+    "ops_timeseries_delivery_business_days": _calendar(
+        STAR, f"delivery IS NOT NULL AND {W_AREA}", "d - CAST(greatest(isodow(d) - 5, 0) AS INTEGER)", "INTERVAL 1 DAY", "s",
+        [("avg_delivery_minutes", "avg(delivery)", None, "rb")], kept="isodow(s) < 6"),
+    "overview_timeseries_orders_6h_events": _calendar(
+        _EVENTS, "true", "date_trunc('day', dt) + INTERVAL 6 HOUR * (hour(dt) // 6)", "INTERVAL 6 HOUR", "s", _ORDERS, kind="TIMESTAMP"),
+    "overview_timeseries_orders_90min_events": _calendar(
+        _EVENTS, "true", "CAST(d0 AS TIMESTAMP) + INTERVAL 1 MINUTE * (datediff('minute', CAST(d0 AS TIMESTAMP), dt) // 90 * 90)",
+        "INTERVAL 90 MINUTE", "s", _ORDERS, kind="TIMESTAMP"),
+    "satisfaction_timeseries_2q": _calendar(
+        STAR, W_SAT, _month_date(_every(6, "((" + _MONTH.format(d="d") + ") // 3 * 3 + 2)", "((" + _MONTH.format(d="d0") + ") // 3 * 3 + 2)")),
+        "INTERVAL 6 MONTH", "last_day(s)", [("avg_satisfacao", "avg(score)", "0.0", "rb"), ("count", "count(score)", "0", "")]),
     "explore_page_unindexed": f"""{STAR}
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}

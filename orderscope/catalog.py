@@ -123,6 +123,21 @@ QUERIES: dict[str, Query] = {
     "overview_timeseries_revenue_with_orders_weekly_filtered": _on_star(
         overview.timeseries_revenue_with_orders, SPEC_DATES_PLATFORM_SCORE, freq="W"
     ),
+    # calendar offsets, one query per family
+    "overview_timeseries_orders_3d": _on_star(overview.timeseries_orders, freq="3D"),
+    "overview_timeseries_orders_2w": _on_star(overview.timeseries_orders, freq="2W", bounds=True),
+    "overview_timeseries_orders_week_wed": _on_star(overview.timeseries_orders, SPEC_CLASS_AREA, freq="W-WED"),
+    "overview_timeseries_revenue_2m": _on_star(overview.timeseries_revenue_with_orders, freq="2M"),
+    "overview_timeseries_orders_month_start": _on_star(overview.timeseries_orders, freq="MS", bounds=True),
+    "overview_timeseries_orders_quarter": _on_star(overview.timeseries_orders, freq="Q"),
+    "overview_timeseries_revenue_quarter_feb": _on_star(overview.timeseries_revenue_with_orders, SPEC_DATES_PLATFORM_SCORE, freq="Q-FEB"),
+    "overview_timeseries_orders_quarter_start": _on_star(overview.timeseries_orders, freq="QS"),
+    "overview_timeseries_orders_year": _on_star(overview.timeseries_orders, freq="Y"),
+    "finance_timeseries_revenue_year_mar": _on_star(finance.timeseries_revenue, freq="Y-MAR"),
+    "ops_timeseries_delivery_business_days": _on_star(ops.timeseries_delivery, SPEC_CLASS_AREA, freq="B"),
+    "overview_timeseries_orders_6h_events": _on_events(overview.timeseries_orders, freq="6H"),
+    "overview_timeseries_orders_90min_events": _on_events(overview.timeseries_orders, freq="90min"),
+    "satisfaction_timeseries_2q": _on_star(satisfaction.timeseries, freq="2Q"),
     "overview_by_platform": _on_star(overview.by_platform),
     "overview_by_platform_nulls": _on_star(overview.by_platform, nulls=True),
     "overview_top_macro_by_orders": _on_star(overview.top_macro_by_orders, n=5),

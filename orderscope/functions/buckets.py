@@ -1,50 +1,163 @@
-"""Calendar bucket labels for the D / W / M time series.
+"""Calendar offsets for time series: every bucket is a whole number of units.
 
-Labels follow the dashboard convention: a day is labelled by its date, a
-week (Monday..Sunday) by the Sunday that ends it, a month by its last day.
-All three are plain date arithmetic, so they stay inside whole-stage codegen.
+An offset is a unit (minute, hour, day, business day, week, month, quarter or
+year), a multiple, an anchor inside the unit (the weekday that ends a week, the
+month that ends or starts a quarter or year) and the side its label is on. A
+timestamp's unit is an integer (``unit_index``): days, hours and minutes since
+1970, weeks by the day that ends them, months as year * 12 + month, business days
+five to a week. A bucket of ``n`` units is then integer arithmetic, a gap in the
+series is a gap between integers, and labels and bounds are computed from the
+integer. All of it stays inside whole-stage codegen and uses wall-clock fields
+only, so no time zone moves a row.
+
+Labels follow the dashboard convention. Days, hours, minutes, business days
+and the ``S`` (start) forms are labelled by their first day or time and run on
+from the first bucket; weeks, months, quarters and years by their last day, and
+the first bucket ends with the first row's unit. Weekend rows count to the
+business day before.
+
+Multiples need a place to count from: the first row's unit (for hours and
+minutes the midnight before the first row), or an ``origin`` date, which keeps
+the buckets of two queries over different rows alike.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FREQUENCIES = ("D", "W", "M")
+# Weekday and month names in offsets, and the units' spellings.
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+UNITS = {
+    "MIN": "minute", "T": "minute", "H": "hour", "D": "day", "B": "business", "W": "week",
+    "M": "month", "ME": "month", "MS": "month_start", "Q": "quarter", "QE": "quarter", "QS": "quarter_start",
+    "Y": "year", "YE": "year", "A": "year", "YS": "year_start", "AS": "year_start",
+}
+MONTHS_IN = {"month": 1, "quarter": 3, "year": 12}
+
+
+@dataclass(frozen=True)
+class Offset:
+    unit: str  # minute, hour, day, business, week, month, quarter, year
+    n: int = 1
+    anchor: int = 0  # weekday (0 = Monday) that ends a week; month (1..12) that ends or starts a quarter or year
+    at_end: bool = False  # labelled by its last day
+
+    @property
+    def timed(self) -> bool:
+        """Whether labels are times, not dates."""
+        return self.unit in ("minute", "hour")
+
+
+def parse_offset(freq: str | Offset) -> Offset:
+    """``3D``, ``2W-WED``, ``Q-FEB``, ``MS``, ``6H``, ``15min``, ``B``, ..."""
+    if isinstance(freq, Offset):
+        return freq
+    m = re.fullmatch(r"(\d*)([A-Z]+)(?:-([A-Z]{3}))?", (freq or "").strip().upper())
+    unit = UNITS.get(m[2]) if m else None
+    if not unit:
+        raise ValueError(f"unknown freq {freq!r}: use a multiple of min, H, D, B, W[-day], M, MS, Q[-month], QS[-month], Y[-month] or YS[-month]")
+    n = int(m[1] or 1)
+    if n < 1:
+        raise ValueError(f"freq must be a positive multiple (got {freq!r})")
+    at_end = unit in ("week", *MONTHS_IN)
+    unit = unit.removesuffix("_start")
+    names = WEEKDAYS if unit == "week" else MONTHS if unit in ("quarter", "year") else ()
+    if m[3] and m[3] not in names:
+        raise ValueError(f"freq {freq!r} has no anchor {m[3]!r}")
+    if unit == "week":
+        anchor = WEEKDAYS.index(m[3]) if m[3] else 6
+    elif unit in ("quarter", "year"):
+        anchor = MONTHS.index(m[3]) + 1 if m[3] else (12 if at_end else 1)
+    else:
+        anchor = 0
+    return Offset(unit, n, anchor, at_end)
+
+
+def _floor_div(x: Column, n: int) -> Column:
+    return x if n == 1 else ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("bigint")
+
+
+def _days(ts: Column) -> Column:
+    return F.unix_date(F.to_date(ts)).cast("bigint")
+
+
+def unit_index(ts: Column, off: Offset) -> Column:
+    """The number of the unit that holds a timestamp (bigint)."""
+    if off.unit == "day":
+        return _days(ts)
+    if off.unit == "hour":
+        return _days(ts) * 24 + F.hour(ts)
+    if off.unit == "minute":
+        return _days(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    if off.unit == "week":
+        # 1970-01-01 is a Thursday: day 3 of a week counted from Monday.
+        return _floor_div(_days(ts) + (9 - off.anchor), 7)
+    if off.unit == "business":
+        monday = _days(ts) + 3
+        return _floor_div(monday, 7) * 5 + F.least(F.pmod(monday, F.lit(7)), F.lit(4))
+    width, rest = _months(off)
+    month = F.year(ts).cast("bigint") * 12 + F.month(ts) - 1
+    return _floor_div(month - rest + (width - 1 if off.at_end else 0), width)
+
+
+def _months(off: Offset) -> tuple[int, int]:
+    width = MONTHS_IN[off.unit]
+    return width, (off.anchor - 1) % width if off.anchor else 0
+
+
+def _first_of_month(month: Column) -> Column:
+    return F.make_date(_floor_div(month, 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
+def unit_start(index: Column, off: Offset) -> Column:
+    """First day (time, for hours and minutes) of a unit."""
+    if off.timed:
+        minutes = index * (60 if off.unit == "hour" else 1)
+        day = F.date_from_unix_date(_floor_div(minutes, 1440).cast("int")).cast("timestamp_ntz")
+        return day + F.make_dt_interval(mins=F.pmod(minutes, F.lit(1440)).cast("int"))
+    if off.unit == "day":
+        return F.date_from_unix_date(index.cast("int"))
+    if off.unit == "week":
+        return F.date_from_unix_date((index * 7 + (off.anchor - 9)).cast("int"))
+    if off.unit == "business":
+        return F.date_from_unix_date((_floor_div(index, 5) * 7 - 3 + F.pmod(index, F.lit(5))).cast("int"))
+    width, rest = _months(off)
+    return _first_of_month(index * width + rest - (width - 1 if off.at_end else 0))
 
 
-def check_freq(freq: str) -> str:
-    f = (freq or "").upper()
-    if f not in FREQUENCIES:
-        raise ValueError(f"freq must be one of D, W, M (got {freq!r})")
-    return f
+def unit_label(index: Column, off: Offset) -> Column:
+    """A unit's first day or time, or its last day."""
+    if not off.at_end:
+        return unit_start(index, off)
+    if off.unit == "week":
+        return F.date_from_unix_date((index * 7 + (off.anchor - 3)).cast("int"))
+    width, rest = _months(off)
+    return F.last_day(_first_of_month(index * width + rest))
 
 
-def bucket_start(ts: Column, freq: str) -> Column:
-    """First day of the bucket holding ``ts`` (a date). Used for the spine,
-    whose steps are regular from bucket start to bucket start."""
-    f = check_freq(freq)
-    if f == "D":
-        return F.to_date(ts)
-    if f == "W":
-        return F.to_date(F.date_trunc("week", ts))
-    return F.trunc(F.to_date(ts), "month")
+def bucket_unit(index: Column, off: Offset, origin: Column) -> Column:
+    """The unit that labels the bucket of a unit: every ``n``-th one from the
+    unit ``origin``. A bucket runs from (or, labelled by its end, up to) it."""
+    if off.n == 1:
+        return index
+    away = index - origin
+    return origin + (-_floor_div(-away, off.n) if off.at_end else _floor_div(away, off.n)) * off.n
 
 
-def label_from_start(start: Column, freq: str) -> Column:
-    """Bucket label from its first day."""
-    f = check_freq(freq)
-    if f == "D":
-        return start
-    if f == "W":
-        return F.date_add(start, 6)
-    return F.last_day(start)
+def bucket_bounds(label_unit: Column, off: Offset) -> tuple[Column, Column]:
+    """First day or time of a bucket, and of the next one."""
+    first = label_unit - (off.n - 1) if off.at_end else label_unit
+    return unit_start(first, off), unit_start(first + off.n, off)
 
 
-def step_interval(freq: str) -> Column:
-    f = check_freq(freq)
-    if f == "D":
-        return F.expr("INTERVAL 1 DAY")
-    if f == "W":
-        return F.expr("INTERVAL 7 DAYS")
-    return F.expr("INTERVAL 1 MONTH")
+def origin_unit(off: Offset, first: _dt.datetime | _dt.date) -> Column:
+    """The unit to count multiples from, for a first row or an origin date."""
+    midnight = _dt.datetime(first.year, first.month, first.day)
+    at = F.lit(midnight.isoformat(sep=" ")).cast("timestamp_ntz")
+    return unit_index(at, off)

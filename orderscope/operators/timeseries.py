@@ -1,11 +1,12 @@
-"""Bucketed time series with gap filling.
+"""Bucketed time series with gap filling, for any calendar offset.
 
-Shape of the plan: filter rows with a timestamp → bucket start per row
-(codegen) → hash aggregate per bucket (partial + final around one shuffle)
-→ each bucket learns the start of the next non-empty bucket (``lead``) →
-``posexplode(sequence(start, next − step))`` emits the bucket itself
-(position 0, with its measures) followed by the empty buckets up to the
-next one (fill values). One scan, one pipeline, no join.
+Shape of the plan: filter rows with a timestamp → unit number per row
+(codegen, ``functions/buckets``) → hash aggregate per bucket (partial + final
+around one shuffle) → each bucket learns the next non-empty bucket (``lead``) →
+``posexplode(sequence(unit, next − step))`` emits the bucket itself (position
+0, with its measures) followed by the empty buckets up to the next one (fill
+values). One scan, one pipeline, no join. A multiple of a unit without an
+origin first reads the least timestamp (one row reaches the driver).
 
 The ``lead`` window runs over the bucket aggregate, whose size is the number
 of non-empty buckets (bounded by the time span, never by the row count), in
@@ -15,20 +16,23 @@ needs no further exchange.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderscope.functions.buckets import bucket_start, check_freq, label_from_start, step_interval
+from orderscope.functions.buckets import Offset, bucket_bounds, bucket_unit, origin_unit, parse_offset, unit_index, unit_label
 
-_START = "_bucket_start"
+_UNIT = "_bucket_unit"
 
 
-def _previous_step(start: Column, freq: str) -> Column:
-    if freq == "M":
-        return F.add_months(start, -1)
-    return F.date_sub(start, 7 if freq == "W" else 1)
+def _origin(df: DataFrame, ts_col: str, off: Offset, origin: _dt.date | None) -> Column:
+    if off.n == 1:
+        return F.lit(0)
+    if origin is None:
+        origin = df.agg(F.min(ts_col).alias("first")).first()["first"] or _dt.date(1970, 1, 1)
+    return origin_unit(off, origin)
 
 
 def bucketed_series(
@@ -38,21 +42,31 @@ def bucketed_series(
     measures: Mapping[str, Column],
     fill: Mapping[str, object] | None = None,
     label: str = "date",
+    origin: _dt.date | None = None,
+    bounds: bool = False,
 ) -> DataFrame:
     """One row per bucket from the first to the last non-empty bucket.
 
     ``measures`` are aggregate expressions; ``fill`` gives the value an
-    empty bucket gets per measure (missing key → NULL stays NULL)."""
-    freq = check_freq(freq)
+    empty bucket gets per measure (missing key → NULL stays NULL). With
+    ``bounds`` each bucket also has ``bucket_start`` and ``bucket_end`` (the next
+    bucket's start) and ``step``, its place in the series from 0."""
+    off = parse_offset(freq)
     fill = dict(fill or {})
-    rows = df.where(F.col(ts_col).isNotNull()).withColumn(_START, bucket_start(F.col(ts_col), freq))
-    agg = rows.groupBy(_START).agg(*[expr.alias(name) for name, expr in measures.items()])
-    nxt = F.lead(_START).over(Window.orderBy(_START))
-    last = F.coalesce(_previous_step(F.col("_next"), freq), F.col(_START))
-    filled = agg.withColumn("_next", nxt).select(
-        "*", F.posexplode(F.sequence(F.col(_START), last, step_interval(freq))).alias("_pos", "_bucket")
+    unit = bucket_unit(unit_index(F.col(ts_col), off), off, _origin(df, ts_col, off, origin))
+    rows = df.where(F.col(ts_col).isNotNull()).withColumn(_UNIT, unit)
+    agg = rows.groupBy(_UNIT).agg(*[expr.alias(name) for name, expr in measures.items()])
+    order = Window.orderBy(_UNIT)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.coalesce(F.col("_next") - off.n, F.col(_UNIT))
+    filled = agg.select("*", F.lead(_UNIT).over(order).alias("_next"), F.min(_UNIT).over(whole).alias("_first")).select(
+        "*", F.posexplode(F.sequence(F.col(_UNIT), last, F.lit(off.n).cast("bigint"))).alias("_pos", "_bucket")
     )
-    out_cols = [label_from_start(F.col("_bucket"), freq).alias(label)]
+    out_cols = [unit_label(F.col("_bucket"), off).alias(label)]
+    if bounds:
+        start, end = bucket_bounds(F.col("_bucket"), off)
+        step = ((F.col("_bucket") - F.col("_first")) / F.lit(off.n)).cast("bigint")
+        out_cols += [start.alias("bucket_start"), end.alias("bucket_end"), step.alias("step")]
     for name in measures:
         empty = F.lit(fill[name]) if fill.get(name) is not None else F.lit(None)
         out_cols.append(F.when(F.col("_pos") == 0, F.col(name)).otherwise(empty.cast(agg.schema[name].dataType)).alias(name))

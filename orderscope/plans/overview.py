@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +62,20 @@ def kpis(fact: DataFrame, spec: FilterSpec | None = None, cancel_match: str = "c
     )
 
 
-def timeseries_orders(fact: DataFrame, spec: FilterSpec | None = None, freq: str = "D") -> DataFrame:
-    """date, orders; empty buckets between the first and last order count 0."""
+def timeseries_orders(
+    fact: DataFrame,
+    spec: FilterSpec | None = None,
+    freq: str = "D",
+    origin: _dt.date | None = None,
+    bounds: bool = False,
+) -> DataFrame:
+    """date, orders; empty buckets between the first and last order count 0.
+    ``freq`` is any calendar offset (``functions/buckets``); ``origin`` and
+    ``bounds`` as in ``bucketed_series``."""
     df = _filtered(fact, spec)
     require(df, "order_datetime")
-    return bucketed_series(
-        df, "order_datetime", freq, {"orders": F.count(F.lit(1))}, fill={"orders": 0}
-    )
+    measures = {"orders": F.count(F.lit(1))}
+    return bucketed_series(df, "order_datetime", freq, measures, fill={"orders": 0}, origin=origin, bounds=bounds)
 
 
 def timeseries_revenue_with_orders(fact: DataFrame, spec: FilterSpec | None = None, freq: str = "M") -> DataFrame:

@@ -1,7 +1,13 @@
 import datetime as dt
+import random
+import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from orderscope.functions.buckets import parse_offset
+from orderscope.operators.timeseries import bucketed_series
 from orderscope.plans import ops, overview, satisfaction
 
 from conftest import make_fact, ts
@@ -61,9 +67,50 @@ def test_frequency_totals_agree(gap_days):
 
 def test_bad_frequency(gap_days):
     with pytest.raises(ValueError):
-        overview.timeseries_orders(gap_days, freq="H")
+        overview.timeseries_orders(gap_days, freq="fortnight")
 
 
 def test_empty_input_gives_no_rows(spark):
     empty = make_fact(spark, [])
     assert overview.timeseries_orders(empty, freq="D").count() == 0
+
+
+OFFSETS = [
+    "D", "3D", "11D", "W", "2W", "W-WED", "3W-TUE", "M", "2M", "5M", "MS", "2MS", "Q", "Q-FEB", "2Q", "QS", "QS-FEB", "2QS-NOV",
+    "Y", "Y-MAR", "2Y", "YS", "YS-JUL", "B", "3B", "H", "6H", "5H", "37min", "90min",
+]
+
+
+@pytest.mark.parametrize("freq", OFFSETS)
+def test_every_offset_equals_a_plain_resample(spark, freq):
+    rng = random.Random(freq)
+    short = freq.endswith(("H", "min"))
+    times = [dt.datetime(1969, 12, 27, 9, 30) + dt.timedelta(minutes=rng.randrange(60 * 24 * (9 if short else 1500))) for _ in range(120)]
+    times += [dt.datetime(1970, 1, 31, 23, 59), dt.datetime(1970, 2, 1)] if not short else []
+    fact = make_fact(spark, [dict(order_id=i, order_datetime=t, total_brl=float(i)) for i, t in enumerate(times)])
+    got = [(r["date"], r["orders"]) for r in overview.timeseries_orders(fact, freq=freq).collect()]
+    # the plain library's own names for the same offsets
+    plain = freq.replace("H", "h") if freq.endswith("H") else freq.replace("min", "min")
+    m = re.fullmatch(r"(\d*)([MQY])((?:-[A-Z]+)?)", plain)
+    plain = f"{m[1]}{m[2]}E{m[3]}" if m else plain
+    want = pd.Series(1, index=pd.DatetimeIndex(times)).resample(plain).sum()
+    label = (lambda t: t.to_pydatetime()) if short else (lambda t: t.date())
+    assert got == [(label(t), int(n)) for t, n in want.items()]
+
+
+def test_bounds_steps_and_origin(spark, gap_days):
+    rows = bucketed_series(gap_days, "order_datetime", "2W-WED", {"n": F.count(F.lit(1))}, {"n": 0}, bounds=True).collect()
+    assert [r["step"] for r in rows] == list(range(len(rows))) and sum(r["n"] for r in rows) == 4
+    assert all((r["bucket_end"] - r["bucket_start"]).days == 14 and r["date"] == r["bucket_end"] - dt.timedelta(days=1) for r in rows)
+    assert all(a["bucket_end"] == b["bucket_start"] for a, b in zip(rows, rows[1:]))
+    # an origin of its own: the same buckets whatever the first row
+    some = gap_days.where("order_id > 1")
+    for freq in ("3D", "2M", "7H", "2W", "3B"):
+        one, two = ({r["date"]: r["orders"] for r in bucketed_series(f, "order_datetime", freq, {"orders": F.count(F.lit(1))}, {"orders": 0}, origin=dt.date(2020, 5, 6)).collect()} for f in (gap_days, some))
+        assert set(two) <= set(one)
+
+
+@pytest.mark.parametrize("bad", ["", None, "0D", "-1D", "2", "D-MON", "W-JAN", "Q-MON", "M-JAN", "SM"])
+def test_bad_offsets(bad):
+    with pytest.raises(ValueError):
+        parse_offset(bad)
