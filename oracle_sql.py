@@ -194,6 +194,21 @@ SELECT {key_expr} AS {key}, count(*) AS count, {rb('min(delivery)')} AS min,
 FROM fact WHERE delivery IS NOT NULL AND {where} GROUP BY 1"""
 
 
+def _value_chunks(fact: str, key: str, value: str, where: str, chunk: int, kind: str = "VARCHAR", empty: bool = True) -> str:
+    """Sorted runs of each group's values, ``chunk`` runs to a row."""
+    none = f"""
+UNION ALL SELECT {key}, CAST(0 AS INTEGER), CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL, NULL, ''
+FROM g GROUP BY {key} HAVING count(v) = 0""" if empty else ""
+    return f"""{fact},
+g AS (SELECT * FROM (SELECT {key}, {value} AS v FROM fact WHERE {where}) WHERE {key.split(' AS ')[-1]} IS NOT NULL),
+c AS (SELECT {key.split(' AS ')[-1]} AS k, v, count(*) AS c FROM g WHERE v IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY v) - 1) // {chunk} AS chunk,
+             sum(c) OVER (PARTITION BY k ORDER BY v) - c AS rank FROM c)
+SELECT k AS {key.split(' AS ')[-1]}, CAST(chunk AS INTEGER) AS chunk, CAST(min(rank) AS BIGINT) AS first_rank, CAST(sum(c) AS BIGINT) AS n,
+       min(v) AS low, max(v) AS high, string_agg(CAST(v AS VARCHAR) || 'x' || c, ',' ORDER BY v) AS runs
+FROM r GROUP BY k, chunk{none}"""
+
+
 def _percentiles(fact: str) -> str:
     return f"""{fact}
 SELECT macro_bairro, {rb('avg(delivery)')} AS mean, {rb('quantile_cont(delivery, 0.5)')} AS p50,
@@ -497,6 +512,15 @@ ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "satisfaction_timeseries_2q": _calendar(
         STAR, W_SAT, _month_date(_every(6, "((" + _MONTH.format(d="d") + ") // 3 * 3 + 2)", "((" + _MONTH.format(d="d0") + ") // 3 * 3 + 2)")),
         "INTERVAL 6 MONTH", "last_day(s)", [("avg_satisfacao", "avg(score)", "0.0", "rb"), ("count", "count(score)", "0", "")]),
+    "ops_value_chunks_by_macro": _value_chunks(STAR, "macro_bairro", "delivery", "true", 16),
+    "ops_value_chunks_by_macro_empty": _value_chunks(
+        STAR, "macro_bairro", "CASE WHEN macro_bairro <> 'NATION_3' THEN delivery END", "true", 4096),
+    "ops_value_chunks_by_weekday": _value_chunks(
+        STAR, "CAST(isodow(dt) - 1 AS INTEGER) AS weekday", "delivery", f"delivery IS NOT NULL AND {W_LATE}", 20, empty=False),
+    "ops_percentiles_from_chunks": _box(STAR, "macro_bairro", "macro_bairro", "macro_bairro IS NOT NULL"),
+    "ops_count_between_from_chunks": f"""{STAR}
+SELECT macro_bairro, count(CASE WHEN delivery BETWEEN 30 AND 45 THEN 1 END) AS count FROM fact
+WHERE macro_bairro IS NOT NULL AND {W_AREA} GROUP BY 1""",
     "explore_page_unindexed": f"""{STAR}
 SELECT order_id, platform, macro_bairro, total AS total_brl, status FROM fact
 WHERE {_search(_TEXT_COLS, 'a')}

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderscope.operators.filters import FilterSpec
+from orderscope.operators.value_chunks import count_between, percentiles_from_chunks
 from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
 from orderscope.sources.columns import canonicalise
 from orderscope.sources.mapping import raw_orders, star_fact, table
@@ -80,6 +81,22 @@ def _page_meta(index: OrderIndex, **kw) -> DataFrame:
     return explore.indexed_page_meta(index, **kw).withColumn("columns", F.array_join("columns", ","))
 
 
+def _chunks(fn, spec: FilterSpec | None = None, empty: str | None = None, **kw) -> Query:
+    """Chunked value lists with their runs as text; ``empty`` names an area
+    whose delivery times are blanked."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = materialised_fact(spark, sf_dir, "star")
+        if empty:
+            blank = F.when(F.col("macro_bairro") != empty, F.col("actual_delivery_minutes"))
+            fact = fact.withColumn("actual_delivery_minutes", blank)
+        found = fn(fact, spec, **kw)
+        text = F.transform("runs", lambda r: F.concat_ws("x", r["value"].cast("string"), r["count"].cast("string")))
+        return found.withColumn("runs", F.array_join(text, ","))
+
+    return run
+
+
 def _indexed(fn, sort: str, order: int, slices: int | None = None, **kw) -> Query:
     """Over the order index of the star fact for a sort column."""
 
@@ -161,6 +178,16 @@ QUERIES: dict[str, Query] = {
     "ops_timeseries_delivery_weekly": _on_star(ops.timeseries_delivery, freq="W"),
     "ops_boxplot_delivery_by_macro": _on_star(ops.boxplot_delivery_by_macro),
     "ops_boxplot_values_by_macro": _on_star(ops.boxplot_values_by_macro),
+    # value lists in chunks, and what is read from them
+    "ops_value_chunks_by_macro": _chunks(ops.value_chunks_by_macro, chunk=16, slices=5),
+    "ops_value_chunks_by_macro_empty": _chunks(ops.value_chunks_by_macro, empty="NATION_3"),
+    "ops_value_chunks_by_weekday": _chunks(ops.value_chunks_by_weekday, SPEC_LATE, chunk=20),
+    "ops_percentiles_from_chunks": _on_star(
+        lambda fact, spec: percentiles_from_chunks(ops.value_chunks_by_macro(fact, spec, chunk=16), ["macro_bairro"], ops.BOX_PROBS)
+    ),
+    "ops_count_between_from_chunks": _on_star(
+        lambda fact, spec: count_between(ops.value_chunks_by_macro(fact, spec, chunk=8), ["macro_bairro"], 30.0, 45.0), SPEC_CLASS_AREA
+    ),
     "ops_delay_heatmap_by_macro": _on_star(ops.delay_heatmap_by_macro),
     "ops_scatter_distance_delivery": _on_star(ops.scatter_distance_delivery),
     "ops_orders_by_hour": _on_star(ops.orders_by_hour),

@@ -10,6 +10,7 @@ from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.quantiles import group_quantiles
 from orderscope.operators.ranking import by_keys, by_measure_desc
 from orderscope.operators.timeseries import bucketed_series
+from orderscope.operators.value_chunks import CHUNK, value_chunks
 from orderscope.sources.columns import has, require
 
 VARIANT = "ops"
@@ -91,6 +92,24 @@ def boxplot_values_by_macro(fact: DataFrame, spec: FilterSpec | None = None) ->
     return _delivery_rows(df, F.col("macro_bairro"), "macro_bairro")
 
 
+def value_chunks_by_macro(
+    fact: DataFrame, spec: FilterSpec | None = None, chunk: int = CHUNK, slices: int | None = None
+) -> DataFrame:
+    """The per-area value lists of a box plot as numbered chunks: macro_bairro,
+    chunk, first_rank, n, low, high, runs (see ``operators/value_chunks``). An
+    area without a delivery time keeps an empty list."""
+    df = _filtered(fact, spec)
+    require(df, "macro_bairro", DELIVERY)
+    return value_chunks(df, ["macro_bairro"], DELIVERY, chunk, slices)
+
+
+def value_chunks_by_weekday(
+    fact: DataFrame, spec: FilterSpec | None = None, chunk: int = CHUNK, slices: int | None = None
+) -> DataFrame:
+    """As by area, per weekday (Monday = 0) with a delivery time."""
+    return value_chunks(_weekday_rows(_filtered(fact, spec)), ["weekday"], "delivery_minutes", chunk, slices)
+
+
 def delay_heatmap_by_macro(fact: DataFrame, spec: FilterSpec | None = None) -> DataFrame:
     """macro_bairro, avg_delay (NULL when no order of the area has both times)."""
     df = _filtered(fact, spec)
