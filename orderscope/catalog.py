@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderscope.operators.filters import FilterSpec
+from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.value_chunks import count_between, percentiles_from_chunks
-from orderscope.plans import explore, finance, meta, ops, overview, satisfaction
+from orderscope.plans import explore, finance, meta, ops, overview, refresh, satisfaction
 from orderscope.sources.columns import canonicalise
 from orderscope.sources.mapping import raw_orders, star_fact, table
 from orderscope.sources.order_index import OrderIndex, order_index
+from orderscope.sources.partials import PartialStore
 from orderscope.sources.readers import coercion_report
-from orderscope.sources.store import fact_key, materialised_fact, table_key
+from orderscope.sources.store import fact_folder, fact_key, materialised_fact, table_key
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SPEC_DATES_PLATFORM_SCORE = FilterSpec(
     start_date="1996-01-01", end_date="1999-12-31", platform=("BUILDING", "MACHINERY"), score_min=2.0
 )
+SPEC_DATES_PLATFORM = FilterSpec(start_date="1996-01-01", end_date="1999-12-31", platform=("BUILDING", "MACHINERY"))
 SPEC_LATE = FilterSpec(delivery_status="atrasado", threshold_min=5.0)
 SPEC_CLASS_AREA = FilterSpec(
     classe_pedido=("1-URGENT", "2-HIGH"), macro_bairro=("NATION_1", "NATION_4", "NATION_7", "NATION_12", "NATION_18", "NATION_23")
@@ -81,6 +83,28 @@ def _page_meta(index: OrderIndex, **kw) -> DataFrame:
     return explore.indexed_page_meta(index, **kw).withColumn("columns", F.array_join("columns", ","))
 
 
+def _refreshed(fn, *args, **kw) -> Query:
+    """From the partial states of the stored star fact, brought up to date first."""
+    return lambda spark, sf_dir: fn(_partials(spark, sf_dir).states(), *args, **kw)
+
+
+def _partials(spark: SparkSession, sf_dir: str) -> PartialStore:
+    source = fact_folder(spark, sf_dir)
+    store = PartialStore(spark, source, source.replace("orderscope_facts", "orderscope_partials"))
+    store.refresh()
+    return store
+
+
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles estimated from stored sketches, for the late
+    nineties and two platforms, are within the stated rank error."""
+    platforms = ("BUILDING", "MACHINERY")
+    estimates = refresh.percentiles_by_macro(_partials(spark, sf_dir).sketches(), ops.PERCENTILE_PROBS, "1996-01-01", "1999-12-31", platforms)
+    spec = FilterSpec(start_date="1996-01-01", end_date="1999-12-31", end_inclusive_day=True, platform=platforms)
+    rows = apply_filters(materialised_fact(spark, sf_dir), spec, "ops")
+    return refresh.rank_check(estimates, rows, ops.PERCENTILE_PROBS)
+
+
 def _chunks(fn, spec: FilterSpec | None = None, empty: str | None = None, **kw) -> Query:
     """Chunked value lists with their runs as text; ``empty`` names an area
     whose delivery times are blanked."""
@@ -238,6 +262,34 @@ QUERIES: dict[str, Query] = {
     "satisfaction_timeseries_weekly": _on_star(satisfaction.timeseries, freq="W"),
     "satisfaction_by_platform": _on_star(satisfaction.by_platform),
     "satisfaction_by_platform_on_time": _on_star(satisfaction.by_platform, SPEC_ON_TIME_SCORE),
+    # from partial states: the rows of the datasets above from one scan of the fact
+    "refresh_overview_kpis": _refreshed(refresh.overview_kpis, cancel_match="p"),
+    "refresh_timeseries_orders": _refreshed(refresh.timeseries_orders, freq="D"),
+    "refresh_timeseries_orders_weekly_filtered": _refreshed(refresh.timeseries_orders, SPEC_DATES_PLATFORM, freq="W"),
+    "refresh_timeseries_revenue_with_orders": _refreshed(refresh.timeseries_revenue_with_orders, freq="M"),
+    "refresh_by_platform": _refreshed(refresh.by_platform),
+    "refresh_top_macro_by_orders": _refreshed(refresh.top_macro_by_orders, n=5),
+    "refresh_status_distribution": _refreshed(refresh.status_distribution),
+    "refresh_macro_avg_revenue": _refreshed(refresh.macro_avg_revenue),
+    "refresh_ops_kpis": _refreshed(refresh.ops_kpis),
+    "refresh_timeseries_delivery": _refreshed(refresh.timeseries_delivery, freq="D"),
+    "refresh_delay_heatmap_by_macro": _refreshed(refresh.delay_heatmap_by_macro),
+    "refresh_orders_by_hour": _refreshed(refresh.orders_by_hour),
+    "refresh_late_rate_by_macro": _refreshed(refresh.late_rate, "macro_bairro"),
+    "refresh_late_rate_by_platform": _refreshed(refresh.late_rate, "platform"),
+    "refresh_heatmap_hour_weekday": _refreshed(refresh.heatmap_hour_weekday),
+    "refresh_finance_kpis": _refreshed(refresh.finance_kpis),
+    "refresh_timeseries_revenue": _refreshed(refresh.timeseries_revenue, freq="D"),
+    "refresh_margin_by_platform": _refreshed(refresh.margin_by_platform),
+    "refresh_revenue_by_platform": _refreshed(refresh.revenue_by, "platform"),
+    "refresh_revenue_by_macro_top5_filtered": _refreshed(refresh.revenue_by, "macro_bairro", SPEC_CLASS_AREA, n=5),
+    "refresh_revenue_by_class": _refreshed(refresh.revenue_by_class),
+    "refresh_satisfaction_kpis": _refreshed(refresh.satisfaction_kpis),
+    "refresh_satisfaction_by_macro": _refreshed(refresh.satisfaction_by, "macro_bairro"),
+    "refresh_satisfaction_by_platform": _refreshed(refresh.satisfaction_by, "platform"),
+    "refresh_satisfaction_timeseries": _refreshed(refresh.satisfaction_timeseries, freq="M"),
+    "refresh_dashboard": _refreshed(refresh.dashboard),
+    "refresh_percentiles_kll": _sketched,
     # meta (no filters)
     "meta_platforms": _meta(meta.platforms),
     "meta_macros": _meta(meta.macros),
@@ -292,6 +344,7 @@ SUM_COLUMNS = {"receita_total", "receita_liquida", "receita_bruta", "gross", "ne
 SUM_COLUMNS_BY_QUERY = {
     "overview_macro_choropleth_total": {"value"},
     "finance_margin_by_platform": set(),
+    "refresh_margin_by_platform": set(),
 }
 
 

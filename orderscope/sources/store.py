@@ -87,6 +87,16 @@ def fact_key(spark: SparkSession, sf_dir: str, mapping: str = "star") -> str:
     return f"{mapping}-{_source_signature(spark, sf_dir, MAPPING_TABLES[base])}"
 
 
+def _facts(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderscope_facts"
+
+
+def fact_folder(spark: SparkSession, sf_dir: str, mapping: str = "star") -> str:
+    """Where a stored fact lies; it is built if need be."""
+    materialised_fact(spark, sf_dir, mapping)
+    return f"{_facts(spark)}/{fact_key(spark, sf_dir, mapping)}"
+
+
 def table_key(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Names the version of a driver table."""
     return f"{name}-{_source_signature(spark, sf_dir, (name,))}"
@@ -154,9 +164,7 @@ def materialised_fact(
         return blank_some(materialised_fact(spark, sf_dir, "star", partition_by_month, rebuild))
     if mapping not in BUILDERS:
         raise ValueError(f"unknown mapping {mapping!r}")
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = _source_signature(spark, sf_dir, MAPPING_TABLES[mapping])
-    path = f"{base}/orderscope_facts/{mapping}-{digest}{'-m' if partition_by_month else ''}"
+    path = f"{_facts(spark)}/{fact_key(spark, sf_dir, mapping)}{'-m' if partition_by_month else ''}"
     key = (spark.sparkContext.applicationId, path)
     with _LOCKS[path]:
         if rebuild:
