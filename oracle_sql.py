@@ -637,3 +637,24 @@ SELECT macro_bairro, count(*) AS count, true AS p50, true AS p75, true AS p90 FR
 WHERE macro_bairro IS NOT NULL AND delivery IS NOT NULL AND platform IN ('BUILDING', 'MACHINERY')
   AND dt >= TIMESTAMP '1996-01-01' AND dt < TIMESTAMP '2000-01-01' GROUP BY 1""",
 }
+SQL |= {
+    "ingest_csv": SQL["ingest_aliases"],
+    "ingest_json": SQL["ingest_aliases"],
+    "ingest_second_date": _series(RAW, "true", "M", _ORDERS),
+    "ingest_override": f"""{RAW}
+SELECT {rs('coalesce(sum(items), 0)')} AS receita_total, 0.0::DOUBLE AS receita_liquida, 1.0::DOUBLE AS ticket_medio, count(*) AS total_pedidos
+FROM fact""",
+    "ops_kpis_override": f"""{STAR}
+SELECT {rb('avg(prep)')} AS tempo_medio_preparo, {rb('avg(prep)')} AS tempo_medio_entrega,
+       {rb('avg(prep - eta)')} AS atraso_medio, {rb('avg(distance_km)')} AS distancia_media,
+       {rb('coalesce(100 * avg(CASE WHEN prep <= eta THEN 1 WHEN prep > eta THEN 0 END), 0)')} AS on_time_rate_pct
+FROM fact""",
+    "overview_top_macro_override": f"""{STAR}
+SELECT order_mode AS macro_bairro, count(*) AS orders FROM fact WHERE order_mode IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3""",
+    "finance_revenue_by_class_absent": SQL["finance_revenue_by_class"],
+    "finance_revenue_by_item_class_absent": SQL["finance_revenue_by_item_class"],
+    "satisfaction_scatter_pruned": f"""{STAR}
+SELECT order_id, strftime(dt, '%Y-%m-%d %H:%M:%S') AS date, coalesce(platform, 'nan') AS platform,
+       delivery AS delivery_minutes, score AS satisfacao, eta AS eta_minutes
+FROM fact WHERE {W_SAT} AND delivery IS NOT NULL""",
+}

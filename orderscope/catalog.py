@@ -12,6 +12,7 @@ query instead (the date bounds of their filter are pushed onto the raw
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,13 @@ from pyspark.sql import types as T
 from orderscope.operators.filters import FilterSpec, apply_filters
 from orderscope.operators.value_chunks import count_between, percentiles_from_chunks
 from orderscope.plans import explore, finance, meta, ops, overview, refresh, satisfaction
-from orderscope.sources.columns import canonicalise
+from orderscope.session import ensure_checkpoint_dir
+from orderscope.sources.columns import canonicalise, with_overrides
 from orderscope.sources.mapping import raw_orders, star_fact, table
 from orderscope.sources.order_index import OrderIndex, order_index
 from orderscope.sources.partials import PartialStore
-from orderscope.sources.readers import coercion_report
+from orderscope.sources.readers import coercion_report, read_orders
+from orderscope.sources.sinks import write_dataset
 from orderscope.sources.store import fact_folder, fact_key, materialised_fact, table_key
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
@@ -145,6 +148,17 @@ def _page_with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", F.lit(meta["total"]).cast("bigint").alias("total"), F.lit(meta["returned"]).cast("bigint").alias("returned"))
 
 
+def _stored_as(fmt: str) -> Query:
+    """The untyped export, written in a text format and ingested from there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderscope_ingest/{uuid.uuid4().hex}"
+        write_dataset(raw_orders(spark, sf_dir), path, fmt)
+        return read_orders(spark, path, fmt)
+
+    return run
+
+
 def _meta(fn) -> Query:
     return lambda spark, sf_dir: fn(materialised_fact(spark, sf_dir, "star"))
 
@@ -254,6 +268,28 @@ QUERIES: dict[str, Query] = {
     # ingest
     "ingest_aliases": _on_raw(lambda fact: fact),
     "ingest_coercion_report": lambda spark, sf_dir: coercion_report(raw_orders(spark, sf_dir)),
+    "ingest_csv": _stored_as("csv"),
+    "ingest_json": _stored_as("json"),
+    "ingest_second_date": lambda spark, sf_dir: overview.timeseries_orders(
+        canonicalise(raw_orders(spark, sf_dir).withColumnRenamed("data_pedido", "data")), freq="M"
+    ),
+    "ingest_override": lambda spark, sf_dir: finance.kpis(
+        canonicalise(raw_orders(spark, sf_dir), overrides={"total_brl": "qtd_itens", "num_itens": "no such column"})
+    ),
+    # another column for one dataset, and one that is absent
+    "ops_kpis_override": _on_star(
+        lambda fact, spec: ops.kpis(with_overrides(fact, {"actual_delivery_minutes": "tempo_preparo_minutos", "distance_km": "nope"}), spec)
+    ),
+    "overview_top_macro_override": _on_star(
+        lambda fact, spec: overview.top_macro_by_orders(with_overrides(fact, {"macro_bairro": "order_mode"}), spec, n=3)
+    ),
+    # a class column that the fact lacks: the order class, the item count
+    "finance_revenue_by_class_absent": _on_star(finance.revenue_by_class, class_col="no such column"),
+    "finance_revenue_by_item_class_absent": _on_star(finance.revenue_by_item_class, class_col="no such column"),
+    # optional columns that are empty throughout are left out
+    "satisfaction_scatter_pruned": _on_star(
+        lambda fact, spec: satisfaction.scatter_time_score(fact.drop("macro_bairro"), spec, prune_empty=True)
+    ),
     # satisfaction
     "satisfaction_kpis": _on_star(satisfaction.kpis),
     "satisfaction_by_macro": _on_star(satisfaction.by_macro),
@@ -359,6 +395,9 @@ ROW_LEVEL = {
     "explore_page_unindexed",
     "explore_page_raw",
     "ingest_aliases",
+    "ingest_csv",
+    "ingest_json",
+    "satisfaction_scatter_pruned",
     "ops_scatter_distance_delivery",
     "ops_boxplot_values_by_macro",
     "ops_delivery_values_by_weekday",

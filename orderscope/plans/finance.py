@@ -80,12 +80,12 @@ def margin_by_platform(fact: DataFrame, spec: FilterSpec | None = None) -> DataF
 
 
 def revenue_by_class(fact: DataFrame, spec: FilterSpec | None = None, class_col: str | None = None) -> DataFrame:
-    """class, revenue. The class is ``class_col`` if given (an error if the
-    fact lacks it; keep it at ingest with ``canonicalise(extra=[...])``),
-    else the order mode, else the platform."""
+    """class, revenue. The class is ``class_col`` if the fact has it (keep it
+    at ingest with ``canonicalise(extra=[...])``), else the order mode, else the
+    platform."""
     df = _filtered(fact, spec)
-    require(df, "total_brl", *([class_col] if class_col else []))
-    if class_col:
+    require(df, "total_brl")
+    if class_col and class_col in df.columns:
         key = class_col
     elif has(df, "order_mode"):
         key = "order_mode"
@@ -141,13 +141,13 @@ def revenue_by_item_class(
 ) -> DataFrame:
     """classe, revenue in the order individual, combo, família, others.
 
-    Without ``class_col`` the class comes from the item count. With it, the
-    raw values are summed first and then lower-cased and mapped through the
+    Without ``class_col``, or if the fact lacks it, the class comes from the
+    item count. With it, the raw values are summed first and then lower-cased and mapped through the
     synonym table, so two spellings of one class stay two rows (set
     ``merge_synonyms`` to map before summing)."""
     df = _filtered(fact, spec)
-    require(df, "total_brl", *([class_col] if class_col else []))
-    if class_col:
+    require(df, "total_brl")
+    if class_col and class_col in df.columns:
         raw = F.col(f"`{class_col}`")
         if merge_synonyms:
             g = df.where(raw.isNotNull()).groupBy(class_label(raw).alias("classe")).agg(
