@@ -658,3 +658,9 @@ SELECT order_id, strftime(dt, '%Y-%m-%d %H:%M:%S') AS date, coalesce(platform, '
        delivery AS delivery_minutes, score AS satisfacao, eta AS eta_minutes
 FROM fact WHERE {W_SAT} AND delivery IS NOT NULL""",
 }
+SQL |= {
+    "explore_top_values_pruned": f"""{STAR}
+SELECT coalesce(CAST(cliente_id AS VARCHAR), 'nan') AS value, count(*) AS count FROM fact GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+    "explore_top_values_pruned_events": """SELECT coalesce(CAST(user_id AS VARCHAR), 'nan') AS value, count(*) AS count
+FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
+}

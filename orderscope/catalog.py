@@ -368,6 +368,8 @@ QUERIES: dict[str, Query] = {
     "explore_date_summary": _explore(explore.feature_summary, column="order_datetime"),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
+    "explore_top_values_pruned": _explore(explore.top_values_pruned, column="cliente_id", n=20),
+    "explore_top_values_pruned_events": lambda spark, sf_dir: explore.top_values_pruned(table(spark, sf_dir, "events"), "user_id", 12),
     # streaming: the events table as a file stream, daily event-time windows,
     # 1 hour allowed lateness, append mode, plus the windows open at the end
     "stream_events_daily_windows": streamed_daily_orders,

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from orderscope.functions.expressions import check_java_regex, ci_regex, text_key
 from orderscope.operators.quantiles import group_quantiles
 from orderscope.operators.ranking import page as _page
+from orderscope.operators.top_counts import top_counts
 from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.columns import MissingColumnError, resolve_all
 from orderscope.sources.order_index import OrderIndex
@@ -278,6 +279,15 @@ def top_values(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
     )
 
 
+def top_values_pruned(df: DataFrame, column: str, n: int = TOP_VALUES) -> DataFrame:
+    """The same rows as ``top_values`` for a column with very many values: a
+    bounded summary leaves out values that can't be among the ``n`` before they are
+    shuffled (``operators/top_counts``). Two or three scans of the column."""
+    if column not in df.columns:
+        raise MissingColumnError(f"invalid column: {column}")
+    return top_counts(df.select(text_key(F.col(f"`{column}`")).alias("value")), n)
+
+
 def feature_summary(df: DataFrame, column: str) -> DataFrame:
     """Numeric columns → ``numeric_summary``; booleans → ``boolean_summary``;
     anything else (text, dates) → ``top_values``."""
