@@ -664,3 +664,8 @@ SELECT coalesce(CAST(cliente_id AS VARCHAR), 'nan') AS value, count(*) AS count
     "explore_top_values_pruned_events": """SELECT coalesce(CAST(user_id AS VARCHAR), 'nan') AS value, count(*) AS count
 FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""",
 }
+SQL |= {
+    f"explore_search_indexed{name}": f"""{STAR}
+SELECT count(*) AS orders, count(DISTINCT macro_bairro) AS areas FROM fact WHERE {_search(_TEXT_COLS, q)}"""
+    for name, q in (("", "nation_1[0-9]|machin"), ("_none", "no such text"), ("_all", "build|^f$"))
+}

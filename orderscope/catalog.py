@@ -30,6 +30,7 @@ from orderscope.sources.partials import PartialStore
 from orderscope.sources.readers import coercion_report, read_orders
 from orderscope.sources.sinks import write_dataset
 from orderscope.sources.store import fact_folder, fact_key, materialised_fact, table_key
+from orderscope.sources.text_index import TextIndex
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +109,16 @@ def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.rank_check(estimates, rows, ops.PERCENTILE_PROBS)
 
 
+def _searched(q: str) -> Query:
+    """How many orders, of how many areas, a search finds through the trigram index."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = TextIndex(materialised_fact(spark, sf_dir), fact_key(spark, sf_dir))
+        return explore.indexed_search(index, q).agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("macro_bairro").alias("areas"))
+
+    return run
+
+
 def _chunks(fn, spec: FilterSpec | None = None, empty: str | None = None, **kw) -> Query:
     """Chunked value lists with their runs as text; ``empty`` names an area
     whose delivery times are blanked."""
@@ -368,6 +379,10 @@ QUERIES: dict[str, Query] = {
     "explore_date_summary": _explore(explore.feature_summary, column="order_datetime"),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
+    # searches through the trigram index: some files, no files, all files
+    "explore_search_indexed": _searched("nation_1[0-9]|machin"),
+    "explore_search_indexed_none": _searched("no such text"),
+    "explore_search_indexed_all": _searched("build|^f$"),
     "explore_top_values_pruned": _explore(explore.top_values_pruned, column="cliente_id", n=20),
     "explore_top_values_pruned_events": lambda spark, sf_dir: explore.top_values_pruned(table(spark, sf_dir, "events"), "user_id", 12),
     # streaming: the events table as a file stream, daily event-time windows,

@@ -22,6 +22,7 @@ from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.columns import MissingColumnError, resolve_all
 from orderscope.sources.order_index import OrderIndex
 from orderscope.sources.order_index import ordering as page_order
+from orderscope.sources.text_index import TextIndex
 
 TOP_VALUES = 20
 PLACE = ("__place_file", "__place_row")
@@ -74,6 +75,13 @@ def count(df: DataFrame, q: str | None = None) -> DataFrame:
     return search(df, q).agg(F.count(F.lit(1)).alias("count"))
 
 
+def indexed_search(index: TextIndex, q: str) -> DataFrame:
+    """``search`` of a table with a trigram index: files that can't hold a match
+    are not opened."""
+    check_java_regex(index.spark, q)
+    return search(index.candidates(q), q)
+
+
 def page(
     df: DataFrame,
     q: str | None = None,
