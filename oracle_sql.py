@@ -669,3 +669,19 @@ SQL |= {
 SELECT count(*) AS orders, count(DISTINCT macro_bairro) AS areas FROM fact WHERE {_search(_TEXT_COLS, q)}"""
     for name, q in (("", "nation_1[0-9]|machin"), ("_none", "no such text"), ("_all", "build|^f$"))
 }
+# Spark's type names are stated; counts and bounds are computed.
+_ORDERS_TYPES = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+SQL |= {
+    "explore_table_summary": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null, count(*) AS rows,
+       CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM orders"""
+        for c, t in _ORDERS_TYPES.items()
+    ),
+    "explore_table_summary_events": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS non_null, count(*) AS rows FROM events"""
+        for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+    ),
+}

@@ -24,6 +24,7 @@ from orderscope.operators.value_chunks import count_between, percentiles_from_ch
 from orderscope.plans import explore, finance, meta, ops, overview, refresh, satisfaction
 from orderscope.session import ensure_checkpoint_dir
 from orderscope.sources.columns import canonicalise, with_overrides
+from orderscope.sources.footers import table_summary
 from orderscope.sources.mapping import raw_orders, star_fact, table
 from orderscope.sources.order_index import OrderIndex, order_index
 from orderscope.sources.partials import PartialStore
@@ -379,6 +380,9 @@ QUERIES: dict[str, Query] = {
     "explore_date_summary": _explore(explore.feature_summary, column="order_datetime"),
     "explore_numeric_summary": _explore(explore.numeric_summary, column="total_brl"),
     "explore_top_values": _explore(explore.top_values, column="macro_bairro"),
+    # from the file footers; the columns they can't answer from a scan
+    "explore_table_summary": lambda spark, sf_dir: table_summary(spark, f"{sf_dir}/orders.parquet"),
+    "explore_table_summary_events": lambda spark, sf_dir: table_summary(spark, f"{sf_dir}/events.parquet").drop("dtype", "least", "greatest"),
     # searches through the trigram index: some files, no files, all files
     "explore_search_indexed": _searched("nation_1[0-9]|machin"),
     "explore_search_indexed_none": _searched("no such text"),
