@@ -685,3 +685,9 @@ SQL |= {
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
     ),
 }
+SQL["stream_events_corrections"] = f"""
+WITH o AS (
+  SELECT CASE WHEN event_id % 20 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END AS ts,
+         CASE WHEN event_id % 10 = 0 THEN value + 5.25 ELSE value END AS v
+  FROM events)
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, count(*) AS orders, {rb('avg(v)')} AS avg_value FROM o GROUP BY 1"""

@@ -32,6 +32,7 @@ from orderscope.sources.readers import coercion_report, read_orders
 from orderscope.sources.sinks import write_dataset
 from orderscope.sources.store import fact_folder, fact_key, materialised_fact, table_key
 from orderscope.sources.text_index import TextIndex
+from orderscope.streaming.corrections import streamed_corrections
 from orderscope.streaming.windows import streamed_daily_orders, streamed_hourly_orders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,6 +394,8 @@ QUERIES: dict[str, Query] = {
     # 1 hour allowed lateness, append mode, plus the windows open at the end
     "stream_events_daily_windows": streamed_daily_orders,
     "stream_events_hour_histogram": streamed_hourly_orders,
+    # orders that come late and corrected: state per order, a changelog, merged
+    "stream_events_corrections": streamed_corrections,
 }
 
 # Output columns that are sums of money; their exact values
