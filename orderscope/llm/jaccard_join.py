@@ -37,7 +37,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderscope.llm.common import LOC, connected_components, located, materialise, ship_package, text_of, with_locator
@@ -151,63 +151,71 @@ def _path(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def _sizes(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Buckets of two sets or more, with two digests of who is in them."""
-    counted = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("sid", F.lit(2))).alias("x2")
-    )
-    return materialise(spark, counted.where("n > 1"), "sizes")
+def _members(*extra: Column) -> list[Column]:
+    """How many sets a bucket has, and a digest of who is in it."""
+    who = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in (1, 2)]
+    return [F.count(F.lit(1)).alias("n"), F.xxhash64(F.count(F.lit(1)), *who).alias("same"), *extra]
+
+
+def _one_each(found: DataFrame) -> DataFrame:
+    """Mark one of the buckets with the same members: runs often find the same
+    group again, and one comparison of it is enough."""
+    return found.withColumn("one", F.col("path") == F.min("path").over(Window.partitionBy("same")))
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """Rows of ``(path, n, sid, sig)`` sent to the children of their bucket: one
-    token always, each other with a chance that makes 1/threshold in all."""
+    """Rows of ``(path, n, same, sid, sig)`` sent to the children of their bucket:
+    one token always, each other with a chance that makes 1/threshold in all."""
     extra = (1 / float(THRESHOLD) - 1) / (COORDS - 1)
     first = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(COORDS)).cast("int")
     sampled = F.filter(
         F.sequence(F.lit(0), F.lit(COORDS - 1)),
         lambda i: (i == F.col("first")) | (F.pmod(F.xxhash64("path", i), F.lit(1 << 20)) < extra * (1 << 20)),
     )
-    rows = rows.withColumn("first", first).withColumn("coord", F.explode(sampled))
-    return rows.select("path", "n", "sid", "coord", F.get("sig", F.col("coord")).alias("value"))
+    rows = rows.withColumn("first", first).withColumn("coords", sampled).withColumn("coord", F.explode("coords"))
+    return rows.select("path", "n", "same", F.size("coords").alias("coords"), "sid", "coord", F.get("sig", F.col("coord")).alias("value"))
 
 
 def _descend(spark: SparkSession, sets: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """``(small, alike, split)`` of these runs, split until nothing is left to
     split: the two kinds of ``buckets``, and per depth (from one split on) the
-    ``sid`` of the sets in buckets that were split again."""
+    ``sid`` of the sets in buckets that were split again. A depth writes the
+    buckets' rows, their children and the children's sizes, which are the next
+    depth's buckets."""
     chosen = []
     for run in runs:
         more = np.random.default_rng([21, run]).random(COORDS) < (1 / float(THRESHOLD) - 1) / (COORDS - 1)
         chosen += [(run, c) for c in range(COORDS) if c == run % COORDS or more[c]]
     paths = F.array(*[_path(F.lit(run), F.lit(c), F.get("sig", F.lit(c))) for run, c in chosen])
     rows = sets.select("sid", F.explode(paths).alias("path"))
+    sizes = materialise(spark, _one_each(rows.groupBy("path").agg(*_members()).where("n > 1")), "sizes")
     small, alike, split = [], [], []
     for depth in range(DEPTH):
-        sizes = _sizes(spark, rows)
-        # Runs often find the same group again: one bucket for each membership is
-        # compared. Those that are split stay apart, as seeds of their own.
-        kept = sizes.where(F.col("n") <= SMALL).groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
-        small.append(materialise(spark, rows.join(kept.select("path"), "path").select("path", "sid"), "small"))
-        large = sizes.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        held = materialise(spark, rows.join(sizes, "path").select("path", "n", "same", "one", "sid"), "held")
+        # Buckets that are split stay apart, as seeds of their own.
+        small.append(held.where((F.col("n") <= SMALL) & F.col("one")).select("path", "sid"))
+        if sizes.where(F.col("n") > SMALL).isEmpty():
             break
-        inside = rows.join(large.select("path", "n"), "path")
+        inside = held.where(F.col("n") > SMALL)
         if depth == DEPTH - 1:
-            one = large.groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
-            alike.append(materialise(spark, inside.join(one.select("path"), "path", "left_semi").select("path", "sid"), "alike"))
+            alike.append(inside.where("one").select("path", "sid"))
             break
         down = materialise(spark, _children(inside.join(sets.select("sid", "sig"), "sid")), "down")
-        child = down.groupBy("path", "n", "coord", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        agree = child.groupBy("path", "n").agg((F.sum(F.col("c") * F.col("c")) / F.count_distinct("coord")).alias("s"))
+        child = down.groupBy(F.col("path").alias("above"), "coord", "value").agg(
+            *_members(*[F.max(c).alias(f"above_{c}") for c in ("n", "same", "coords")])
+        )
+        child = materialise(spark, child.withColumn("path", _path("above", "coord", "value")), "children")
         # Under threshold^2, splitting into 1/threshold children saves work.
-        close = materialise(spark, agree.where(F.col("s") / (F.col("n") * F.col("n")) >= float(THRESHOLD) ** 2).select("path"), "close")
-        one = large.join(close, "path").groupBy("n", "x1", "x2").agg(F.min("path").alias("path"))
-        alike.append(materialise(spark, inside.join(one.select("path"), "path", "left_semi").select("path", "sid"), "alike"))
-        split.append(down.join(close, "path", "left_anti").select("sid").distinct())
+        pairs = F.sum(F.col("n").cast("double") * F.col("n")) / F.max("above_coords")
+        agree = child.groupBy(F.col("above").alias("path")).agg(pairs.alias("s"), F.max("above_n").alias("n"), F.max("above_same").alias("same"))
+        close = agree.where(F.col("s") / (F.col("n").cast("double") * F.col("n")) >= float(THRESHOLD) ** 2)
+        close = materialise(spark, _one_each(close.select("path", "same")), "close")
+        alike.append(inside.join(close.where("one").select("path"), "path", "left_semi").select("path", "sid"))
+        split.append(down.join(close.select("path"), "path", "left_anti").select("sid").distinct())
         # A child with one set holds no pair.
-        alive = child.where("c > 1").join(close, "path", "left_anti").select("path", "coord", "value")
-        rows = down.join(alive, ["path", "coord", "value"], "left_semi").select(_path("path", "coord", "value").alias("path"), "sid")
+        alive = child.where("n > 1").join(close.select(F.col("path").alias("above")), "above", "left_anti")
+        sizes = materialise(spark, _one_each(alive.select("path", "n", "same")), "sizes")
+        rows = down.select(_path("path", "coord", "value").alias("path"), "sid")
     return small, alike, split
 
 
@@ -229,7 +237,8 @@ def buckets(spark: SparkSession, sets: DataFrame, recall: float) -> tuple[DataFr
         pool = materialise(spark, pool, "pool")
         if pool.isEmpty():
             break
-    return _union(small), _union(alike) if alike else _union(small).limit(0)
+    alike = materialise(spark, _union(alike), "alike") if alike else _union(small).limit(0)
+    return _union(small), alike
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
