@@ -151,10 +151,10 @@ def _path(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def _members(*extra: Column) -> list[Column]:
+def _members() -> list[Column]:
     """How many sets a bucket has, and a digest of who is in it."""
     who = [F.bit_xor(F.xxhash64("sid", F.lit(i))) for i in (1, 2)]
-    return [F.count(F.lit(1)).alias("n"), F.xxhash64(F.count(F.lit(1)), *who).alias("same"), *extra]
+    return [F.count(F.lit(1)).alias("n"), F.xxhash64(F.count(F.lit(1)), *who).alias("same")]
 
 
 def _one_each(found: DataFrame) -> DataFrame:
@@ -163,25 +163,28 @@ def _one_each(found: DataFrame) -> DataFrame:
     return found.withColumn("one", F.col("path") == F.min("path").over(Window.partitionBy("same")))
 
 
+def _first() -> Column:
+    """The token that a bucket is always split on."""
+    return F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(COORDS)).cast("int")
+
+
 def _children(rows: DataFrame) -> DataFrame:
-    """Rows of ``(path, n, same, sid, sig)`` sent to the children of their bucket:
-    one token always, each other with a chance that makes 1/threshold in all."""
+    """Rows of ``(path, sid, sig)`` sent to the children of their bucket: one
+    token always, each other with a chance that makes 1/threshold in all."""
     extra = (1 / float(THRESHOLD) - 1) / (COORDS - 1)
-    first = F.pmod(F.xxhash64("path", F.lit(-1)), F.lit(COORDS)).cast("int")
     sampled = F.filter(
         F.sequence(F.lit(0), F.lit(COORDS - 1)),
         lambda i: (i == F.col("first")) | (F.pmod(F.xxhash64("path", i), F.lit(1 << 20)) < extra * (1 << 20)),
     )
-    rows = rows.withColumn("first", first).withColumn("coords", sampled).withColumn("coord", F.explode("coords"))
-    return rows.select("path", "n", "same", F.size("coords").alias("coords"), "sid", "coord", F.get("sig", F.col("coord")).alias("value"))
+    rows = rows.withColumn("first", _first()).withColumn("coord", F.explode(sampled))
+    return rows.select("sid", _path("path", "coord", F.get("sig", F.col("coord"))).alias("path"))
 
 
 def _descend(spark: SparkSession, sets: DataFrame, runs: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """``(small, alike, split)`` of these runs, split until nothing is left to
     split: the two kinds of ``buckets``, and per depth (from one split on) the
-    ``sid`` of the sets in buckets that were split again. A depth writes the
-    buckets' rows, their children and the children's sizes, which are the next
-    depth's buckets."""
+    ``sid`` of the sets in buckets that were split again. Buckets that agree
+    throughout are found before any of their sets is sent on."""
     chosen = []
     for run in runs:
         more = np.random.default_rng([21, run]).random(COORDS) < (1 / float(THRESHOLD) - 1) / (COORDS - 1)
@@ -200,22 +203,19 @@ def _descend(spark: SparkSession, sets: DataFrame, runs: range) -> tuple[list[Da
         if depth == DEPTH - 1:
             alike.append(inside.where("one").select("path", "sid"))
             break
-        down = materialise(spark, _children(inside.join(sets.select("sid", "sig"), "sid")), "down")
-        child = down.groupBy(F.col("path").alias("above"), "coord", "value").agg(
-            *_members(*[F.max(c).alias(f"above_{c}") for c in ("n", "same", "coords")])
-        )
-        child = materialise(spark, child.withColumn("path", _path("above", "coord", "value")), "children")
-        # Under threshold^2, splitting into 1/threshold children saves work.
-        pairs = F.sum(F.col("n").cast("double") * F.col("n")) / F.max("above_coords")
-        agree = child.groupBy(F.col("above").alias("path")).agg(pairs.alias("s"), F.max("above_n").alias("n"), F.max("above_same").alias("same"))
+        # The share of pairs that agree on that token. From threshold^2 on,
+        # splitting into 1/threshold children would save no work.
+        signed = inside.join(sets.select("sid", "sig"), "sid")
+        shared = signed.groupBy("path", "n", "same", F.get("sig", _first()).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        agree = shared.groupBy("path", "n", "same").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
         close = agree.where(F.col("s") / (F.col("n").cast("double") * F.col("n")) >= float(THRESHOLD) ** 2)
         close = materialise(spark, _one_each(close.select("path", "same")), "close")
         alike.append(inside.join(close.where("one").select("path"), "path", "left_semi").select("path", "sid"))
-        split.append(down.join(close.select("path"), "path", "left_anti").select("sid").distinct())
+        apart = inside.join(close.select("path"), "path", "left_anti").select("path", "sid")
+        split.append(apart.select("sid").distinct())
+        rows = materialise(spark, _children(apart.join(sets.select("sid", "sig"), "sid")), "down")
         # A child with one set holds no pair.
-        alive = child.where("n > 1").join(close.select(F.col("path").alias("above")), "above", "left_anti")
-        sizes = materialise(spark, _one_each(alive.select("path", "n", "same")), "sizes")
-        rows = down.select(_path("path", "coord", "value").alias("path"), "sid")
+        sizes = materialise(spark, _one_each(rows.groupBy("path").agg(*_members()).where("n > 1")), "sizes")
     return small, alike, split
 
 
