@@ -145,8 +145,8 @@ def _build(spark: SparkSession, df: DataFrame, rows: int, path: str, partition_b
     _publish(spark, tmp, path)
 
 
-# (application, path) -> stored table; its scan keeps the file listing.
-_RESOLVED: dict[tuple[str, str], DataFrame] = {}
+# (application, session, path) -> stored table; its scan keeps the file listing.
+_RESOLVED: dict[tuple[str, str, str], DataFrame] = {}
 _LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
@@ -165,7 +165,7 @@ def materialised_fact(
     if mapping not in BUILDERS:
         raise ValueError(f"unknown mapping {mapping!r}")
     path = f"{_facts(spark)}/{fact_key(spark, sf_dir, mapping)}{'-m' if partition_by_month else ''}"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), path)
     with _LOCKS[path]:
         if rebuild:
             path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
