@@ -96,7 +96,7 @@ def _refreshed(fn, *args, **kw) -> Query:
 
 def _partials(spark: SparkSession, sf_dir: str) -> PartialStore:
     source = fact_folder(spark, sf_dir)
-    store = PartialStore(spark, source, source.replace("orderscope_facts", "orderscope_partials"))
+    store = PartialStore(spark, source, source.replace("/orderscope_facts/", "/orderscope_partials/"))
     store.refresh()
     return store
 
@@ -115,7 +115,8 @@ def _searched(q: str) -> Query:
     """How many orders, of how many areas, a search finds through the trigram index."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = TextIndex(materialised_fact(spark, sf_dir), fact_key(spark, sf_dir))
+        key = fact_key(spark, sf_dir)
+        index = TextIndex(materialised_fact(spark, sf_dir, key=key), key)
         return explore.indexed_search(index, q).agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("macro_bairro").alias("areas"))
 
     return run
@@ -141,8 +142,8 @@ def _indexed(fn, sort: str, order: int, slices: int | None = None, **kw) -> Quer
     """Over the order index of the star fact for a sort column."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fact = materialised_fact(spark, sf_dir, "star")
-        return fn(order_index(fact, fact_key(spark, sf_dir), sort, order, slices=slices), **kw)
+        key = fact_key(spark, sf_dir)
+        return fn(order_index(materialised_fact(spark, sf_dir, key=key), key, sort, order, slices=slices), **kw)
 
     return run
 

@@ -87,14 +87,19 @@ def fact_key(spark: SparkSession, sf_dir: str, mapping: str = "star") -> str:
     return f"{mapping}-{_source_signature(spark, sf_dir, MAPPING_TABLES[base])}"
 
 
+def _known(spark: SparkSession, path: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), path
+
+
 def _facts(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/orderscope_facts"
 
 
 def fact_folder(spark: SparkSession, sf_dir: str, mapping: str = "star") -> str:
     """Where a stored fact lies; it is built if need be."""
-    materialised_fact(spark, sf_dir, mapping)
-    return f"{_facts(spark)}/{fact_key(spark, sf_dir, mapping)}"
+    key = fact_key(spark, sf_dir, mapping)
+    materialised_fact(spark, sf_dir, mapping, key=key)
+    return _PATHS[_known(spark, f"{_facts(spark)}/{key}")]
 
 
 def table_key(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -147,6 +152,7 @@ def _build(spark: SparkSession, df: DataFrame, rows: int, path: str, partition_b
 
 # (application, session, path) -> stored table; its scan keeps the file listing.
 _RESOLVED: dict[tuple[str, str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str, str], str] = {}  # where it lies (a rebuilt copy has a folder of its own)
 _LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
 
@@ -156,21 +162,23 @@ def materialised_fact(
     mapping: str = "star",
     partition_by_month: bool = False,
     rebuild: bool = False,
+    key: str | None = None,
 ) -> DataFrame:
     """The canonical fact for ``mapping`` over ``sf_dir``, built on first use
     and again whenever a source file changes. ``rebuild`` writes a fresh copy
-    even if one is committed (used to time the build)."""
+    even if one is committed (used to time the build). ``key`` (``fact_key``)
+    pins the version: the source files aren't listed again."""
     if mapping == "star_nulls":
-        return blank_some(materialised_fact(spark, sf_dir, "star", partition_by_month, rebuild))
+        return blank_some(materialised_fact(spark, sf_dir, "star", partition_by_month, rebuild, key))
     if mapping not in BUILDERS:
         raise ValueError(f"unknown mapping {mapping!r}")
-    path = f"{_facts(spark)}/{fact_key(spark, sf_dir, mapping)}{'-m' if partition_by_month else ''}"
-    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), path)
+    path = f"{_facts(spark)}/{key or fact_key(spark, sf_dir, mapping)}{'-m' if partition_by_month else ''}"
+    known = _known(spark, path)
     with _LOCKS[path]:
         if rebuild:
             path = f"{path}-rebuilt-{uuid.uuid4().hex[:12]}"
-        elif key in _RESOLVED:
-            return _RESOLVED[key]
+        elif known in _RESOLVED:
+            return _RESOLVED[known]
         if not _committed(spark, path):
             if partition_by_month:
                 source = materialised_fact(spark, sf_dir, mapping)
@@ -178,5 +186,5 @@ def materialised_fact(
                 source = BUILDERS[mapping](spark, sf_dir)
             rows = table(spark, sf_dir, MAPPING_TABLES[mapping][0]).count()  # from the file footers
             _build(spark, source, rows, path, partition_by_month)
-        _RESOLVED[key] = spark.read.parquet(path)
-        return _RESOLVED[key]
+        _RESOLVED[known], _PATHS[known] = spark.read.parquet(path), path
+        return _RESOLVED[known]
