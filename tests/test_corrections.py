@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from orderscope.streaming.corrections import corrected_windows, corrections_sess
 from orderscope.streaming.windows import run_to_table
 
 SCHEMA = "order_id bigint, order_datetime timestamp_ntz, actual_delivery_minutes double, version int"
+RUN = uuid.uuid4().hex[:12]  # streams of an earlier test run lie in the same shared folder
 DAY0 = dt.datetime(2024, 3, 1)
 
 
@@ -47,11 +49,11 @@ def test_out_of_order_corrections_and_restarts_equal_batch(spark, tmp_path):
     for at in range(0, len(made), 200):  # each delivery is a run of its own: stopped and started again
         deliver(spark, folder, made[at : at + 200])
         stream = session.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-        out, _ = run_to_table(corrected_windows(stream), "corrections-test", tmp_path.name)
+        out, _ = run_to_table(corrected_windows(stream), "corrections-test", RUN)
         assert now(spark, out) == batch(made[: at + 200])
     stream = session.readStream.schema(SCHEMA).parquet(folder)
     changes = spark.read.parquet(out).count()
-    run_to_table(corrected_windows(stream), "corrections-test", tmp_path.name)
+    run_to_table(corrected_windows(stream), "corrections-test", RUN)
     assert spark.read.parquet(out).count() == changes  # nothing new: no change
 
 
@@ -60,7 +62,7 @@ def test_state_is_freed_after_the_retention(spark, tmp_path):
 
     def run():
         stream = session.readStream.schema(SCHEMA).parquet(folder)
-        out, query = run_to_table(corrected_windows(stream, retention="2 days"), "corrections-old", tmp_path.name)
+        out, query = run_to_table(corrected_windows(stream, retention="2 days"), "corrections-old", RUN)
         return out, query
 
     deliver(spark, folder, [(1, DAY0, 1.0, 0), (2, DAY0, 2.0, 0)])

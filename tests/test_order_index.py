@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from orderscope.plans import explore
 from orderscope.sources.order_index import order_index
 
 
+RUN = uuid.uuid4().hex  # indexes of an earlier test run lie in the same shared folder
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
@@ -32,7 +36,7 @@ def in_order(rows, order):
 @pytest.mark.parametrize("order", [1, -1])
 @pytest.mark.parametrize("slices", [1, 7])
 def test_pages_equal_a_full_sort(table, rows, order, slices):
-    index = order_index(table, f"t{order}{slices}", "total", order, slices=slices)
+    index = order_index(table, f"{RUN}t{order}{slices}", "total", order, slices=slices)
     want = in_order(rows, order)
     for offset, limit in ((0, 5), (0, 5000), (700, 900), (2400, 200), (2499, 1), (2500, 10), (99_999, 10)):
         assert [tuple(r) for r in index.page(offset, limit).collect()] == want[offset : offset + limit]
@@ -44,20 +48,20 @@ def test_pages_equal_a_full_sort(table, rows, order, slices):
 
 
 def test_a_page_reads_its_slices_alone(table):
-    index = order_index(table, "few", "total", 1, slices=10)
+    index = order_index(table, f"{RUN}few", "total", 1, slices=10)
     page = index.page(1200, 50)
     files = {f.split("slice=")[1].split("/")[0] for f in page.inputFiles()}
     assert 1 <= len(files) <= 2
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Join" not in plan and "PushedFilters: [Or" in plan or "PushedFilters: [And" in plan or "_pos" in plan
     # A second index of the same table version is the first one.
-    assert order_index(table, "few", "total", 1, slices=10).path == index.path
-    assert order_index(table, "fresh", "total", 1, slices=10).path != index.path
+    assert order_index(table, f"{RUN}few", "total", 1, slices=10).path == index.path
+    assert order_index(table, f"{RUN}fresh", "total", 1, slices=10).path != index.path
 
 
 @pytest.mark.parametrize("order", [1, -1])
 def test_rank_of_a_value(table, rows, order):
-    index = order_index(table, f"rank{order}", "total", order, slices=9)
+    index = order_index(table, f"{RUN}rank{order}", "total", order, slices=9)
     for value in (-1.0, 1.5, 2.0, 7.25, 22.5, 99.0):
         before = sum(r[1] is not None and (r[1] < value if order == 1 else r[1] > value) for r in rows)
         assert index.rank_of(value) == before
@@ -72,10 +76,10 @@ def test_observed_page_and_metadata(table, rows):
 
 
 def test_index_of_nothing_and_bad_arguments(spark, table):
-    empty = order_index(table.limit(0), "none", "total", 1)
+    empty = order_index(table.limit(0), f"{RUN}none", "total", 1)
     assert empty.page(0, 10).collect() == [] and empty.total() == 0 and empty.page(0, 10).columns == table.columns
     assert explore.indexed_page(empty, "b").collect() == []
-    index = order_index(table, "few", "total", 1, slices=10)
+    index = order_index(table, f"{RUN}few", "total", 1, slices=10)
     for bad in (dict(offset=-1, limit=5), dict(offset=0, limit=0), dict(offset=0, limit=5001)):
         with pytest.raises(ValueError):
             index.page(**bad)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from orderscope.plans import explore
 from orderscope.sources.text_index import FOLD_FROM, FOLD_TO, TextIndex, files_of, required_trigrams
 
+RUN = uuid.uuid4().hex  # indexes of an earlier test run lie in the same shared folder
 CASES = {
     "abc": [{"abc"}], "ABCd": [{"abc", "bcd"}], "ab": None, "": None, "abc|xy": None, "abc|xyz": [{"abc"}, {"xyz"}],
     "abcd?": [{"abc"}], "abc?": None, "abcx*def": [{"abc", "def"}], "abc+def": [{"abc", "def"}], "abc{0,2}defg": [{"def", "efg"}],
@@ -58,7 +60,7 @@ PATTERNS = ["p3q", "P5Q$", "p1q|p6q", "kelvin", "STRASSE|stra", "caf.", "nan", "
 
 @pytest.mark.parametrize("pattern", PATTERNS)
 def test_same_rows_from_fewer_files(table, pattern):
-    index = TextIndex(table, "words")
+    index = TextIndex(table, f"{RUN}words")
     some, every = explore.indexed_search(index, pattern), explore.search(table, pattern)
     assert sorted(map(str, some.collect())) == sorted(map(str, every.collect()))
     if pattern in ("p3q", "P5Q$", "kelvin", "zzz"):
@@ -69,7 +71,7 @@ def test_same_rows_from_fewer_files(table, pattern):
 
 def test_bad_patterns_and_tables_without_text(spark, table, tmp_path):
     with pytest.raises(ValueError):
-        explore.indexed_search(TextIndex(table, "words"), "(")
+        explore.indexed_search(TextIndex(table, f"{RUN}words"), "(")
     spark.range(5).write.parquet(str(tmp_path / "n"))
     numbers = spark.read.parquet(str(tmp_path / "n"))
-    assert explore.indexed_search(TextIndex(numbers, "numbers"), "abc").count() == 0
+    assert explore.indexed_search(TextIndex(numbers, f"{RUN}numbers"), "abc").count() == 0
