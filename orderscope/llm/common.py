@@ -77,17 +77,31 @@ def located(spark: SparkSession, docs: DataFrame, columns: list[str]) -> tuple[D
     The locator of a row is the 64-bit hash of its file's path and its row
     number in that file: stable across scans, unique even for repeated rows
     and null ids. Input that is not a plain file scan is written to the shared
-    folder first and the returned ``docs`` is that copy."""
+    folder first and the returned ``docs`` is that copy. Own columns of ``docs``
+    named like the locator don't get in its way."""
     try:
-        return docs, with_locator(docs).select(*columns, *LOC)
+        return docs, docs.select(*columns, *_locator(docs))
     except AnalysisException:
         docs = materialise(spark, docs, "input")
-        return docs, with_locator(docs).select(*columns, *LOC)
+        return docs, docs.select(*columns, *_locator(docs))
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
+def _locator(docs: DataFrame) -> list[Column]:
     file = docs.metadataColumn("_metadata")
-    return docs.select("*", F.xxhash64(file["file_path"]).alias(LOC[0]), file["row_index"].alias(LOC[1]))
+    return [F.xxhash64(file["file_path"]).alias(LOC[0]), file["row_index"].alias(LOC[1])]
+
+
+def located_files(docs: DataFrame) -> DataFrame:
+    """``(file hash of the locator, path)`` of the files that ``docs`` reads."""
+    path = docs.metadataColumn("_metadata")["file_path"]
+    return docs.select(F.xxhash64(path).alias(LOC[0]), path.alias("path")).distinct()
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (a file scan) without the rows at the locators ``gone``. The row
+    travels as one struct, so its columns may have any names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_locator(docs))
+    return whole.join(gone, list(LOC), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,23 +5,33 @@ read as a stream. The stream keeps, per digest and without expiry, the row that
 stays so far (its id and its content locator) and the number of rows seen, in
 the RocksDB state store; the state is checkpointed to the shared folder, so a
 lost executor or a restart resumes from it, and later arrivals can be ingested
-into the same ledger. A digest seen more than once is a hit; for hits the full
-normalised bytes are compared, and rows whose bytes differ despite an equal
-digest are separated again.
+into the same ledger. A digest seen more than once is a hit. For hits the full
+normalised bytes are compared: those of this ingest with one another, and with
+the bytes that earlier ingests saw under the digest, which are read again at
+their locator (the ledger keeps the path behind each file hash). Rows whose
+bytes differ despite an equal digest are separated again, and the ledger
+remembers such digests.
 
 Defined results: null text counts as empty; a row with a null id takes part
 and loses ties to any id; repeated rows are rows of their own (only one is
 kept); an empty table gives an empty result; other columns are not touched.
+A later ingest decides anew on all rows of the ledger. A row is its place in a
+file: ingesting a file again adds nothing, whereas input that is no plain file
+scan is copied first, so its rows count as new at each ingest. Files must stay
+readable as long as the ledger takes arrivals; a row that was rewritten in
+place is a new row beside the earlier one, whose bytes can't be compared any
+more, so its digest stands for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import LOC, located, materialise, scratch_session, shared_folder, text_of, with_locator
+from orderscope.llm.common import LOC, located, located_files, materialise, scratch_session, shared_folder, text_of, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 # Marks of hit digests that the byte check's prefilter broadcasts at most.
@@ -42,6 +52,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.arrivals, self.state = f"{folder}/arrivals", f"{folder}/state"
+        self.files, self.clashes = f"{folder}/files", f"{folder}/clashes"
         self.spark = scratch_session(
             spark,
             **{
@@ -53,11 +64,49 @@ class Ledger:
             },
         )
 
+    def _stored(self, path: str) -> DataFrame | None:
+        """A table of the ledger as it is now; None before it is first written."""
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def arrived(self) -> DataFrame | None:
+        return self._stored(self.arrivals)
+
+    def note_files(self, docs: DataFrame, text_col: str) -> None:
+        """Remember the paths behind the locators of ``docs``."""
+        files = located_files(docs).withColumn("text_col", F.lit(text_col))
+        files.write.mode("append").parquet(self.files)
+
+    def content(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``norm``, the normalised text at their locator. Only the
+        paths of the files that hold them reach the driver, which lists the
+        files of a scan anyway."""
+        wanted = self._stored(self.files).join(rows.select(LOC[0]).distinct(), LOC[0], "left_semi")
+        paths: dict[str, list[str]] = {}
+        for file in wanted.select("text_col", "path").distinct().collect():
+            paths.setdefault(file["text_col"], []).append(file["path"])
+        text = self.spark.createDataFrame([], f"norm string, {LOC[0]} long, {LOC[1]} long")
+        for column, some in paths.items():
+            scan = self.spark.read.schema(f"`{column}` string").parquet(*some)
+            text = text.unionByName(located(self.spark, scan, [normalised(f"`{column}`").alias("norm")])[1])
+        return rows.join(text, list(LOC))
+
+    def known_clashes(self) -> DataFrame | None:
+        return self._stored(self.clashes)
+
     def ingest(self, rows: DataFrame) -> None:
-        """Append arrivals and run the stream until it has taken all of them."""
+        """Append the arrivals that are new and run the stream until it has
+        taken all of them."""
+        earlier, schema = self.arrived(), rows.schema
+        if earlier is not None:
+            rows = rows.join(earlier.select("digest", *LOC), ["digest", *LOC], "left_anti").select(*schema.names)
         rows.write.mode("append").option("compression", "zstd").parquet(self.arrivals)
         stream = (
-            self.spark.readStream.schema(rows.schema)
+            self.spark.readStream.schema(schema)
             .parquet(self.arrivals)
             .groupBy("digest")
             .agg(
@@ -91,19 +140,20 @@ def decisions(
     """``(docs, rows)``: one row per document with ``id, digest, keep_id,
     group_size, kept`` and its locator. ``folder`` names the ledger (a new one
     by default)."""
-    docs, rows = located(spark, docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")])
+    docs, rows = located(spark, docs, [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")])
     arrivals = rows.select(
         digest(normalised()).alias("digest"), F.char_length(text_of()).cast("long").alias("size"), "id", *LOC
     )
     ledger = Ledger(spark, folder or shared_folder(spark, "ledger"))
+    earlier = ledger.arrived()
+    ledger.note_files(docs, text_col)
     ledger.ingest(arrivals)
     arrived = ledger.spark.read.schema(arrivals.schema).parquet(ledger.arrivals)
     entries = materialise(ledger.spark, ledger.entries(), "entries")
-    rows = rows.select(digest(normalised()).alias("digest"), normalised().alias("norm"), F.char_length(text_of()).cast("long").alias("size"), "id", *LOC)
-    clash = _clashes(ledger.spark, rows, entries)
+    clash = _clashes(ledger, rows.select(digest(normalised()).alias("digest"), normalised().alias("norm")), entries, earlier, digest)
     found = arrived.join(entries, "digest")
-    if not clash.isEmpty():
-        found = found.join(clash, "digest", "left_anti").unionByName(_split(rows.join(clash, "digest", "left_semi")))
+    if clash is not None:
+        found = found.join(clash, "digest", "left_anti").unionByName(_split(ledger.content(arrived.join(clash, "digest", "left_semi"))))
     return docs, found.select(
         "id",
         "digest",
@@ -114,17 +164,28 @@ def decisions(
     )
 
 
-def _clashes(spark: SparkSession, rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Digests under which different bytes were seen (none, in practice). The
+def _clashes(
+    ledger: Ledger, rows: DataFrame, entries: DataFrame, earlier: DataFrame | None, digest: Callable[[Column], Column]
+) -> DataFrame | None:
+    """Digests under which different bytes were ever seen (None, in practice). The
     smallest and the largest text of a digest are equal only if all are; map
     tasks hand on one pair per digest, so a hot group costs one row per task.
     Rows that can't be hits are left out before the shuffle by a broadcast of
-    at most MARKS residues."""
+    at most MARKS residues. Of earlier ingests, one row of each digest that is
+    met again is enough: theirs were compared when they came."""
     mark = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
     marks = entries.where("seen > 1").select(mark.alias("mark")).distinct()
-    hits = rows.withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi")
+    hits = rows.withColumn("mark", mark).join(F.broadcast(marks), "mark", "left_semi").select("digest", "norm")
+    if earlier is not None:
+        first = earlier.groupBy("digest").agg(F.min(F.struct(*LOC)).alias("at"))
+        met = materialise(ledger.spark, first.join(rows.select("digest").distinct(), "digest", "left_semi").select("digest", "at.*"), "met")
+        hits = hits.unionByName(ledger.content(met).where(digest(F.col("norm")) == F.col("digest")).select("digest", "norm"))
     ends = hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    return materialise(spark, ends.where("a <> b").select("digest"), "clashes")
+    clash, known = materialise(ledger.spark, ends.where("a <> b").select("digest"), "clashes"), ledger.known_clashes()
+    if not clash.isEmpty():
+        clash.write.mode("append").parquet(ledger.clashes)
+        return clash if known is None else clash.union(known).distinct()
+    return known if known is None else known.distinct()
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -137,7 +198,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """``docs`` (all its columns) without the rows that are copies of another."""
     docs, found = decisions(spark, docs, id_col, text_col)
     dropped = found.where(~F.col("kept")).select(*LOC)
-    return with_locator(docs).join(dropped, list(LOC), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, dropped)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderscope.llm.common import LOC, connected_components, located, materialise, ship_package, text_of, with_locator
+from orderscope.llm.common import LOC, connected_components, located, materialise, ship_package, text_of, without
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -438,7 +438,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     """``docs`` with one document of each class."""
     docs, found = classes(spark, docs, id_col, text_col)
     gone = found.where(~F.col("keeps")).select(*LOC)
-    return with_locator(docs).join(gone, list(LOC), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, gone)
 
 
 def op8_chosen_path_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

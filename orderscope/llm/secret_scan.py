@@ -98,16 +98,18 @@ class BlobLedger:
         """``keep`` columns of every row of ``versions``, with its ``blob`` and
         findings under the current rules."""
         version = rule_version()
-        _, rows = located(self.spark, versions, [*keep, F.col(text_col).alias("_text")])
-        addressed = rows.withColumn("blob", F.sha2(F.encode(text_of("_text"), "utf-8"), 256))
-        paths = materialise(self.spark, addressed.drop("_text"), "paths")
+        own = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("own")
+        _, rows = located(self.spark, versions, [own, text_of(text_col).alias("text")])
+        blob = F.sha2(F.encode("text", "utf-8"), 256).alias("blob")
+        paths = materialise(self.spark, rows.select("own", blob, *LOC), "paths")
         known = self.entries().where(F.col("rule_version") == version)
         blobs = paths.groupBy("blob").agg(F.min(F.struct(*LOC)).alias("at"))
         unseen = blobs.join(known, "blob", "left_anti").select("blob", "at.*")
-        texts = rows.select(*LOC, text_of("_text").alias("text")).join(unseen, list(LOC)).select("blob", "text")
+        texts = rows.select(*LOC, "text").join(unseen, list(LOC)).select("blob", "text")
         texts.mapInArrow(_scan(version), FINDING).write.mode("append").parquet(self.findings)
         found = self.entries().where(F.col("rule_version") == version).dropDuplicates(["blob"])
-        return paths.drop(*LOC).join(found, "blob")
+        names = found.columns[1:]
+        return paths.drop(*LOC).join(found, "blob").select(*[F.col(f"own.`{c}`") for c in keep], "blob", *names)
 
 
 def op7_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
