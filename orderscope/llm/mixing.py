@@ -84,28 +84,27 @@ def mix(
     """All columns of ``docs`` plus ``copy_index`` (from 1) and ``shuffle_key``,
     repeated and globally shuffled. Own columns of these two names give way."""
     by_source = rates(docs, weights, temperature, epochs, source_col, text_col)
-    by_source = materialise(docs.sparkSession, by_source, "rates").select(
-        F.col("source").alias("__mix_source"), F.col("pieces").alias("__mix_pieces"), F.col("cdf").alias("__mix_cdf")
-    )
-    same = F.col(source_col).eqNullSafe(F.col("__mix_source"))
+    by_source = materialise(docs.sparkSession, by_source, "rates").select(F.col("source").alias("of"), "pieces", "cdf")
+    kept = [c for c in docs.columns if c not in ("copy_index", "shuffle_key")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("key")
+    docs = docs.select(row, key, F.col(f"`{source_col}`").alias("source"), F.pmod(F.hash(f"`{id_col}`"), F.lit(SALTS)).cast("int").alias("own_salt"))
+    same = F.col("source").eqNullSafe(F.col("of"))
     if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rated = docs.join(F.broadcast(by_source), same)
     else:
-        salted = by_source.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("__mix_own_salt", F.pmod(F.hash(id_col), F.lit(SALTS)).cast("int"))
-        rated = rated.join(salted, same & (F.col("__mix_own_salt") == F.col("__mix_salt")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+        salted = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.join(salted, same & (F.col("own_salt") == F.col("salt")))
 
     def drawn(piece: Column) -> Column:
-        u = uniform(F.lit(str(seed)), key, piece.cast("string"))
-        return F.size(F.filter("__mix_cdf", lambda c: c < u))
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col("__mix_pieces")), F.lit(0), lambda n, piece: n + drawn(piece))
-    out = rated.withColumn("__mix_count", count).where("__mix_count > 0")
-    out = out.withColumn("copy_index", F.explode(F.sequence(F.lit(1), F.col("__mix_count"))))
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), key, F.col("copy_index").cast("string"))))
-    kept = [c for c in docs.columns if c not in ("copy_index", "shuffle_key")]
-    out = out.select(*[F.col(f"`{c}`") for c in kept], "copy_index", "shuffle_key")
+        u = uniform(F.lit(str(seed)), F.col("key"), piece.cast("string"))
+        return F.size(F.filter("cdf", lambda c: c < u))
+
+    count = F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0), lambda n, piece: n + drawn(piece))
+    out = rated.select("row", "key", count.alias("n")).where("n > 0")
+    out = out.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_index"))
+    digest = F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), "key", F.col("copy_index").cast("string")))
+    out = out.select(*[F.col(f"row.`{c}`") for c in kept], "copy_index", digest.alias("shuffle_key"))
     # The key is a digest, so hashing it deals repeats out evenly and at random.
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
