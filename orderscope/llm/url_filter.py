@@ -9,8 +9,8 @@ Captures are reduced to distinct (host, day) pairs before the join and the
 verdicts joined back by both, so a host with a third of all captures costs one row
 per day it was fetched in the as-of join.
 
-Defined results: a null or unparsable url, or a null fetch day, matches nothing
-and the capture is returned unblocked with no lists; repeated captures are
+Defined results: a null or unparsable url, or a null or unreadable fetch day,
+matches nothing and the capture is returned unblocked with no lists; repeated captures are
 judged alike; events on one day count with removals last; a repeated
 addition goes on, a removal of what is not listed is ignored; an empty history
 blocks nothing; null entries or days in a history are ignored.
@@ -45,25 +45,25 @@ def intervals(history: DataFrame) -> DataFrame:
 
 def screen(captures: DataFrame, history: DataFrame, url_col: str = "url", fetched_col: str = "fetched") -> DataFrame:
     """``captures`` plus ``host``, ``blocked``, ``n_matches`` and ``lists`` (the
-    matching lists, sorted, comma-joined)."""
+    matching lists, sorted, comma-joined). Own columns of these four names give
+    way; all others are kept, whatever they are called."""
     own = [c for c in captures.columns if c not in ("host", "blocked", "n_matches", "lists")]
-    captures = captures.withColumn("__url_host", host_of(F.col(url_col))).withColumn("__url_day", F.col(fetched_col).cast("date"))
-    days = captures.where("__url_host IS NOT NULL AND __url_day IS NOT NULL").groupBy("__url_host", "__url_day").agg(F.lit(1).alias("__url_one"))
-    parts = F.split("__url_host", r"\.")
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    captures = captures.select(row, host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{fetched_col}`").try_cast("date").alias("day"))
+    days = captures.where("host IS NOT NULL AND day IS NOT NULL").groupBy("host", "day").agg(F.lit(1).alias("one"))
+    parts = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    asked = days.select("__url_host", "__url_day", F.explode(names).alias("entry"))
-    active = (F.col("valid_from") <= F.col("__url_day")) & (F.col("__url_day") < F.col("valid_to"))
+    asked = days.select("host", "day", F.explode(names).alias("entry"))
+    active = (F.col("valid_from") <= F.col("day")) & (F.col("day") < F.col("valid_to"))
     hits = asked.join(intervals(history), "entry").where(active)
-    hits = hits.groupBy("__url_host", "__url_day").agg(
-        F.count(F.lit(1)).alias("__url_n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("__url_lists")
-    )
-    out = captures.join(hits, ["__url_host", "__url_day"], "left")
+    hits = hits.groupBy("host", "day").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    out = captures.join(hits, ["host", "day"], "left")
     return out.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.col("__url_host").alias("host"),
-        F.col("__url_n").isNotNull().alias("blocked"),
-        F.coalesce("__url_n", F.lit(0)).alias("n_matches"),
-        F.coalesce("__url_lists", F.lit("")).alias("lists"),
+        *[F.col(f"row.`{c}`") for c in own],
+        "host",
+        F.col("n").isNotNull().alias("blocked"),
+        F.coalesce("n", F.lit(0)).alias("n_matches"),
+        F.coalesce("lists", F.lit("")).alias("lists"),
     )
 
 
