@@ -13,7 +13,8 @@ over blocks, so nothing is numbered in one task.
 Only the last residual window can be padded: every combination is exact.
 
 Defined results: null or empty text is the closing id alone; a special token in
-a text is its one id, by the file's defaults; a null id is kept as null;
+a text is its one id, by the file's defaults; an id may be of any type that
+Arrow carries (numbers, text, dates, bytes), and a null id is kept as null;
 repeated rows are packed each; an empty table gives no pieces; other columns are
 not touched.
 """
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orderscope.llm.common import materialise, ship_package, text_of
 
@@ -298,8 +300,7 @@ def pack(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     ship_package(spark)
     kind = docs.schema[id_col].dataType
     simple = kind.simpleString()
-    to_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
-    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), simple: to_arrow}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), simple: to_arrow_type(kind)}
 
     def fields(text: str) -> pa.Schema:
         return pa.schema([(name, arrow[t]) for name, t in (c.split(" ") for c in text.format(id=simple).split(", "))])
