@@ -110,6 +110,80 @@ def test_exact_dedup_state_goes_on(spark, edge, tmp_path):
     assert {(r["id"], r["keep_id"], r["group_size"]) for r in found.collect()} == {(1, 2, 3), (2, 2, 3)}
 
 
+def _blunt(text):
+    """A digest that is equal for all texts of at least two characters."""
+    return F.least(F.char_length(text), F.lit(2)).cast("string")
+
+
+def test_exact_dedup_compares_bytes_with_earlier_ingests(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+
+    def ingest(name, rows, text="text"):
+        spark.createDataFrame(rows, f"doc_id bigint, `{text}` string").coalesce(1).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        found = exact_dedup.decisions(spark, docs, text_col=text, digest=_blunt, folder=folder)[1].collect()
+        return docs, {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in found}
+
+    first = [(1, "a b c", ), (5, "q")]
+    assert ingest("one", first)[1] == {(1, 1, 1, True), (5, 5, 1, True)}
+    # zz meets a digest that an earlier ingest saw for other bytes: not a copy.
+    assert ingest("two", [(2, "zz")])[1] == {(1, 1, 1, True), (2, 2, 1, True), (5, 5, 1, True)}
+    # A copy of the earliest row, under another column name, and one of the second's.
+    docs, got = ingest("three", [(3, "ab c"), (4, "z z")], "the body")
+    want = {(1, 1, 2, True), (3, 1, 2, False), (4, 4, 2, True), (2, 4, 2, False), (5, 5, 1, True)}
+    assert got == want
+    # Rows met before under a known clash stay apart when nothing of theirs arrives.
+    assert ingest("four", [(6, "q")])[1] == (want - {(5, 5, 1, True)}) | {(5, 5, 2, True), (6, 5, 2, False)}
+    # A file that is ingested again adds nothing.
+    again = exact_dedup.decisions(spark, docs, text_col="the body", digest=_blunt, folder=folder)[1].collect()
+    assert len(again) == 6 and {r["group_size"] for r in again} == {2}
+
+
+def test_ledger_names_the_file_of_a_row(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a"), (2, " b ")], "doc_id bigint, text string").repartition(2).write.parquet(path)
+    folder = str(tmp_path / "ledger")
+    _, found = exact_dedup.decisions(spark, spark.read.parquet(path), folder=folder)
+    read = exact_dedup.Ledger(spark, folder).content(found).collect()
+    assert {(r["id"], r["norm"]) for r in read} == {(1, "a"), (2, "b")}
+
+
+CLASHING = ["__loc_row", "__loc_file", "__mix_count", "__mix_cdf", "__url_host", "__url_day", "row", "key", "of", "n", "path", "own", "blob", "day", "a.b"]
+
+
+def test_own_columns_may_have_any_name(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "password = abcdefgh1 two three four five six", "s", 777), (2, "password = abcdefgh1 two three four five  six", "s", 777)], "doc_id int, text string, source string, v int")
+    docs = docs.withColumns({c: F.col("v") for c in CLASHING}).drop("v")
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for keep in (exact_dedup.drop_copies, jaccard_join.drop_near_copies):
+        rows = keep(spark, docs).collect()
+        assert len(rows) == 1 and all(rows[0][c] == 777 for c in CLASHING)
+    mixed = mixing.mix(docs, epochs=20.0).collect()
+    assert mixed and all(r[c] == 777 for r in mixed for c in CLASHING)
+    found = secret_scan.BlobLedger(spark).scan(docs, ["doc_id", *[c for c in CLASHING if c != "blob"]]).collect()
+    assert len(found) == 2 and all(r["n_assign"] == 1 and r["__loc_row"] == 777 for r in found)
+    captures = docs.withColumns({"url": F.lit("http://x.bad.org/"), "fetched": F.lit("2024-05-05")})
+    history = spark.createDataFrame([("l", "bad.org", "add", dt.date(2024, 1, 1))], "list string, entry string, action string, dated date")
+    judged = url_filter.screen(captures, history).collect()
+    assert all(r["blocked"] and r["n_matches"] == 1 and r["__url_day"] == 777 and r["day"] == 777 for r in judged)
+
+
+def test_unreadable_fetch_days_match_nothing(spark):
+    captures = spark.createDataFrame([(1, "2024-05-05"), (2, "soon"), (3, None)], "page_id int, fetched string").withColumn("url", F.lit("http://bad.org/"))
+    history = spark.createDataFrame([("l", "bad.org", "add", dt.date(2024, 1, 1))], "list string, entry string, action string, dated date")
+    assert {(r["page_id"], r["blocked"], r["lists"]) for r in url_filter.screen(captures, history).collect()} == {(1, True, "l"), (2, False, ""), (3, False, "")}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,0)", "date", "binary", "string"])
+def test_packing_takes_ids_of_any_type(spark, kind):
+    number = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast("string").cast(kind)
+    docs = spark.range(3).select(number.alias("doc_id"), F.lit("some words here").alias("text"))
+    packed = packing.pack(spark, docs)
+    assert packed.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
 def brute_suffix(rows, length=400):
     data = [t.encode() for t in rows]
     seen = collections.Counter(d[j : j + length] for d in data for j in range(len(d) - length + 1))
