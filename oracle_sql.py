@@ -159,6 +159,14 @@ _SUNDAY = "({d} + CAST(7 - isodow({d}) AS INTEGER))"
 _MONTH = "(year({d}) * 12 + month({d}) - 1)"
 
 
+# Last and first business day of the month that holds a day.
+_LAST_BUSINESS = "(last_day({d}) - CAST(greatest(isodow(last_day({d})) - 5, 0) AS INTEGER))"
+_FIRST_BUSINESS = (
+    "(CAST(date_trunc('month', {d}) AS DATE) + CASE isodow(date_trunc('month', {d})) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END)"
+)
+_BUSINESS_MONTH = f"(date_trunc('month', dt) - INTERVAL 1 MONTH * CAST(d < {_FIRST_BUSINESS.format(d='d')} AS INTEGER))"
+
+
 def _month_date(number: str) -> str:
     return f"make_date(CAST(({number}) // 12 AS BIGINT), CAST(({number}) % 12 + 1 AS BIGINT), 1)"
 
@@ -504,6 +512,23 @@ ORDER BY total DESC NULLS LAST, order_id LIMIT 200 OFFSET 100""",
     "ops_timeseries_delivery_business_days": _calendar(
         STAR, f"delivery IS NOT NULL AND {W_AREA}", "d - CAST(greatest(isodow(d) - 5, 0) AS INTEGER)", "INTERVAL 1 DAY", "s",
         [("avg_delivery_minutes", "avg(delivery)", None, "rb")], kept="isodow(s) < 6"),
+    "overview_timeseries_orders_business_month": _calendar(
+        STAR, "true", f"date_trunc('month', dt) + INTERVAL 1 MONTH * CAST(d > {_LAST_BUSINESS.format(d='d')} AS INTEGER)",
+        "INTERVAL 1 MONTH", _LAST_BUSINESS.format(d="s"), _ORDERS,
+        extra=f"{_LAST_BUSINESS.format(d='(s - INTERVAL 1 MONTH)')} + 1 AS bucket_start, {_LAST_BUSINESS.format(d='s')} + 1 AS bucket_end, row_number() OVER (ORDER BY s) - 1 AS step, "),
+    "overview_timeseries_revenue_business_month_start": _calendar(
+        STAR, "true", _BUSINESS_MONTH, "INTERVAL 1 MONTH", _FIRST_BUSINESS.format(d="s"), _REVENUE),
+    "finance_timeseries_revenue_business_quarter_feb": _calendar(
+        STAR, "total IS NOT NULL", f"date_trunc('quarter', {_BUSINESS_MONTH} - INTERVAL 1 MONTH) + INTERVAL 1 MONTH",
+        "INTERVAL 3 MONTH", _FIRST_BUSINESS.format(d="s"),
+        [("gross", "sum(total)", "0.0", "rs"), ("net", "coalesce(sum(total * (1 - pct)), 0.0)", "0.0", "rs")]),
+    "ops_timeseries_delivery_semi_month": _calendar(
+        STAR, f"delivery IS NOT NULL AND {W_AREA}",
+        "CASE WHEN d = last_day(d) THEN d WHEN day(d) >= 15 THEN CAST(date_trunc('month', d) AS DATE) + 14 ELSE CAST(date_trunc('month', d) AS DATE) - 1 END",
+        "INTERVAL 1 DAY", "s", [("avg_delivery_minutes", "avg(delivery)", None, "rb")], kept="day(s) = 15 OR CAST(s AS DATE) = last_day(s)"),
+    "satisfaction_timeseries_semi_month_start": _calendar(
+        STAR, W_SAT, "CAST(date_trunc('month', d) AS DATE) + CASE WHEN day(d) >= 15 THEN 14 ELSE 0 END",
+        "INTERVAL 1 DAY", "s", [("avg_satisfacao", "avg(score)", "0.0", "rb"), ("count", "count(score)", "0", "")], kept="day(s) IN (1, 15)"),
     "overview_timeseries_orders_6h_events": _calendar(
         _EVENTS, "true", "date_trunc('day', dt) + INTERVAL 6 HOUR * (hour(dt) // 6)", "INTERVAL 6 HOUR", "s", _ORDERS, kind="TIMESTAMP"),
     "overview_timeseries_orders_90min_events": _calendar(

@@ -204,6 +204,11 @@ QUERIES: dict[str, Query] = {
     "overview_timeseries_orders_year": _on_star(overview.timeseries_orders, freq="Y"),
     "finance_timeseries_revenue_year_mar": _on_star(finance.timeseries_revenue, freq="Y-MAR"),
     "ops_timeseries_delivery_business_days": _on_star(ops.timeseries_delivery, SPEC_CLASS_AREA, freq="B"),
+    "overview_timeseries_orders_business_month": _on_star(overview.timeseries_orders, freq="BME", bounds=True),
+    "overview_timeseries_revenue_business_month_start": _on_star(overview.timeseries_revenue_with_orders, freq="BMS"),
+    "finance_timeseries_revenue_business_quarter_feb": _on_star(finance.timeseries_revenue, freq="BQS-FEB"),
+    "ops_timeseries_delivery_semi_month": _on_star(ops.timeseries_delivery, SPEC_CLASS_AREA, freq="SM"),
+    "satisfaction_timeseries_semi_month_start": _on_star(satisfaction.timeseries, freq="SMS"),
     "overview_timeseries_orders_6h_events": _on_events(overview.timeseries_orders, freq="6H"),
     "overview_timeseries_orders_90min_events": _on_events(overview.timeseries_orders, freq="90min"),
     "satisfaction_timeseries_2q": _on_star(satisfaction.timeseries, freq="2Q"),

@@ -78,13 +78,15 @@ def test_empty_input_gives_no_rows(spark):
 OFFSETS = [
     "D", "3D", "11D", "W", "2W", "W-WED", "3W-TUE", "M", "2M", "5M", "MS", "2MS", "Q", "Q-FEB", "2Q", "QS", "QS-FEB", "2QS-NOV",
     "Y", "Y-MAR", "2Y", "YS", "YS-JUL", "B", "3B", "H", "6H", "5H", "37min", "90min",
+    "BME", "2BME", "BMS", "3BMS", "BQE", "BQE-FEB", "2BQE", "BQS", "BQS-FEB", "BYE", "BYE-MAR", "BYS", "BYS-JUL",
+    "SME", "SME-10", "3SME", "SMS", "SMS-20", "2SMS", "7200s",
 ]
 
 
 @pytest.mark.parametrize("freq", OFFSETS)
 def test_every_offset_equals_a_plain_resample(spark, freq):
     rng = random.Random(freq)
-    short = freq.endswith(("H", "min"))
+    short = freq.endswith(("H", "min", "s"))
     times = [dt.datetime(1969, 12, 27, 9, 30) + dt.timedelta(minutes=rng.randrange(60 * 24 * (9 if short else 1500))) for _ in range(120)]
     times += [dt.datetime(1970, 1, 31, 23, 59), dt.datetime(1970, 2, 1)] if not short else []
     fact = make_fact(spark, [dict(order_id=i, order_datetime=t, total_brl=float(i)) for i, t in enumerate(times)])
@@ -103,6 +105,11 @@ def test_bounds_steps_and_origin(spark, gap_days):
     assert [r["step"] for r in rows] == list(range(len(rows))) and sum(r["n"] for r in rows) == 4
     assert all((r["bucket_end"] - r["bucket_start"]).days == 14 and r["date"] == r["bucket_end"] - dt.timedelta(days=1) for r in rows)
     assert all(a["bucket_end"] == b["bucket_start"] for a, b in zip(rows, rows[1:]))
+    # buckets of business and half months meet without gaps, and hold their rows
+    for freq in ("BME", "BMS", "2BQE-FEB", "BYS", "SM", "SMS", "3SM-10"):
+        rows = bucketed_series(gap_days, "order_datetime", freq, {"n": F.count(F.lit(1)), "low": F.min("order_datetime"), "high": F.max("order_datetime")}, {"n": 0}, bounds=True).collect()
+        assert all(a["bucket_end"] == b["bucket_start"] for a, b in zip(rows, rows[1:])) and sum(r["n"] for r in rows) == 4
+        assert all(r["bucket_start"] <= r["low"].date() <= r["high"].date() < r["bucket_end"] for r in rows if r["n"])
     # an origin of its own: the same buckets whatever the first row
     some = gap_days.where("order_id > 1")
     for freq in ("3D", "2M", "7H", "2W", "3B"):
@@ -110,7 +117,7 @@ def test_bounds_steps_and_origin(spark, gap_days):
         assert set(two) <= set(one)
 
 
-@pytest.mark.parametrize("bad", ["", None, "0D", "-1D", "2", "D-MON", "W-JAN", "Q-MON", "M-JAN", "SM"])
+@pytest.mark.parametrize("bad", ["", None, "0D", "-1D", "2", "D-MON", "W-JAN", "Q-MON", "M-JAN", "SM-MON", "SM-28", "SMS-1", "BW", "BD", "BSM", "BB", "BM-JAN", "M-15"])
 def test_bad_offsets(bad):
     with pytest.raises(ValueError):
         parse_offset(bad)
