@@ -77,6 +77,44 @@ def test_state_is_freed_after_the_retention(spark, tmp_path):
     assert kept and kept[-1] < 8  # orders 1 and 2 hold no state any more
 
 
+def test_orders_share_state_values(spark, tmp_path):
+    """A state value per group, not per order: calls to the store don't grow with
+    the orders, and within a group each order is kept and freed on its own."""
+    session, groups = corrections_session(spark, 2), 3
+    folder, out = str(tmp_path / "in"), None
+
+    def run():
+        stream = session.readStream.schema(SCHEMA).parquet(folder)
+        return run_to_table(corrected_windows(stream, retention="2 days", buckets=groups), "corrections-groups", RUN)
+
+    first = [(i, DAY0 + dt.timedelta(days=i % 2), float(i), 0) for i in range(400)]
+    deliver(spark, folder, first)
+    out, query = run()
+    assert now(spark, out) == batch(first)
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal == groups
+    # corrected: one of each day, twice in one delivery, and by an older version too
+    later = [(4, DAY0, 0.5, 2), (4, DAY0, 0.25, 1), (7, DAY0, 2.5, 1), (500, DAY0 + dt.timedelta(days=3, hours=1), 1.0, 0)]
+    deliver(spark, folder, later)
+    out, _ = run()
+    assert now(spark, out) == batch(first + later)
+    # the watermark is day 1, 1:00: orders of day 0 are free, those of midnight of day 1 too
+    deliver(spark, folder, [(9, DAY0 + dt.timedelta(days=2), 3.0, 1), (500, DAY0 + dt.timedelta(days=2), 2.0, 1)])
+    out, _ = run()
+    day = lambda n: DAY0 + dt.timedelta(days=n)
+    counts = {d: n for d, n, _ in now(spark, out)}
+    assert counts == {day(0): 201, day(1): 199, day(2): 2}  # 9 anew, 500 moved
+
+
+def test_string_ids(spark, tmp_path):
+    folder, session, out = str(tmp_path / "in"), corrections_session(spark, 2), None
+    rows = [(f"o{i}", DAY0, float(i), 0) for i in range(20)]
+    for part in (rows, [("o3", DAY0 + dt.timedelta(days=1), 7.0, 1), ("ö", DAY0, 1.0, 0)]):
+        schema = SCHEMA.replace("order_id bigint", "order_id string")
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        out, _ = run_to_table(corrected_windows(session.readStream.schema(schema).parquet(folder), buckets=2), "corrections-ids", RUN)
+    assert now(spark, out) == batch(rows + [("o3", DAY0 + dt.timedelta(days=1), 7.0, 1), ("ö", DAY0, 1.0, 0)])
+
+
 def test_registered_stream_moves_orders_between_days(spark):
     found = streamed_corrections(spark, "/root/testdata/sf0.001")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
